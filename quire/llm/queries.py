@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import near_dedup, quality, secrets, token_counts
+from quire.llm import near_dedup, packing, quality, secrets, token_counts, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_dart_near_dedup": near_dedup.query,
     "op5_secret_scan": secrets.query,
     "op6_token_counts": token_counts.query,
+    "op7_bound_certified_packing": packing.query,
     "op9_host_quality": quality.query,
+    "op10_keyed_token_shards": token_shards.query,
 }
 
 #: None of these can be written in DuckDB's SQL with the same method's results; tests hold them against brute force.
