@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, html_text, licences, near_dedup, packing, quality, secrets, token_counts, token_shards
+from quire.llm import ann, byte_bpe, html_text, licences, near_dedup, packing, quality, secrets, token_counts, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multiprobe_neighbours": ann.query,
     "op2_dart_near_dedup": near_dedup.query,
     "op3_licence_scan": licences.query,
     "op4_shuffled_byte_bpe": byte_bpe.query,
