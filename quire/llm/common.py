@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows in one Arrow batch; with texts of some 100 KB a batch stays far below a worker's memory.
 BATCH_ROWS = 256
@@ -45,6 +45,24 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows of names that may be broadcast; more are joined by a shuffle.
+SMALL_ROWS = 100_000
+
+
+def but(rows: DataFrame, column: str, barred: DataFrame) -> DataFrame:
+    """rows whose column is not among barred's single one; null is a value like others. Without a shuffle of rows where barred is small."""
+    n = barred.count()
+    if not n:
+        return rows
+    barred = barred.toDF("_barred")
+    return rows.join(F.broadcast(barred) if n <= SMALL_ROWS else barred, rows[column].eqNullSafe(F.col("_barred")), "left_anti")
+
+
+def boxed(docs: DataFrame, **named: Column) -> DataFrame:
+    """The named columns, and `row`: a struct of all of docs, which no other column's name can clash with."""
+    return docs.select(*(c.alias(n) for n, c in named.items()), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def keep(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there and a lost executor loses nothing."""
     path = fresh_dir(spark, tag)

@@ -99,5 +99,23 @@ def judge(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), key: str
     return out.withColumnRenamed("key", key)
 
 
+def passing(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of docs that are kept, with their columns. Rules are tested where the row is; only sums by host are shuffled."""
+    common.bounded(spark)
+    tested = measured(docs, key, text, host).select("host", *(c.alias(n) for n, c in failures(rules).items()))
+    rates = common.keep(spark, host_rates(common.keep(spark, tested, "tested"), rules), "hosts")
+    i = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x in b.column(i).to_pylist():
+                words, _, symbols, _, repeated = measure(x or "")
+                good.append(words >= rules.min_words and 100 * repeated <= rules.max_repeat_pct * words and 100 * symbols <= rules.max_symbol_pct * words)
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return common.but(docs.mapInArrow(run, docs.schema), host, rates.where("refused").select("host"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, common.read(spark, sf_dir, "documents")).select("doc_id", *_COUNTS, "base_failed", "kept")

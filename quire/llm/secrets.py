@@ -11,12 +11,12 @@ not touched, whatever their names. Offsets count code points, ends are exclusive
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quire.llm import common
 
@@ -97,42 +97,38 @@ def scan(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     return rows.select(F.col("key").alias(key), "blob", *zero, *empty), book
 
 
-def redact(text: str | None) -> str | None:
-    """The text with each finding replaced by [SECRET]; overlapping ones become one."""
-    found = find(text or "")
-    if not found:
-        return text
+def redact(text: str, spans: str) -> str:
+    """The text with each of the spans (kind:start:end, comma-joined) replaced by [SECRET]; overlapping ones become one."""
     out, at = [], 0
-    for s, _, e in found:
+    for s, e in sorted((int(s), int(e)) for _, s, e in (x.split(":") for x in spans.split(","))):
         if s >= at:
             out += [text[at:s], "[SECRET]"]
         at = max(at, e)
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the findings of its texts replaced; n_chars, if there, follows."""
-    i = docs.columns.index(text)
-    n = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+def redacted(spark: SparkSession, docs: DataFrame, text: str = "text", length: str = "n_chars", ledger: DataFrame | None = None) -> DataFrame:
+    """docs with the ledger's findings cut out of its texts; the column of lengths, if there is one, follows."""
+    book = common.keep(spark, update(spark, docs, text, ledger), "ledger")
+    hits = book.where(F.col("spans") != "").select("blob", "spans")
+    rows = common.boxed(docs, blob=F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+    rows = rows.join(hits, "blob", "left").select(*(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("spans").alias("spans"))
+    at, n = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
 
-    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            was = b.column(i).to_pylist()
-            now = [redact(x) for x in was]
-            cols = list(b.columns)
-            cols[i] = pa.array(now, pa.string())
-            if n is not None:
-                counts = cols[n].to_pylist()
-                cols[n] = pa.array([c if w is x or w == x else len(x) for c, w, x in zip(counts, was, now, strict=True)], cols[n].type)
-            yield pa.record_batch(cols, b.schema.names)
+            spans, cols = b.column(b.num_columns - 1).to_pylist(), list(b.columns[:-1])
+            if any(spans):
+                now = [redact(x, s) if s else x for x, s in zip(cols[at].to_pylist(), spans, strict=True)]
+                cols[at] = pa.array(now, pa.string())
+                if n is not None:
+                    cols[n] = pa.array([len(x) if s else c for c, x, s in zip(cols[n].to_pylist(), now, spans, strict=True)], cols[n].type)
+            yield pa.record_batch(cols, [f.name for f in schema.fields])
 
-    return docs.mapInArrow(change, docs.schema)
+    return rows.mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = scan(spark, common.read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
-
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
