@@ -8,9 +8,10 @@ share a band are candidates, and candidates are compared exactly.
 
 1. Equal word sequences become one content, so copies cost one signature and no pair.
 2. Each member of a bucket is compared with the bucket's least content, never with all others.
-3. Members of a bucket that are not in one class by then are compared by their signatures, block by
-   block; pairs estimated within six standard errors of the threshold are compared exactly. So every
-   link between texts that share a band is found, and inside a class no pair is needed.
+3. Where a bucket's members are not in one class by then, members of different classes meet block by block
+   within a task: pairs estimated within four standard errors of the threshold are compared exactly, each in
+   the first band that it shares, until their classes are joined. Only the links that join classes leave the
+   task, so no link between texts is lost and what is shuffled grows with the members, not with their pairs.
 4. Classes are the connected components of the links.
 
 Defined cases: a null text is an empty one, and all texts without words are copies of each other; with
@@ -43,8 +44,9 @@ class Setup:
     #: At a similarity of 0.8 some band agrees with probability 1 - (1 - 0.8^6)^24 > 0.999.
     bands: int = 24
     rows: int = 6
-    #: Largest block of a bucket that is compared at once.
+    #: Most members and most characters of a bucket's block, of which a task holds two.
     block: int = 2048
+    block_chars: int = 16_000_000
 
     @property
     def size(self) -> int:
@@ -52,7 +54,7 @@ class Setup:
 
     @property
     def slack(self) -> float:
-        return 6 * math.sqrt(self.threshold * (1 - self.threshold) / self.size)
+        return 4 * math.sqrt(self.threshold * (1 - self.threshold) / self.size)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -164,10 +166,10 @@ def signed(docs: DataFrame, key: str, text: str, setup: Setup) -> DataFrame:
 
 
 def buckets(contents: DataFrame, setup: Setup) -> DataFrame:
-    """bucket, content for each band of each content."""
+    """bucket, band, content for each band of each content."""
     width = 2 * setup.rows
     band = F.explode(F.sequence(F.lit(0), F.lit(setup.bands - 1))).alias("band")
-    return contents.where(F.col("sig").isNotNull()).select("content", "sig", band).select(F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket"), "content")
+    return contents.where(F.col("sig").isNotNull()).select("content", "sig", band).select(F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})")).alias("bucket"), "band", "content")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, setup: Setup) -> DataFrame:
@@ -207,35 +209,62 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         labels = new.drop("was")
 
 
-def across(members: DataFrame, sigs: DataFrame, setup: Setup) -> DataFrame:
-    """Pairs (a, b) of different classes in one bucket that may be links by their signatures. members: bucket, content, label."""
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / setup.block)).cast("int")
-    rows = members.join(mixed, "bucket").join(sigs, "content").select("bucket", "content", "label", "sig", blocks.alias("blocks"))
+def _joining(content: list[bytes], label: np.ndarray, sig: np.ndarray, sets: list, left: np.ndarray, right: np.ndarray, same: bool, band: int, setup: Setup) -> list[tuple[bytes, bytes]]:
+    """Links between members of left and right that join classes not joined yet. sets: (shingles, counts) of each member."""
+    _, local = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)
+    ends = np.cumsum([len(e) for e, _ in sets])
+    ids = np.split(local.ravel(), ends[:-1])
+    counts = [n for _, n in sets]
+    total = np.array([int(n.sum()) for n in counts])
+    weight = np.zeros(int(local.max()) + 1, np.int64)
+    group = np.arange(int(label.max()) + 1)  # the joined class of each class
+    low, out = setup.threshold - setup.slack, []
+    for p in left.tolist():
+        q = right[right > p] if same else right
+        q = q[group[label[q]] != group[label[p]]]
+        if not len(q):
+            continue
+        equal = sig[q] == sig[p]
+        estimate = equal.mean(axis=1)
+        good = (estimate >= low) & (equal.reshape(len(q), setup.bands, setup.rows).all(axis=2).argmax(axis=1) == band)
+        q = q[good]
+        if not len(q):
+            continue
+        weight[ids[p]] = counts[p]
+        sizes = np.array([len(ids[x]) for x in q])
+        both = np.minimum(weight[np.concatenate([ids[x] for x in q])], np.concatenate([counts[x] for x in q]))
+        both = np.add.reduceat(both, np.cumsum(sizes) - sizes)
+        weight[ids[p]] = 0
+        for x in q[both >= setup.threshold * (total[q] + total[p] - both)].tolist():
+            if group[label[x]] != group[label[p]]:
+                group[group == group[label[x]]] = group[label[p]]
+                out.append((content[p], content[x]))
+    return out
+
+
+def across(members: DataFrame, sigs: DataFrame, texts: DataFrame, setup: Setup) -> DataFrame:
+    """Links (a, b) that join different classes of one bucket. members: bucket, band, content, label; texts: content, text."""
+    sized = members.join(texts.select("content", F.length("text").alias("chars")), "content")
+    mixed = sized.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum("chars").alias("chars")).where("lo != hi")
+    blocks = F.ceil(F.greatest(F.lit(1), F.col("n") / setup.block, F.col("chars") / setup.block_chars)).cast("int")
+    rows = members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").join(sigs.join(texts, "content"), "content")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("content"), "blocks").cast("int"))
     # a block meets every block once: the task (bucket, i, j), i <= j, holds blocks i and j
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "content", "label", "sig")
-    low = setup.threshold - setup.slack
+    rows = rows.select("bucket", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "content", "label", "sig", "text")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        content, label = table["content"].to_pylist(), table["label"].to_pylist()
-        mine = np.array(table["mine"].to_pylist())
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(content), setup.size)
-        _, label = np.unique(np.array(label, object), return_inverse=True)
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = [], []
-        for p in left:
-            q = right[(right > p) if i == j else slice(None)]
-            q = q[label[q] != label[p]]
-            if len(q):
-                q = q[(sig[q] == sig[p]).mean(axis=1) >= low]
-                a += [min(content[p], content[x]) for x in q]
-                b += [max(content[p], content[x]) for x in q]
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+        i, j = key[2].as_py(), key[3].as_py()
+        _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
+        out = []
+        if label.max():
+            shingles, mine = Shingler(setup.words), table["mine"].to_numpy()
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(mine), setup.size)
+            sets = [shingles(x)[1:] for x in table["text"].to_pylist()]
+            out = _joining(table["content"].to_pylist(), label, sig, sets, np.flatnonzero(mine == i), np.flatnonzero(mine == j), i == j, key[1].as_py(), setup)
+        return pa.table([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.groupBy("bucket", "band", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", setup: Setup = Setup()) -> DataFrame:
@@ -254,9 +283,8 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     texts = common.keep(spark, found.groupBy("content").agg(F.first("text").alias("text")), "texts")
     links = common.keep(spark, confirmed(pairs, texts, setup), "near")
     label = components(spark, links)
-    labelled = members.select("bucket", "content").join(label, "content", "left").select("bucket", "content", F.coalesce("label", "content").alias("label"))
-    more = across(labelled, contents.select("content", "sig"), setup).join(pairs, ["a", "b"], "left_anti")
-    more = common.keep(spark, confirmed(common.keep(spark, more, "across"), texts, setup), "near")
+    labelled = members.select("bucket", "band", "content").join(label, "content", "left").select("bucket", "band", "content", F.coalesce("label", "content").alias("label"))
+    more = common.keep(spark, across(labelled, contents.select("content", "sig"), texts, setup), "near")
     if not more.isEmpty():
         label = components(spark, links.union(more))
     whole = contents.select("content", "least").join(label, "content", "left").select("content", "least", F.coalesce("label", "content").alias("label"))
