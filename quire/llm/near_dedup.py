@@ -297,7 +297,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class: the one with the least key, and of repeated rows any one."""
-    stay = classes(spark, docs, key, text).groupBy(F.col("class_id").alias("_class")).agg(F.min(key).alias("_least")).select(F.col("_least").alias("_key"))
-    kept = docs.join(stay.distinct(), docs[key].eqNullSafe(F.col("_key")), "left_semi")
-    return kept.groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    """docs with one row of each class: one with the class's least key, and of rows that repeat that key any one."""
+    stay = classes(spark, docs, key, text).select(F.col("class_id").alias("k")).distinct()
+    rows = common.boxed(docs, k=F.col(key))
+    kept = rows.join(stay.select(F.col("k").alias("s")), rows["k"].eqNullSafe(F.col("s")), "left_semi")
+    return kept.groupBy("k").agg(F.first("row").alias("row")).select("row.*")
