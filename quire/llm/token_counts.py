@@ -30,6 +30,13 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT, _ODD = re.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]")
 
 
+def lowered(chunk: str) -> str:
+    """Composed and in lower case, each character by itself as in the library: a last sigma is like any other."""
+    if chunk.isascii():
+        return chunk.lower()
+    return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+
+
 class HeapCounter:
     """Counts tokens of texts for a word-level byte-pair vocabulary with an end-of-word mark."""
 
@@ -88,8 +95,7 @@ class HeapCounter:
 
     def chunk(self, chunk: str) -> int:
         """Tokens of a text without white space and special strings."""
-        low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # the library lowers each character by itself
-        n = sum(map(self.word, self.pattern.findall(low)))
+        n = sum(map(self.word, self.pattern.findall(lowered(chunk))))
         if len(self.chunks) >= TABLE_ENTRIES:
             self.chunks.clear()
         self.chunks[chunk] = n

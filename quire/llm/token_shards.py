@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,10 +31,10 @@ from tokenizers import Tokenizer
 
 from quire.llm import common, tokenizers_
 from quire.llm.mph import PerfectHash, fingerprints
-from quire.llm.token_counts import _ODD, _SPLIT
+from quire.llm.token_counts import _ODD, _SPLIT, HeapCounter, lowered
 
-#: Chunks whose ids a worker keeps; beyond, the table starts anew.
-TABLE_ENTRIES = 400_000
+#: Chunks, and words, whose ids a worker keeps; beyond, the table starts anew.
+TABLE_ENTRIES = 800_000
 _HEAD = struct.Struct("<8sqqqq")
 
 
@@ -42,22 +43,84 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def rebuilt(path: str) -> bool:
+    """Whether merging each token's own bytes gives that token again.
+
+    If so, merging by the rank of the joined bytes does what merging by pairs does: while no merge has crossed
+    the ends of a token's bytes, they merge as they do alone, so the last two parts are the pair of its own merge.
+    """
+    c = HeapCounter(path)
+    d = tokenizers_.description(path)["model"]
+    plain = {ch: b for b, ch in tokenizers_.byte_chars().items()}
+    end = d["end_of_word_suffix"]
+    for a, b in d["merges"]:
+        token = a + b
+        raw = [plain[x] for x in token.removesuffix(end)]
+        symbols = [c.inner[x] for x in raw]
+        if token.endswith(end):
+            symbols[-1] = c.last[raw[-1]]
+        if c.merge(symbols) != 1 or symbols[0] != d["vocab"][token]:
+            return False
+    return True
+
+
 class ChunkEncoder:
-    """Ids of texts by a vocabulary that neither sees nor crosses white space: each white-space-free chunk is encoded by the library once and kept as bytes."""
+    """Ids of texts by a vocabulary that neither sees nor crosses white space, as bytes of one chunk after another.
 
-    def __init__(self, path: str) -> None:
-        self.library, self.table = _tokenizer(path), {}
+    The words of a chunk are merged over bytes, with one byte that no text has for the word's end; chunks that hold a special
+    string, and vocabularies that `rebuilt` refuses, go to the library. Chunks and words are kept in bounded tables.
+    """
+
+    def __init__(self, path: str, by_rank: bool) -> None:
+        self.library, self.by_rank = _tokenizer(path), by_rank
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        rules = HeapCounter(path)
+        self.pattern, self.special = rules.pattern, rules.special
+        if by_rank:
+            d = tokenizers_.description(path)["model"]
+            plain, end = {ch: b for b, ch in tokenizers_.byte_chars().items()}, d["end_of_word_suffix"]
+            ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(256)}
+            ids = [*rules.inner, *rules.last]
+            for a, b in d["merges"]:
+                token = a + b
+                raw = bytes(plain[x] for x in token.removesuffix(end)) + (b"\xff" if token.endswith(end) else b"")
+                if raw not in ranks:
+                    ranks[raw] = len(ids)
+                    ids.append(d["vocab"][token])
+            self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            self.bytes = [np.array([i], self.kind).tobytes() for i in ids]
+
+    def word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) >= TABLE_ENTRIES:
+                self.words.clear()
+            got = self.words[word] = b"".join([self.bytes[i] for i in self.piece(word.encode() + b"\xff")])
+        return got
+
+    def chunk(self, chunk: str) -> bytes:
+        if not self.by_rank or "<|" in chunk and self.special.search(chunk):
+            return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(map(self.word, self.pattern.findall(lowered(chunk))))
+
+    def __call__(self, text: str) -> bytes:
+        table = self.chunks
+        parts = _SPLIT.split(text) if _ODD.search(text) else text.split()
+        new = set(parts).difference(table)
+        if new:
+            if len(table) >= TABLE_ENTRIES:
+                table.clear()
+                new = set(parts)
+            for c in new:
+                table[c] = self.chunk(c)
+        return b"".join(map(table.__getitem__, parts))
+
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        table = self.table
-        if len(table) > TABLE_ENTRIES:
-            table.clear()
-        split = [_SPLIT.split(x) if _ODD.search(x) else x.split() for x in texts]
-        new = [x for x in set().union(*split) if x not in table]
-        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            table[x] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join([table[c] for c in x]) for x in split]
+@lru_cache(None)
+def encoder(path: str, by_rank: bool) -> ChunkEncoder:
+    return ChunkEncoder(path, by_rank)
 
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
@@ -129,6 +192,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, folder:
     common.bounded(spark)
     files, place = _place(folder)
     files.create_dir(place, recursive=True)
+    by_rank = rebuilt(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = _place(folder)
@@ -138,11 +202,11 @@ def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, folder:
 
         def payload() -> Iterator[bytes]:
             nonlocal encode
-            encode = ChunkEncoder(path)
+            encode = encoder(path, by_rank)
             end = np.array([end_id], encode.kind).tobytes()
             for b in batches:
                 keys.extend(b.column(0).to_pylist())
-                for x in encode([t or "" for t in b.column(1).to_pylist()]):
+                for x in (encode(t or "") for t in b.column(1).to_pylist()):
                     lengths.append(len(x) // encode.kind.itemsize + 1)
                     yield x
                     yield end
