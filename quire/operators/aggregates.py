@@ -25,11 +25,11 @@ def days_read(rows: DataFrame) -> DataFrame:
 
 
 def notes_per_book(notes: DataFrame) -> DataFrame:
-    return notes.where(filters.annotation).groupBy("book_id").agg(F.count("*").alias("n_notes")).where(F.col("book_id") != 0)
+    return notes.where(filters.annotation()).groupBy("book_id").agg(F.count("*").alias("n_notes")).where(F.col("book_id") != 0)
 
 
 def note_totals(notes: DataFrame) -> DataFrame:
-    return notes.where(filters.annotation).agg(F.count("id").alias("n_notes"), F.count_distinct("book_id").alias("n_books"))
+    return notes.where(filters.annotation()).agg(F.count("id").alias("n_notes"), F.count_distinct("book_id").alias("n_books"))
 
 
 def daily(rows: DataFrame, book: int | None = None, since: str | None = None) -> DataFrame:

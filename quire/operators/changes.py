@@ -24,8 +24,8 @@ def saved_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
     """Of the old and the new annotations, the last change of each place in a book; notes of other types stay as they are."""
     w = Window.partitionBy("book_id", "cfi").orderBy(F.desc("update_time"), F.desc("id"))
     both = notes.unionByName(new, allowMissingColumns=True)
-    kept = both.where(filters.annotation).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return kept.unionByName(both.where(~filters.annotation))
+    kept = both.where(filters.annotation()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return kept.unionByName(both.where(~filters.annotation()))
 
 
 def new_bookmarks(notes: DataFrame, marks: DataFrame) -> DataFrame:

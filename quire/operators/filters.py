@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire import schema
 from quire.functions import dates, strings
 
-annotation = F.col("type").isin(*schema.NOTE_TYPES)
+
+def annotation() -> Column:
+    return F.col("type").isin(*schema.NOTE_TYPES)
 
 
 def live(books: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def unhashed(books: DataFrame) -> DataFrame:
 
 
 def notes_of(notes: DataFrame, book: int) -> DataFrame:
-    return notes.where(annotation & (F.col("book_id") == book))
+    return notes.where(annotation() & (F.col("book_id") == book))
 
 
 def notes_at(notes: DataFrame, cfi: str, book: int) -> DataFrame:

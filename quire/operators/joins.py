@@ -51,7 +51,7 @@ def tags_of_books(books: DataFrame, links: DataFrame, tags: DataFrame, ids: list
 
 def note_statistics(notes: DataFrame, books: DataFrame, rows: DataFrame) -> DataFrame:
     """Notes and reading seconds of each annotated book, deleted ones too."""
-    counts = notes.where(filters.annotation & (F.col("book_id") != 0)).groupBy("book_id").agg(F.count("*").alias("n_notes"))
+    counts = notes.where(filters.annotation() & (F.col("book_id") != 0)).groupBy("book_id").agg(F.count("*").alias("n_notes"))
     seconds = rows.groupBy("book_id").agg(F.sum("reading_time").alias("seconds"))
     out = counts.join(books.select(F.col("id").alias("book_id"), "title"), "book_id").join(seconds, "book_id", "left")
     return out.withColumn("seconds", F.coalesce("seconds", F.lit(0).cast("long")))
@@ -59,7 +59,7 @@ def note_statistics(notes: DataFrame, books: DataFrame, rows: DataFrame) -> Data
 
 def random_note(notes: DataFrame, books: DataFrame, seed: int | None = None) -> DataFrame:
     """Any one annotation with its book, if that is there; deleted books are."""
-    one = notes.where(filters.annotation).orderBy(F.rand(seed)).limit(1)
+    one = notes.where(filters.annotation()).orderBy(F.rand(seed)).limit(1)
     return one.select(F.col("id").alias("note_id"), "book_id", "content").join(books.select(F.col("id").alias("book_id"), "title"), "book_id", "left")
 
 

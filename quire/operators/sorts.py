@@ -49,7 +49,7 @@ def by_recency(rows: DataFrame, book: int | None = None) -> DataFrame:
 
 
 def random_note(notes: DataFrame, seed: int | None = None) -> DataFrame:
-    return notes.where(filters.annotation).orderBy(F.rand(seed)).limit(1)
+    return notes.where(filters.annotation()).orderBy(F.rand(seed)).limit(1)
 
 
 def newest(rows: DataFrame, by: str, keep: int, key: str = "id") -> DataFrame:

@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 @query("g1_select", f"SELECT type, count(*) AS n FROM notes WHERE type IN {NOTES} GROUP BY type HAVING count(*) > 1")
 def g1(lib: DriverLibrary) -> DataFrame:
-    return access.select(lib.notes, where=filters.annotation, group_by=["type"], aggregates=[F.count("*").alias("n")], having=F.col("n") > 1)
+    return access.select(lib.notes, where=filters.annotation(), group_by=["type"], aggregates=[F.count("*").alias("n")], having=F.col("n") > 1)
 
 
 @query("g1_page", "SELECT id, title FROM books ORDER BY id LIMIT 10 OFFSET 5")
@@ -125,7 +125,7 @@ def f6(lib: DriverLibrary) -> DataFrame:
 
 @query("f7_annotations", f"SELECT id, type FROM notes WHERE type IN {NOTES}")
 def f7(lib: DriverLibrary) -> DataFrame:
-    return lib.notes.where(filters.annotation).select("id", "type")
+    return lib.notes.where(filters.annotation()).select("id", "type")
 
 
 @query("f8_notes_of_book", f"SELECT id, cfi, update_time FROM notes WHERE type IN {NOTES} AND book_id = 12")
@@ -244,7 +244,7 @@ def j3(lib: DriverLibrary) -> DataFrame:
 @query("j4_notes_by_book", f"""SELECT book_id, title, count(*) AS n_notes, max(n.update_time) AS latest, arg_max(n.id, (n.update_time, n.id)) AS newest_note
     FROM notes n JOIN books b ON b.id = n.book_id AND NOT is_deleted WHERE type IN {NOTES} AND content ILIKE '%on%' GROUP BY book_id, title""")
 def j4(lib: DriverLibrary) -> DataFrame:
-    found = joins.notes_by_book(lib.notes.where(filters.annotation & strings.contains_folded("content", "on")), lib.books)
+    found = joins.notes_by_book(lib.notes.where(filters.annotation() & strings.contains_folded("content", "on")), lib.books)
     return found.select("book_id", "title", "n_notes", "latest", F.col("notes")[0]["id"].alias("newest_note"))
 
 
