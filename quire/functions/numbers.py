@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import operator
 import re
 
@@ -71,7 +72,10 @@ def calculate(expression: str) -> str:
             values.append(-values.pop())
         else:
             b, a = values.pop(), values.pop()
-            values.append(float("inf") * (a > 0) - float("inf") * (a < 0) if op == "/" and b == 0 and a else _APPLY[op](a, b))
+            if op == "/" and b == 0:
+                values.append(math.copysign(math.inf, a) if a else math.nan)
+            else:
+                values.append(_APPLY[op](a, b))
 
     if not expression.strip():
         raise ValueError("the expression is empty")
@@ -104,4 +108,4 @@ def calculate(expression: str) -> str:
     while pending:
         apply()
     x = values[0]
-    return str(round(x)) if abs(x) < 1e300 and abs(x - round(x)) < 1e-10 else str(x)
+    return str(round(x)) if math.isfinite(x) and abs(x - round(x)) < 1e-10 else str(x)

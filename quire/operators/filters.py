@@ -93,7 +93,7 @@ def with_all_tags(books: DataFrame, links: DataFrame, tags: Iterable[int]) -> Da
     """Live books that have every one of the tags; the pseudo tag of the untagged stands alone. All books for no tag."""
     wanted = sorted(set(tags))
     if schema.UNTAGGED in wanted:
-        return live(books).join(links, F.col("id") == links["book_id"], "left_anti")
+        return live(books).join(links.select(F.col("book_id").alias("id")), "id", "left_anti")
     if not wanted:
         return live(books)
     having = links.where(F.col("tag_id").isin(wanted)).groupBy("book_id").agg(F.count_distinct("tag_id").alias("n")).where(F.col("n") == len(wanted))

@@ -74,9 +74,9 @@ def sniffed(content: Name, path: Name) -> Column:
 
 
 def json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of a JSON store of a fixed schema; a record that can't be read is left out, so a broken store is an empty one."""
-    found = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", "true").json(path)
-    return found.where("_corrupt IS NULL").drop("_corrupt")
+    """Records of JSON stores, each one array of records of a fixed schema; a store that can't be read is an empty one."""
+    text = spark.read.option("wholetext", "true").text(path)
+    return text.select(F.inline(F.from_json("value", f"array<struct<{schema}>>")))
 
 
 def keyed_store(spark: SparkSession, path: str, value: str) -> DataFrame:
