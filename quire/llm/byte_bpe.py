@@ -55,7 +55,7 @@ def _encoding(v: Vocabulary) -> tiktoken.Encoding:
 
 def _squeeze(*arrays: np.ndarray | bytes) -> bytes:
     raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw))
 
 
 def _parts(data: bytes) -> list[bytes]:
@@ -69,36 +69,39 @@ def _parts(data: bytes) -> list[bytes]:
     return out
 
 
-def _planes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Low and high halves of 32-bit numbers: the high ones are mostly 0 and shrink to nothing."""
-    x = x.astype("<u4")
-    return (x & 0xFFFF).astype("<u2"), (x >> 16).astype("<u2")
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, all lowest bytes first: bytes of one weight are alike and shrink well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _joined(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
+def _joined(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def split(docs: DataFrame, v: Vocabulary, buckets: int, key: str, text: str) -> DataFrame:
     """Rows of words (kind 0) and of documents (kind 1) of each block."""
 
     def emit(block: int, words: dict[str, int], held: list[tuple]) -> Iterator[tuple]:
-        # words are numbered as they appear; frequent ones come early, so positions are small numbers
+        # numbered by falling frequency, so that most positions are small numbers
+        counts = np.bincount(np.concatenate([d for _, d in held]), minlength=len(words))
+        by_rank = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[by_rank] = np.arange(len(words), dtype=np.uint32)
         listed = list(words)
-        raw = [w.encode() for w in listed]
+        raw = [listed[i].encode() for i in by_rank.tolist()]
         bucket = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in raw], np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in range(buckets):
-            mine = order[edges[b] : edges[b + 1]].tolist()
-            if mine:
-                some = [raw[i] for i in mine]
-                yield block, b, _WORDS, 0, _squeeze(np.array([len(w) for w in some], "<u4"), b"".join(some), np.diff(np.array(mine, "<u4"), prepend=np.uint32(0)).astype("<u4"))
+            some = [raw[i] for i in order[edges[b] : edges[b + 1]].tolist()]
+            if some:
+                yield block, b, _WORDS, 0, _squeeze(_planes(np.array([len(w) for w in some])), b"".join(some))
+        # which numbers went to which bucket: the answers come back in that order
+        yield block, -1, _DOCS, -1, _squeeze(_planes(np.diff(edges)), _planes(np.diff(order, prepend=0)))
         for k in range(0, len(held), DOCS_A_ROW):
             some = held[k : k + DOCS_A_ROW]
-            keys = pa.array([d[0] for d in some], pa.int64())
             known = np.array([d[0] is not None for d in some])
-            yield block, -1, _DOCS, k // DOCS_A_ROW, _squeeze(np.array([x or 0 for x in keys.to_pylist()], "<i8"), known, np.array([len(d[1]) for d in some], "<u4"), *_planes(np.concatenate([d[1] for d in some])))
+            yield block, -1, _DOCS, k // DOCS_A_ROW, _squeeze(np.array([d[0] or 0 for d in some], "<i8"), known, _planes(np.array([len(d[1]) for d in some])), _planes(rank[np.concatenate([d[1] for d in some])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(v.pattern).findall
@@ -148,9 +151,9 @@ def answer(words: DataFrame, v: Vocabulary) -> DataFrame:
         for batch in batches:
             out = []
             for block, bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                lengths, text, places = _parts(data)
+                lengths, text = _parts(data)
                 ids, at = [], 0
-                for n in np.frombuffer(lengths, "<u4").tolist():
+                for n in _joined(lengths).tolist():
                     w = text[at : at + n]
                     at += n
                     got = table.get(w)
@@ -162,7 +165,7 @@ def answer(words: DataFrame, v: Vocabulary) -> DataFrame:
                     table.clear()
                 counts = np.fromiter(map(len, ids), "<u4", len(ids))
                 flat = np.fromiter((i for x in ids for i in x), "<u4", int(counts.sum()))
-                out.append((block, bucket, _ANSWER, bucket, _squeeze(*_planes(counts), *_planes(flat), places)))
+                out.append((block, bucket, _ANSWER, bucket, _squeeze(_planes(counts), _planes(flat))))
             yield _batch(out)
 
     return words.repartition("bucket").mapInArrow(run, _ROW)
@@ -177,20 +180,24 @@ class _Block:
     """Ids of a block's words, from its answers; then of its documents, by position."""
 
     def __init__(self) -> None:
-        self.answers: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.start: np.ndarray | None = None
-
-    def take(self, data: bytes) -> None:
-        c0, c1, i0, i1, places = _parts(data)
-        self.answers.append((np.cumsum(np.frombuffer(places, "<u4").astype(np.int64)), _joined(c0, c1), _joined(i0, i1)))
-
-    def close(self) -> None:
-        at = np.concatenate([a[0] for a in self.answers]) if self.answers else np.empty(0, np.int64)
-        counts = np.concatenate([a[1] for a in self.answers]) if self.answers else np.empty(0, np.int64)
-        self.flat = np.concatenate([a[2] for a in self.answers]).astype(np.uint32) if self.answers else np.empty(0, np.uint32)
+        self.answers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def take(self, bucket: int, data: bytes) -> None:
+        counts, flat = _parts(data)
+        self.answers[bucket] = _joined(counts), _joined(flat)
+
+    def close(self, data: bytes) -> None:
+        """data: how many of the block's words went to each bucket, and their numbers."""
+        sizes, steps = map(_joined, _parts(data))
+        at = np.cumsum(steps.astype(np.uint32).view(np.int32).astype(np.int64))
+        asked = [b for b, n in enumerate(sizes.tolist()) if n]
+        if asked != sorted(self.answers):
+            raise ValueError("an answer is missing")
+        counts = np.concatenate([self.answers[b][0] for b in asked]) if asked else np.empty(0, np.int64)
+        self.flat = np.concatenate([self.answers[b][1] for b in asked]).astype(np.uint32) if asked else np.empty(0, np.uint32)
         self.start, self.count = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
         self.start[at], self.count[at] = np.cumsum(counts) - counts, counts
-        self.answers = []
+        self.answers = {}
 
     def ids(self, words: np.ndarray) -> np.ndarray:
         n = self.count[words]
@@ -221,16 +228,17 @@ def _assembled(spark, docs, v, key, text, schema, digest, types, names) -> DataF
         block, at = _Block(), None
         tokens = tokenizers_.byte_tokens(table)
         for batch in batches:
-            for b, kind, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for b, bucket, kind, seq, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if b != at:
                     block, at = _Block(), b
                 if kind == _ANSWER:
-                    block.take(data)
+                    block.take(bucket, data)
+                    continue
+                if seq < 0:
+                    block.close(data)
                     continue
-                if block.start is None:
-                    block.close()
-                keys, known, lengths, low, high = _parts(data)
-                words, ends = _joined(low, high), np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64)).tolist()
+                keys, known, lengths, words = _parts(data)
+                words, ends = _joined(words), np.cumsum(_joined(lengths)).tolist()
                 ids = [block.ids(words[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
                 keys = [k if good else None for k, good in zip(np.frombuffer(keys, "<i8").tolist(), np.frombuffer(known, bool).tolist(), strict=True)]
                 yield pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(x, t) for x, t in zip(digest(ids, tokens), types, strict=True))], [key, *names])
