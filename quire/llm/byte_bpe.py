@@ -104,7 +104,7 @@ def split(docs: DataFrame, v: Vocabulary, buckets: int, key: str, text: str) ->
             yield block, -1, _DOCS, k // DOCS_A_ROW, _squeeze(np.array([d[0] or 0 for d in some], "<i8"), known, _planes(np.array([len(d[1]) for d in some])), _planes(rank[np.concatenate([d[1] for d in some])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(v.pattern).findall
+        find, unsettled = regex.compile(v.pattern).findall, tokenizers_.unsettled().search
         block = TaskContext.get().partitionId() << 24
         words: dict[str, int] = {}
         held: list[tuple] = []
@@ -124,7 +124,7 @@ def split(docs: DataFrame, v: Vocabulary, buckets: int, key: str, text: str) ->
 
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = find(x or "")
+                found = find(x or "") if not unsettled(x or "") else tokenizers_.explicit(v.pattern).findall(x)
                 held.append((k, np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found))))
                 size += len(x or "")
                 if size >= BLOCK_CHARS:

@@ -54,16 +54,20 @@ def pieces(docs: DataFrame, setup: Setup, key: str, text: str) -> DataFrame:
     """uid, key, piece, start, length, ids_crc32 of every piece. The byte-level vocabulary's ranks give the ids that its .json gives."""
     kind = docs.schema[key].dataType.simpleString()
     ranks, pattern, special = tokenizers_.path("byte_bpe_50k.tiktoken"), tokenizers_.public_tokenizers.PATTERN, (("<|endoftext|>", 50256),)
-    names = ["uid", "key", "piece", "start", "length", "ids_crc32"]
+    names, written = ["uid", "key", "piece", "start", "length", "ids_crc32"], tokenizers_.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks, pattern, special)
+        enc, unsettled = encoder(ranks, pattern, special), tokenizers_.unsettled().search
         uid = TaskContext.get().partitionId() << 36
         for b in batches:
             rows: list[tuple] = []
             at: list[int] = []
             for i, x in enumerate(b.column(1).to_pylist()):
-                ids = np.append(enc.encode_to_numpy(x or "", allowed_special="all"), setup.end_id).astype("<u4")
+                if unsettled(x or ""):
+                    own = tokenizers_.library(written).encode(x, add_special_tokens=False).ids
+                else:
+                    own = enc.encode_to_numpy(x or "", allowed_special="all")
+                ids = np.append(own, setup.end_id).astype("<u4")
                 first = (len(ids) - 1) % setup.capacity + 1
                 cuts = [0, *range(first, len(ids) + 1, setup.capacity)]
                 for p, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):

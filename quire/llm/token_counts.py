@@ -54,6 +54,7 @@ class HeapCounter:
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))))
         split = d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
         self.pattern = regex.compile(split)
+        self.path, self.unsettled = path, tokenizers_.unsettled().search
         self.words: dict[str, int] = {}
         self.chunks: dict[str, int] = {}
 
@@ -81,6 +82,14 @@ class HeapCounter:
                 heappush(heap, (p[0], h, k, p[1]))
         return left
 
+    def split(self, chunk: str) -> list[str]:
+        """The words of a chunk; where tables of characters may differ, the library splits."""
+        if not self.unsettled(chunk):
+            return self.pattern.findall(lowered(chunk))
+        plain = {c: b for b, c in tokenizers_.byte_chars().items()}
+        t = tokenizers_.library(self.path)
+        return [bytes(plain[c] for c in w).decode() for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))]
+
     def word(self, word: str) -> int:
         n = self.words.get(word)
         if n is None:
@@ -95,7 +104,7 @@ class HeapCounter:
 
     def chunk(self, chunk: str) -> int:
         """Tokens of a text without white space and special strings."""
-        n = sum(map(self.word, self.pattern.findall(lowered(chunk))))
+        n = sum(map(self.word, self.split(chunk)))
         if len(self.chunks) >= TABLE_ENTRIES:
             self.chunks.clear()
         self.chunks[chunk] = n

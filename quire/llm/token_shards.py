@@ -27,7 +27,6 @@ import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
 
 from quire.llm import common, tokenizers_
 from quire.llm.mph import PerfectHash, fingerprints
@@ -38,11 +37,6 @@ TABLE_ENTRIES = 800_000
 _HEAD = struct.Struct("<8sqqqq")
 
 
-@lru_cache(None)
-def _tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
-
-
 def rebuilt(path: str) -> bool:
     """Whether merging each token's own bytes gives that token again.
 
@@ -68,16 +62,16 @@ class ChunkEncoder:
     """Ids of texts by a vocabulary that neither sees nor crosses white space, as bytes of one chunk after another.
 
     The words of a chunk are merged over bytes, with one byte that no text has for the word's end; chunks that hold a special
-    string, and vocabularies that `rebuilt` refuses, go to the library. Chunks and words are kept in bounded tables.
+    string or a character that tables may differ on, and vocabularies that `rebuilt` refuses, go to the library. Chunks and words are kept in bounded tables.
     """
 
     def __init__(self, path: str, by_rank: bool) -> None:
-        self.library, self.by_rank = _tokenizer(path), by_rank
+        self.library, self.by_rank = tokenizers_.library(path), by_rank
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         rules = HeapCounter(path)
-        self.pattern, self.special = rules.pattern, rules.special
+        self.pattern, self.special, self.unsettled = rules.pattern, rules.special, rules.unsettled
         if by_rank:
             d = tokenizers_.description(path)["model"]
             plain, end = {ch: b for b, ch in tokenizers_.byte_chars().items()}, d["end_of_word_suffix"]
@@ -101,7 +95,7 @@ class ChunkEncoder:
         return got
 
     def chunk(self, chunk: str) -> bytes:
-        if not self.by_rank or "<|" in chunk and self.special.search(chunk):
+        if not self.by_rank or self.unsettled(chunk) or "<|" in chunk and self.special.search(chunk):
             return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.word, self.pattern.findall(lowered(chunk))))
 
