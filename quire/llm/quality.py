@@ -114,7 +114,8 @@ def passing(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), key: s
                 good.append(words >= rules.min_words and 100 * repeated <= rules.max_repeat_pct * words and 100 * symbols <= rules.max_symbol_pct * words)
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return common.but(docs.mapInArrow(run, docs.schema), host, rates.where("refused").select("host"))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any name goes
+    return common.but(plain.mapInArrow(run, plain.schema).toDF(*docs.columns), host, rates.where("refused").select("host"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
