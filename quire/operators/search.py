@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
@@ -35,13 +38,28 @@ def _same_length_lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def _key(segment: str, kind: str) -> str:
-    x = unicodedata.normalize("NFD", segment)
-    if kind in ("base", "case"):
-        x = "".join(c for c in x if not unicodedata.combining(c))
+@lru_cache(1)
+def _marks() -> re.Pattern:
+    """Runs of combining marks."""
+    found = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    return re.compile("[" + "".join(map(chr, found)) + "]+")
+
+
+@lru_cache(65536)
+def _key(text: str, kind: str) -> str:
+    """What of a text counts: without accents for base and case, without case for base and accent."""
+    x = text if text.isascii() else unicodedata.normalize("NFD", text)
+    if kind in ("base", "case") and not x.isascii():
+        x = _marks().sub("", x)
     return x.casefold() if kind in ("base", "accent") else x
 
 
+def _plain(text: str, kind: str) -> str:
+    """The whole text as `_segments` reads it, segments joined: a range can only be where the query's is a part of this."""
+    x = _key.__wrapped__(text, kind)
+    return " ".join((x if x.isascii() else _FORMAT.sub("", x)).split())
+
+
 _GRAPHEME, _WORD, _FORMAT = regex.compile(r"\X"), regex.compile(r"(?w)\b.+?\b|\X", regex.S), regex.compile(r"\p{Format}+")
 
 
@@ -65,6 +83,8 @@ def collated(text: str, query: str, kind: str, whole_words: bool) -> Iterator[tu
     wanted = [k for k, *_ in _segments(query, whole_words, kind)]
     if not wanted:
         return
+    if _plain(query, kind) not in _plain(text, kind):
+        return
     found = _segments(text, whole_words, kind)
     n, first = len(wanted), wanted[0]
     for i, (k, start, _) in enumerate(found[: len(found) - n + 1]):
@@ -90,15 +110,7 @@ def excerpt(text: str, start: int, end: int) -> tuple[str, str, str]:
 
 
 def hits(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", **options: bool) -> DataFrame:
-    """key, hit_idx, start, end, pre, match, post of every place where the query is.
-
-    For base and accent sensitivity a collated `contains` runs first inside the engine, so that only texts with
-    some hit are scanned in Python; positions are worked out there, as folding changes lengths.
-    """
-    rough = query.strip()
-    kind = sensitivity(options.get("match_case", False), options.get("match_diacritics", False))
-    if rough and kind == "base" and rough.isascii() and rough.isalnum():
-        docs = docs.where(F.contains(F.collate(F.col(text), "UNICODE_CI_AI"), F.collate(F.lit(rough), "UNICODE_CI_AI")))
+    """key, hit_idx, start, end, pre, match, post of every place where the query is."""
 
     def one(t: str | None) -> Iterator[tuple]:
         for i, (s, e) in enumerate(ranges(t or "", query, **options)):
