@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows in one Arrow batch; with texts of some 100 KB a batch stays far below a worker's memory.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

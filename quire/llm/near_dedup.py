@@ -34,7 +34,7 @@ from quire.llm import common
 
 U = np.uint64
 #: Word hashes that a worker keeps; beyond, the table starts anew.
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ class Setup:
     rows: int = 6
     #: Most members and most characters of a bucket's block, of which a task holds two.
     block: int = 2048
-    block_chars: int = 16_000_000
+    block_chars: int = 4_000_000
 
     @property
     def size(self) -> int:
@@ -154,7 +154,7 @@ def signed(docs: DataFrame, key: str, text: str, setup: Setup) -> DataFrame:
             for x in b.column(2).to_pylist():
                 c, e, n = shingles(x)
                 if c not in known:
-                    if len(known) > 20_000:
+                    if len(known) > 5000:
                         known.clear()
                     known[c] = signature(e, n.astype(np.float64), setup.size).astype("<u2").tobytes() if len(e) else None
                 contents.append(c)
@@ -176,13 +176,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, setup: Setup) -> DataFrame:
     """Of pairs (a, b), those at least as similar as the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, last = Shingler(setup.words), {}
+        shingles, last, held = Shingler(setup.words), {}, 0
 
         def sets(c: bytes, x: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
             if c not in last:
-                if len(last) > 2000:
+                if held > 1_000_000:  # shingles
                     last.clear()
+                    held = 0
                 last[c] = shingles(x)[1:]
+                held += len(last[c][0])
             return last[c]
 
         for batch in batches:
