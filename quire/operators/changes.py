@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.functions import dates
-from quire.operators import access, filters
+from quire.operators import access, aggregates, filters
 
 
 def captured(sessions: DataFrame) -> DataFrame:
@@ -114,3 +114,33 @@ def schema_version_ok(version: int) -> bool:
     from quire import schema
 
     return 0 < version <= schema.VERSION
+
+
+def deletable_themes(themes: DataFrame, ids: list[int], keep: int = 2) -> DataFrame:
+    """Themes without those of ids, or all of them where fewer than `keep` would stay."""
+    left = themes.where(~F.col("id").isin(ids)) if ids else themes
+    return left if left.count() >= keep else themes
+
+
+def migrated(tables: dict[str, DataFrame], version: int, base: str = "") -> dict[str, DataFrame]:
+    """Tables of an older version in the current one's columns: what is new is empty, paths lose the base folder, groups in use get a row."""
+    from quire import schema
+
+    if not 0 <= version <= schema.VERSION:
+        raise ValueError(f"version {version} is newer than {schema.VERSION}")
+    out = dict(tables)
+    books = out["books"]
+    new = {"rating": F.lit(0.0), "group_id": F.lit(0).cast("long"), "file_md5": F.lit(None).cast("string")}
+    for c, v in new.items():
+        books = books if c in books.columns else books.withColumn(c, v)
+    if base:
+        for c in ("cover_path", "file_path"):
+            books = books.withColumn(c, F.replace(c, F.lit(base), F.lit("")))
+    out["books"] = books
+    if "reader_note" not in out["notes"].columns:
+        out["notes"] = out["notes"].withColumn("reader_note", F.lit(None).cast("string"))
+    if "groups" not in out:
+        used = aggregates.group_ids(books).select(F.col("group_id").alias("id"), F.lit("...").alias("name"), F.lit(0).cast("long").alias("parent_id"), F.lit(False).alias("is_deleted"))
+        root = books.sparkSession.range(1).select("id", F.lit("Root").alias("name"), F.lit(None).cast("long").alias("parent_id"), F.lit(False).alias("is_deleted"))
+        out["groups"] = root.unionByName(used)
+    return out

@@ -719,6 +719,17 @@ def u12b(lib: DriverLibrary) -> DataFrame:
     return changes.empty_groups(lib.groups, lib.books).select("id", "name")
 
 
+@query("u10_themes_kept", "SELECT r_regionkey::BIGINT AS id FROM region WHERE r_regionkey NOT IN (0, 1)")
+def u10(lib: DriverLibrary) -> DataFrame:
+    themes = lib.raw("region").selectExpr("CAST(r_regionkey AS BIGINT) AS id")
+    return changes.deletable_themes(changes.deletable_themes(themes, [0, 1]), [2, 3])
+
+
+@query("u13_migrated_groups", "SELECT 0::BIGINT AS id, 'Root' AS name UNION ALL SELECT DISTINCT group_id, '...' FROM books WHERE group_id <> 0")
+def u13(lib: DriverLibrary) -> DataFrame:
+    return changes.migrated({"books": lib.books.drop("rating", "file_md5"), "notes": lib.notes.drop("reader_note")}, 4)["groups"].select("id", "name")
+
+
 # --- scalar functions -------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire import schema
 from quire.operators import access, aggregates, changes, documents, filters, joins, search, sets, sorts, windows
 from quire.plans import tools
-from quire.sources import books as book_files, files, sinks
+from quire.sources import books as book_files, files, remote, sinks
 from quire.sources.library import DriverLibrary, Library
 from quire.streaming import reading
 
@@ -181,6 +181,30 @@ def test_snapshot_and_restore(spark, sf, tmp_path):
         sinks.restored(spark, str(tmp_path / "none"), str(tmp_path / "live"))
 
 
+def test_remote_folder(spark, tmp_path):
+    r = remote.Remote(spark, f"file://{tmp_path}/remote")
+    (tmp_path / "local").mkdir()
+    (tmp_path / "local" / "a.epub").write_text("a")
+    assert not r.ping() and r.listed("books", create=True).count() == 0 and r.ping()
+    plan = spark.createDataFrame([("a.epub", "upload")], "name string, action string")
+    assert remote.apply(r, plan, str(tmp_path / "local"), "books") == {"upload": 1}
+    assert [(x["name"], x["size"], x["is_dir"]) for x in r.listed("books").collect()] == [("a.epub", 1, False)] and r.properties("books/none") is None
+    r.download("books/a.epub", str(tmp_path / "back"))
+    assert (tmp_path / "back").read_text() == "a" and r.remove("books/a.epub") and r.listed("books").count() == 0
+    for bad in (lambda: r.listed("../x"), lambda: r.listed("nowhere")):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            bad()
+
+
+def test_migration(spark, sf):
+    lib = DriverLibrary(spark, sf)
+    old = {"books": lib.books.drop("rating", "file_md5").withColumn("file_path", F.concat(F.lit("/base/"), "file_path")), "notes": lib.notes.drop("reader_note")}
+    new = changes.migrated(old, 3, "/base/")
+    assert {"rating", "file_md5"} <= set(new["books"].columns) and new["books"].where("file_path LIKE '/base%'").count() == 0 and "reader_note" in new["notes"].columns
+    with pytest.raises(ValueError):
+        changes.migrated(old, 8)
+
+
 def test_csv(spark, sf, tmp_path):
     lib = DriverLibrary(spark, sf)
     sinks.write_csv(sinks.notes_table(lib.notes, lib.books).orderBy("Update Time").limit(20), str(tmp_path / "csv"))
