@@ -23,7 +23,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,12 @@ _PARTIAL = "query_id long, ids binary, scores binary"
 class Setup:
     k: int = 20
     tables: int = 6
-    #: Width of a cell, on the unit sphere.
+    #: Width of a cell, on the unit sphere, to begin with.
     width: float = 1.5
     #: Sample recall that the number of probes must reach; a margin above the 0.9 that is promised.
     recall: float = 0.96
     calibration: int = 64
+    #: Probes of a table that are tried for that; cells are widened where they don't suffice.
     most_probes: int = 2048
     part_rows: int = 8192
     block_rows: int = 32_768
@@ -184,29 +185,35 @@ def fit(rows: DataFrame, asked: Column, d: int, setup: Setup) -> Index | None:
     if not n or not some:
         return None
     k = max(4, round(math.log(n, 4)))
-    rng = np.random.default_rng(setup.seed)
-    directions = rng.normal(size=(setup.tables, d + 1, k))
-    shifts = rng.random((setup.tables, k)) * setup.width
-    odd = rng.integers(0, 2**62, (setup.tables, k), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    full = Index(norm, directions, shifts, odd, setup.width, wall_steps(k, setup.most_probes))
     queries = [(r["id"], r["x"]) for r in some]
     true: dict[int, list[list[float]]] = {}
     for r in exact(rows, queries, setup.k, d).collect():  # calibration x k rows
         true.setdefault(r["query_id"], []).append(r["x"])
-    first = []
-    for i, x in queries:
-        if i in true:
-            probes, cells = full.probes(np.array(x)), np.floor(full.project(np.array(true[i]), False))
-            at = np.full(len(true[i]), len(full.steps))
-            for t in range(setup.tables):
-                seen: dict[int, int] = {}
-                for place, key in enumerate(probes[t].tolist()):
-                    seen.setdefault(key, place)
-                at = np.minimum(at, [seen.get(key, len(full.steps)) for key in bucket_numbers(odd[t], t, cells[t]).tolist()])
-            first += at.tolist()
-    first.sort()
-    need = first[min(len(first) - 1, math.ceil(setup.recall * len(first)) - 1)] + 1 if first else 1
-    return Index(norm, directions, shifts, odd, setup.width, full.steps[: min(need, len(full.steps))])
+    asked_of = [(np.array(x), np.array(true[i])) for i, x in queries if i in true]
+    width = setup.width
+    while True:
+        rng = np.random.default_rng(setup.seed)
+        directions = rng.normal(size=(setup.tables, d + 1, k))
+        shifts = rng.random((setup.tables, k)) * width
+        odd = rng.integers(0, 2**62, (setup.tables, k), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        full = Index(norm, directions, shifts, odd, width, wall_steps(k, setup.most_probes))
+        places = sorted(p for x, near in asked_of for p in _first_probes(full, x, near))
+        need = places[min(len(places) - 1, math.ceil(setup.recall * len(places)) - 1)] + 1 if places else 1
+        if need <= len(full.steps):
+            return replace(full, steps=full.steps[:need])
+        width *= 1.25  # the recall isn't reached by any number of probes: wider cells hold more
+
+
+def _first_probes(index: Index, x: np.ndarray, near: np.ndarray) -> list[int]:
+    """For each of the vectors near x, the number of the first probe, over all tables, that finds it; the number of probes if none does."""
+    probes, cells = index.probes(x), np.floor(index.project(near, False))
+    at = np.full(len(near), len(index.steps))
+    for t in range(len(index.odd)):
+        seen: dict[int, int] = {}
+        for place, key in enumerate(probes[t].tolist()):
+            seen.setdefault(key, place)
+        at = np.minimum(at, [seen.get(key, len(index.steps)) for key in bucket_numbers(index.odd[t], t, cells[t]).tolist()])
+    return at.tolist()
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, asked: Column, key: str = "vec_id", vector: str = "embedding", setup: Setup = Setup()) -> DataFrame:
