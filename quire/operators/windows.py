@@ -10,21 +10,21 @@ from quire.functions import dates
 from quire.operators import aggregates
 
 
-def islands(rows: DataFrame) -> DataFrame:
-    """Runs of consecutive reading days: first, last, length. A day minus its rank is the same all along a run.
+def islands(rows: DataFrame, *by: str) -> DataFrame:
+    """Runs of consecutive reading days: first, last, length; by other columns, if any, each with its own. A day minus its rank is the same all along a run.
 
     The window runs over distinct days, of which there are some hundreds a year, not over rows.
     """
-    days = rows.select(dates.day("date").alias("day")).where(F.col("day").isNotNull()).distinct()
-    runs = days.withColumn("run", F.date_sub("day", F.row_number().over(Window.orderBy("day"))))
-    return runs.groupBy("run").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("length")).drop("run")
+    days = rows.select(*by, dates.day("date").alias("day")).where(F.col("day").isNotNull()).distinct()
+    runs = days.withColumn("run", F.date_sub("day", F.row_number().over(Window.partitionBy(*by).orderBy("day"))))
+    return runs.groupBy(*by, "run").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("length")).drop("run")
 
 
-def streak(rows: DataFrame, as_of: str) -> DataFrame:
+def streak(rows: DataFrame, as_of: str, *by: str) -> DataFrame:
     """Current and longest run of days, and the last day. The current one is 0 once its last day is before yesterday; one in the future counts."""
-    top = islands(rows).agg(F.max("length").alias("longest"), F.max(F.struct("last", "length")).alias("end"))
+    top = islands(rows, *by).groupBy(*by).agg(F.max("length").alias("longest"), F.max(F.struct("last", "length")).alias("end"))
     alive = F.datediff(F.lit(as_of).cast("date"), F.col("end.last")) <= 1
-    return top.select(F.coalesce(F.when(alive, F.col("end.length")), F.lit(0)).alias("current"), F.coalesce("longest", F.lit(0)).alias("longest"), F.col("end.last").alias("last_day"))
+    return top.select(*by, F.coalesce(F.when(alive, F.col("end.length")), F.lit(0)).alias("current"), F.coalesce("longest", F.lit(0)).alias("longest"), F.col("end.last").alias("last_day"))
 
 
 def running_total(spark: SparkSession, rows: DataFrame, days: int, as_of: str) -> DataFrame:

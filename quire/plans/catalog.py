@@ -52,11 +52,10 @@ def g3(lib: DriverLibrary) -> DataFrame:
     return access.statement(lib.spark, "SELECT book_id, sum(reading_time) AS seconds FROM {rows} WHERE book_id < :most GROUP BY book_id", {"most": 20}, rows=lib.reading_time)
 
 
-@query("g4_write", "SELECT id, CASE WHEN id % 100 = 0 THEN 'renamed' ELSE title END AS title FROM books WHERE id % 50 <> 1")
+@query("g4_write", "SELECT id, CASE WHEN rating = 0 THEN 'renamed' ELSE title END AS title FROM books WHERE group_id <> 3")
 def g4(lib: DriverLibrary) -> DataFrame:
-    rows = lib.books.select("id", "title")
-    changed = access.upserted(rows, rows.where("id % 100 = 0").withColumn("title", F.lit("renamed")), "id")
-    return access.deleted(changed, rows.where("id % 50 = 1").select("id"), "id")
+    changed = access.upserted(lib.books.select("id", "title"), lib.books.where("rating = 0").select("id", F.lit("renamed").alias("title")), "id")
+    return access.deleted(changed, lib.books.where("group_id = 3").select("id"), "id")
 
 
 # --- sources ----------------------------------------------------------------
@@ -74,13 +73,13 @@ def c7(lib: DriverLibrary) -> DataFrame:
     return changes.duplicates(lib.books, lib.raw("part").selectExpr("concat('part-', p_partkey) AS name", "md5(p_name) AS file_md5"))
 
 
-_FILES = "SELECT split_part(file_path, '/', 2) AS name, CASE WHEN id % 5 = 0 THEN 0 ELSE id * 100 END AS length FROM books WHERE id % 4 <> 0"
+_FILES = "SELECT split_part(file_path, '/', 2) AS name, CASE WHEN rating = 2 THEN 0 ELSE id * 100 END AS length FROM books WHERE group_id <> 4"
 
 
 @query("c8_md5_backfill", f"""SELECT count(*) FILTER (f.length > 0) AS calculated, count(*) FILTER (f.length IS NULL) AS skipped, count(*) FILTER (f.length = 0) AS failed, count(*) AS total
     FROM books b LEFT JOIN ({_FILES}) f ON f.name = split_part(b.file_path, '/', 2) WHERE NOT b.is_deleted AND coalesce(b.file_md5, '') = ''""")
 def c8(lib: DriverLibrary) -> DataFrame:
-    return aggregates.hash_backfill(lib.books, lib.books.where("id % 4 <> 0").selectExpr("substring_index(file_path, '/', -1) AS name", "CASE WHEN id % 5 = 0 THEN 0 ELSE id * 100 END AS length"))
+    return aggregates.hash_backfill(lib.books, lib.books.where("group_id <> 4").selectExpr("substring_index(file_path, '/', -1) AS name", "CASE WHEN rating = 2 THEN 0 ELSE id * 100 END AS length"))
 
 
 @query("c9_md5_statistics", """SELECT count(*) AS total, count(*) FILTER (coalesce(file_md5, '') <> '') AS with_md5, count(*) FILTER (coalesce(file_md5, '') = '') AS without_md5,
@@ -287,11 +286,11 @@ def j11(lib: DriverLibrary) -> DataFrame:
 
 
 def _toc(lib: DriverLibrary) -> DataFrame:
-    return lib.raw("conversations").where("turn % 3 = 0").selectExpr("conv_id AS doc_id", "turn AS section_idx", "concat('turn ', turn) AS label")
+    return lib.raw("conversations").where("role = 'assistant'").selectExpr("conv_id AS doc_id", "turn AS section_idx", "concat('turn ', turn) AS label")
 
 
 @query("j12_labelled_hits", """SELECT c.conv_id AS doc_id, c.turn AS section_idx, CASE WHEN count(*) > 0 THEN max_by('turn ' || t.turn, t.turn) END AS label
-    FROM conversations c LEFT JOIN conversations t ON t.conv_id = c.conv_id AND t.turn <= c.turn AND t.turn % 3 = 0 WHERE c.role = 'user' GROUP BY c.conv_id, c.turn""")
+    FROM conversations c LEFT JOIN conversations t ON t.conv_id = c.conv_id AND t.turn <= c.turn AND t.role = 'assistant' WHERE c.role = 'user' GROUP BY c.conv_id, c.turn""")
 def j12(lib: DriverLibrary) -> DataFrame:
     hits = lib.raw("conversations").where("role = 'user'").selectExpr("conv_id AS doc_id", "turn AS section_idx").distinct()
     return joins.labelled_hits(hits, _toc(lib).distinct())
@@ -424,10 +423,10 @@ def a21(lib: DriverLibrary) -> DataFrame:
 
 
 def _plan(lib: DriverLibrary) -> DataFrame:
-    return lib.books.where("id % 3 = 0").selectExpr("id AS book_id", "CASE WHEN id % 5 = 0 THEN 0 ELSE id % 11 END AS group_id")
+    return lib.books.selectExpr("id AS book_id", "CASE WHEN id % 5 = 0 THEN 0 ELSE id % 11 END AS group_id")
 
 
-_PLAN = "SELECT id AS book_id, CASE WHEN id % 5 = 0 THEN 0 ELSE id % 11 END AS group_id FROM books WHERE id % 3 = 0"
+_PLAN = "SELECT id AS book_id, CASE WHEN id % 5 = 0 THEN 0 ELSE id % 11 END AS group_id FROM books"
 
 
 @query("a22_plan_statistics", f"""SELECT count(DISTINCT CASE WHEN p.group_id <> 0 THEN p.group_id END) AS groups, count(*) FILTER (p.group_id <> b.group_id) AS moved, count(*) FILTER (p.group_id = 0 AND b.group_id <> 0) AS ungrouped
@@ -461,17 +460,23 @@ def a26(lib: DriverLibrary) -> DataFrame:
 
 # --- windows ----------------------------------------------------------------
 
-_ISLANDS = "SELECT min(day) AS first, max(day) AS last, count(*) AS length FROM (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INT) AS run FROM (SELECT DISTINCT day FROM reading_time WHERE book_id = 3)) GROUP BY run"
+_ISLANDS = "SELECT book_id, min(day) AS first, max(day) AS last, count(*) AS length FROM (SELECT book_id, day, day - CAST(row_number() OVER (PARTITION BY book_id ORDER BY day) AS INT) AS run FROM (SELECT DISTINCT book_id, day FROM reading_time)) GROUP BY book_id, run"
+_STREAK = "coalesce(CASE WHEN date_diff('day', max(last), DATE '2024-01-30') <= 1 THEN arg_max(length, last) END, 0) AS current, coalesce(max(length), 0) AS longest, max(last) AS last_day"
 
 
 @query("w1_islands", _ISLANDS)
 def w1(lib: DriverLibrary) -> DataFrame:
-    return windows.islands(lib.reading_time.where("book_id = 3"))
+    return windows.islands(lib.reading_time, "book_id")
 
 
-@query("w2_w3_streak", f"""SELECT coalesce(CASE WHEN date_diff('day', max(last), DATE '2024-01-30') <= 1 THEN arg_max(length, last) END, 0) AS current, coalesce(max(length), 0) AS longest, max(last) AS last_day FROM ({_ISLANDS})""")
+@query("w2_w3_streak", f"SELECT {_STREAK} FROM ({_ISLANDS.replace('book_id, ', '').replace('PARTITION BY book_id ', '')})")
 def w2(lib: DriverLibrary) -> DataFrame:
-    return windows.streak(lib.reading_time.where("book_id = 3"), AS_OF)
+    return windows.streak(lib.reading_time, AS_OF)
+
+
+@query("w2_w3_streak_by_book", f"SELECT book_id, {_STREAK} FROM ({_ISLANDS}) GROUP BY book_id")
+def w3(lib: DriverLibrary) -> DataFrame:
+    return windows.streak(lib.reading_time, AS_OF, "book_id")
 
 
 def _running(days: int, start: str) -> None:
@@ -492,7 +497,7 @@ _FRACTIONS = f"""SELECT doc_id, section_idx, counted, upto / nullif(total, 0) AS
     FROM (SELECT *, CASE WHEN linear AND size > 0 THEN size ELSE 0 END AS counted FROM ({_SECTIONS})))"""
 
 
-@query("w5_carried_labels", """SELECT doc_id, section_idx, label FROM (SELECT c.conv_id AS doc_id, c.turn AS section_idx, last_value(CASE WHEN turn % 3 = 0 THEN 'turn ' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS label FROM conversations c)""")
+@query("w5_carried_labels", """SELECT doc_id, section_idx, label FROM (SELECT c.conv_id AS doc_id, c.turn AS section_idx, last_value(CASE WHEN role = 'assistant' THEN 'turn ' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS label FROM conversations c)""")
 def w5(lib: DriverLibrary) -> DataFrame:
     return windows.carried_labels(_sections(lib).select("doc_id", "section_idx"), _toc(lib))
 
@@ -526,19 +531,19 @@ def w11(lib: DriverLibrary) -> DataFrame:
 # --- sorts ------------------------------------------------------------------
 
 
-@query("t1_shelf", "SELECT id, title FROM books WHERE NOT is_deleted ORDER BY lower(title) DESC, id LIMIT 40")
+@query("t1_shelf", "SELECT id, title FROM books WHERE NOT is_deleted")
 def t1(lib: DriverLibrary) -> DataFrame:
-    return sorts.shelf(lib.books, "title", ascending=False).select("id", "title").limit(40)
+    return sorts.shelf(lib.books, "title", ascending=False).select("id", "title")
 
 
-@query("t2_tags", "SELECT id, name FROM tags ORDER BY lower(name), id LIMIT 2")
+@query("t2_tags", "SELECT id, name FROM tags")
 def t2(lib: DriverLibrary) -> DataFrame:
-    return sorts.tags(lib.tags).select("id", "name").limit(2)
+    return sorts.tags(lib.tags).select("id", "name")
 
 
-@query("t3_notes_by_time", "SELECT id FROM notes ORDER BY coalesce(create_time, TIMESTAMP '1970-01-01') ASC, id LIMIT 50")
+@query("t3_notes_by_time", "SELECT id, create_time FROM notes")
 def t3(lib: DriverLibrary) -> DataFrame:
-    return sorts.notes_by_time(lib.notes).select("id").limit(50)
+    return sorts.notes_by_time(lib.notes).select("id", "create_time")
 
 
 @query("t5_top_completion", "SELECT id, reading_percentage FROM books WHERE NOT is_deleted AND reading_percentage >= 0.6 AND reading_percentage < 0.93 ORDER BY reading_percentage DESC, id LIMIT 5")
@@ -581,16 +586,16 @@ def t12(lib: DriverLibrary) -> DataFrame:
     return sorts.newest(lib.history.select("id", "updated_at"), "updated_at", 3)
 
 
-@query("t13_bookmarks", "SELECT id, CAST(color AS DOUBLE) AS percentage FROM notes WHERE type = 'bookmark' ORDER BY percentage, id LIMIT 25")
+@query("t13_bookmarks", "SELECT id, CAST(color AS DOUBLE) AS percentage FROM notes WHERE type = 'bookmark'")
 def t13(lib: DriverLibrary) -> DataFrame:
     from quire import schema
 
-    return sorts.bookmarks(schema.bookmarks_of_notes(lib.notes)).select("id", "percentage").limit(25)
+    return sorts.bookmarks(schema.bookmarks_of_notes(lib.notes)).select("id", "percentage")
 
 
-@query("t14_by_size", "SELECT file_path AS path, (id * 7919) % 10007 AS length FROM books ORDER BY length DESC, path LIMIT 20")
+@query("t14_by_size", "SELECT file_path AS path, (id * 7919) % 10007 AS length FROM books")
 def t14(lib: DriverLibrary) -> DataFrame:
-    return sorts.by_size(lib.books.selectExpr("file_path AS path", "(id * 7919) % 10007 AS length")).limit(20)
+    return sorts.by_size(lib.books.selectExpr("file_path AS path", "(id * 7919) % 10007 AS length"))
 
 
 @query("t15_on_top", "SELECT id, group_id AS folder, CAST(row_number() OVER (PARTITION BY group_id ORDER BY id <> 24, id) AS INT) AS rank FROM books WHERE group_id <> 0")
@@ -628,9 +633,9 @@ def s4(lib: DriverLibrary) -> DataFrame:
     return lib.books.select("id", F.array_join(sets.unique(F.transform(F.array(F.col("id") % 3, (F.col("id") + 1) % 3, F.col("id") % 3), lambda v: v.cast("string"))), ",").alias("kept"))
 
 
-@query("s5_repeated_targets", "SELECT book_id, count(*) AS n FROM (SELECT id % 400 AS book_id FROM books WHERE id % 3 = 0) GROUP BY 1 HAVING count(*) > 1")
+@query("s5_repeated_targets", "SELECT book_id, count(*) AS n FROM (SELECT id % 400 AS book_id FROM books) GROUP BY 1 HAVING count(*) > 1")
 def s5(lib: DriverLibrary) -> DataFrame:
-    return sets.repeated_targets(lib.books.where("id % 3 = 0").selectExpr("id % 400 AS book_id"))
+    return sets.repeated_targets(lib.books.selectExpr("id % 400 AS book_id"))
 
 
 @query("s6_sync_direction", """SELECT id, CASE WHEN rv > 7 THEN 'abort' WHEN remote IS NULL THEN 'upload' WHEN abs(l - remote) < 5 THEN 'none' WHEN asked = 'both' AND (u IS NULL OR abs(u - remote) > 5) THEN 'ask' ELSE asked END AS direction
@@ -647,9 +652,9 @@ def s6(lib: DriverLibrary) -> DataFrame:
 # --- changes ----------------------------------------------------------------
 
 
-@query("u1_merged_reading", "SELECT book_id, day, sum(reading_time)::BIGINT AS reading_time FROM (SELECT book_id, day, reading_time FROM reading_time UNION ALL SELECT book_id, DATE '2024-01-30', 60 FROM reading_time WHERE id % 10 = 0) GROUP BY book_id, day")
+@query("u1_merged_reading", "SELECT book_id, day, sum(reading_time)::BIGINT AS reading_time FROM (SELECT book_id, day, reading_time FROM reading_time UNION ALL SELECT book_id, DATE '2024-01-30', 60 FROM reading_time) GROUP BY book_id, day")
 def u1(lib: DriverLibrary) -> DataFrame:
-    return changes.merged_reading(lib.reading_time, lib.reading_time.where("id % 10 = 0").selectExpr("book_id", "'2024-01-30T10:00:00' AS date", "60L AS reading_time"))
+    return changes.merged_reading(lib.reading_time, lib.reading_time.selectExpr("book_id", "'2024-01-30T10:00:00' AS date", "60L AS reading_time"))
 
 
 @query("u2_captured", "SELECT user_id AS book_id, strftime(ts, '%Y-%m-%d') AS date, event_id % 12 AS reading_time FROM events WHERE event_id % 3 = 0 OR (event_id % 12 > 5 AND event_id % 3 = 1)")
@@ -661,17 +666,17 @@ def u2(lib: DriverLibrary) -> DataFrame:
 @query("u3_saved_notes", f"""SELECT id, book_id, cfi, type FROM (SELECT *, row_number() OVER (PARTITION BY book_id, cfi ORDER BY update_time DESC, id DESC) AS n FROM notes WHERE type IN {NOTES}) WHERE n = 1
     UNION ALL SELECT id, book_id, cfi, type FROM notes WHERE type NOT IN {NOTES}""")
 def u3(lib: DriverLibrary) -> DataFrame:
-    return changes.saved_notes(lib.notes.where("id % 2 = 0"), lib.notes.where("id % 2 = 1")).select("id", "book_id", "cfi", "type")
+    return changes.saved_notes(lib.notes.where("type = 'highlight'"), lib.notes.where("type <> 'highlight'")).select("id", "book_id", "cfi", "type")
 
 
-@query("u4_new_bookmarks", "SELECT id, book_id, cfi FROM notes b WHERE id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM notes n WHERE n.cfi = b.cfi AND n.book_id = b.book_id AND n.id % 4 = 1)")
+@query("u4_new_bookmarks", "SELECT id, book_id, cfi FROM notes b WHERE type = 'bookmark' AND NOT EXISTS (SELECT 1 FROM notes n WHERE n.cfi = b.cfi AND n.book_id = b.book_id AND n.type <> 'bookmark')")
 def u4(lib: DriverLibrary) -> DataFrame:
-    return changes.new_bookmarks(lib.notes.where("id % 4 = 1"), lib.notes.where("id % 4 = 0").select("id", "book_id", "cfi")).select("id", "book_id", "cfi")
+    return changes.new_bookmarks(lib.notes.where("type <> 'bookmark'"), lib.notes.where("type = 'bookmark'").select("id", "book_id", "cfi")).select("id", "book_id", "cfi")
 
 
-@query("u5_saved_books", "SELECT id, CASE WHEN id % 9 = 0 THEN 'new' ELSE title END AS title, CASE WHEN id % 9 = 0 THEN TIMESTAMP '2024-01-30' ELSE update_time END AS update_time FROM books")
+@query("u5_saved_books", "SELECT id, CASE WHEN is_deleted THEN 'new' ELSE title END AS title, CASE WHEN is_deleted THEN TIMESTAMP '2024-01-30' ELSE update_time END AS update_time FROM books")
 def u5(lib: DriverLibrary) -> DataFrame:
-    return changes.saved_books(lib.books, lib.books.where("id % 9 = 0").withColumn("title", F.lit("new")), AS_OF).select("id", "title", "update_time")
+    return changes.saved_books(lib.books, lib.books.where("is_deleted").withColumn("title", F.lit("new")), AS_OF).select("id", "title", "update_time")
 
 
 @query("u6_imported", """SELECT b.id, coalesce(b.title, f.title) AS title, f.file_path, coalesce(b.rating, 0.0) AS rating, false AS is_deleted, 0::BIGINT AS group_id FROM
@@ -682,14 +687,14 @@ def u6(lib: DriverLibrary) -> DataFrame:
     return changes.imported(lib.books, files, AS_OF).select("id", "title", "file_path", "rating", "is_deleted", "group_id")
 
 
-@query("u7_soft_deleted", "SELECT id, is_deleted OR id % 7 = 1 AS is_deleted FROM books")
+@query("u7_soft_deleted", "SELECT id, is_deleted OR group_id = 1 AS is_deleted FROM books")
 def u7(lib: DriverLibrary) -> DataFrame:
-    return changes.soft_deleted(lib.books, lib.books.where("id % 7 = 1")).select("id", "is_deleted")
+    return changes.soft_deleted(lib.books, lib.books.where("group_id = 1")).select("id", "is_deleted")
 
 
-@query("u8_added_groups", "SELECT id, name, parent_id FROM lib_groups UNION ALL SELECT 900 + p_partkey, '...', 0 FROM part WHERE p_partkey <= 3")
+@query("u8_added_groups", "SELECT id, name, parent_id FROM lib_groups UNION ALL SELECT 900 + n_nationkey, '...', 0 FROM nation")
 def u8(lib: DriverLibrary) -> DataFrame:
-    new = lib.raw("part").where("p_partkey <= 3").selectExpr("900 + p_partkey AS id", "CAST(NULL AS STRING) AS name", "CAST(NULL AS BIGINT) AS parent_id").unionByName(lib.groups.select("id", "name", "parent_id").limit(2))
+    new = lib.raw("nation").selectExpr("CAST(900 + n_nationkey AS BIGINT) AS id", "CAST(NULL AS STRING) AS name", "CAST(NULL AS BIGINT) AS parent_id").unionByName(lib.groups.select("id", "name", "parent_id"))
     return changes.added_groups(lib.groups, new).select("id", "name", "parent_id")
 
 
@@ -809,9 +814,9 @@ def x5(lib: DriverLibrary) -> DataFrame:
     return lib.books.select("id", strings.title_of_file(name).alias("book"), strings.author_of_file(name).alias("writer"))
 
 
-@query("x6_xml_escaped", "SELECT page_id, replace(replace(replace(replace(replace(substring(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS text FROM pages")
+@query("x6_xml_escaped", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS text FROM pages")
 def x6(lib: DriverLibrary) -> DataFrame:
-    return lib.raw("pages").select("page_id", strings.xml_escaped(F.substring("html", 1, 400)).alias("text"))
+    return lib.raw("pages").select("page_id", strings.xml_escaped("html").alias("text"))
 
 
 @query("x7_collapsed", r"SELECT id, md5(regexp_replace(content, '\s+', ' ', 'g')) AS hash FROM notes")

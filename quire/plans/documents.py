@@ -31,28 +31,25 @@ def p1(lib: DriverLibrary) -> DataFrame:
     return documents.split_chapters(docs, rule=documents.Rule.built_in("en_chapter_number")).select("doc_id", "section_idx", "title", F.md5("content").alias("hash"))
 
 
-@query("p1_default_rule", "SELECT doc_id, 0 AS section_idx, doc_id::VARCHAR AS title FROM documents WHERE length(text) <= 20000")
-def p1b(lib: DriverLibrary) -> DataFrame:
-    return documents.split_chapters(_texts(lib).where("length(text) <= 20000")).select("doc_id", "section_idx", "title")
-
-
 @query("p2_p3_rules", """SELECT * FROM (VALUES ('default_chapter_rule', 7, 5), ('cn_only_numeric', 4, 3), ('en_chapter_number', 4, 3), ('en_volume_number', 4, 3)) AS t(rule, samples, matches)""")
 def p3(lib: DriverLibrary) -> DataFrame:
     rows = [(n, len(documents.SAMPLES[n]), sum(m for _, m in documents.Rule.built_in(n).evaluated()[0])) for n in documents.RULES]
     return _values(lib, rows, "rule string, samples int, matches int")
 
 
-@query("p4_chunks", """WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS section_idx, 0::BIGINT AS start FROM documents WHERE length(text) > 20000 UNION ALL
-    SELECT doc_id, text, section_idx + 1, start + 20000 + CASE WHEN strpos(substring(text, start + 20001), chr(10)) > 0 THEN strpos(substring(text, start + 20001), chr(10)) ELSE length(text) END
-    FROM c WHERE start + 20000 + CASE WHEN strpos(substring(text, start + 20001), chr(10)) > 0 THEN strpos(substring(text, start + 20001), chr(10)) ELSE length(text) END < length(text))
-    SELECT doc_id, section_idx, 'No.' || (section_idx + 1) AS title FROM c""")
+_NEXT = "start + 20000 + CASE WHEN strpos(substring(text, start + 20001), chr(10)) > 0 THEN strpos(substring(text, start + 20001), chr(10)) ELSE length(text) END"
+
+
+@query("p1_p4_default_rule_and_chunks", f"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS section_idx, 0::BIGINT AS start FROM documents WHERE length(text) > 20000 UNION ALL
+    SELECT doc_id, text, section_idx + 1, {_NEXT} FROM c WHERE {_NEXT} < length(text))
+    SELECT doc_id, section_idx, 'No.' || (section_idx + 1) AS title FROM c UNION ALL SELECT doc_id, 0, doc_id::VARCHAR FROM documents WHERE length(text) <= 20000""")
 def p4(lib: DriverLibrary) -> DataFrame:
-    return documents.split_chapters(_texts(lib).where("length(text) > 20000")).select("doc_id", "section_idx", "title")
+    return documents.split_chapters(_texts(lib)).select("doc_id", "section_idx", "title")
 
 
-@query("p5_titles", r"SELECT doc_id, trim(regexp_extract(text, '[^\n]*\S[^\n]*')) AS title FROM documents WHERE regexp_matches(text, '\S')")
+@query("p5_titles", r"SELECT doc_id, trim(regexp_extract(text, '[^\n]*\S[^\n]*')) AS title FROM documents")
 def p5(lib: DriverLibrary) -> DataFrame:
-    sections = _texts(lib).where(F.col("text").rlike(r"\S")).select("doc_id", F.lit(0).alias("section_idx"), F.lit(" ").alias("title"), F.col("text").alias("content"))
+    sections = _texts(lib).select("doc_id", F.lit(0).alias("section_idx"), F.lit(" ").alias("title"), F.col("text").alias("content"))
     return documents.titled(sections).select("doc_id", "title")
 
 
@@ -66,23 +63,23 @@ def p6(lib: DriverLibrary) -> DataFrame:
 
 
 def _book_parts(lib: DriverLibrary) -> DataFrame:
-    return lib.raw("conversations").where("turn < 4").selectExpr("conv_id AS doc_id", "concat('Talk ', conv_id) AS book_title", "role AS author", "CAST(turn AS INT) AS section_idx", "concat('Part ', turn, ' <&>') AS title", "text AS content", "CAST(1 + turn % 2 AS INT) AS level")
+    return lib.raw("conversations").selectExpr("conv_id AS doc_id", "concat('Talk ', conv_id) AS book_title", "role AS author", "CAST(turn AS INT) AS section_idx", "concat('Part ', turn, ' <&>') AS title", "text AS content", "CAST(1 + turn % 2 AS INT) AS level")
 
 
-@query("c3_k3_epub_sections", """SELECT conv_id::VARCHAR AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS section_idx, md5('Part ' || turn || ' <&>' || regexp_replace(text, '\\s*\\n\\s*', '', 'g')) AS hash FROM conversations WHERE turn < 4""")
+@query("c3_k3_epub_sections", """SELECT conv_id::VARCHAR AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS section_idx, md5('Part ' || turn || ' <&>' || regexp_replace(text, '\\s*\\n\\s*', '', 'g')) AS hash FROM conversations""")
 def c3(lib: DriverLibrary) -> DataFrame:
     made = books.epubs(_book_parts(lib)).select(F.col("doc_id").cast("string").alias("path"), "content")
     return books.epub_sections(made).select("path", "section_idx", F.md5("text").alias("hash"))
 
 
-@query("p7_p8_epub_toc", """SELECT conv_id::VARCHAR AS path, CAST(row_number() OVER w - 1 AS INT) AS ord, 'Part ' || turn || ' <&>' AS label, 'OEBPS/s' || (row_number() OVER w - 1) || '.xhtml' AS href FROM conversations WHERE turn < 4 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query("p7_p8_epub_toc", """SELECT conv_id::VARCHAR AS path, CAST(row_number() OVER w - 1 AS INT) AS ord, 'Part ' || turn || ' <&>' AS label, 'OEBPS/s' || (row_number() OVER w - 1) || '.xhtml' AS href FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def p7(lib: DriverLibrary) -> DataFrame:
     made = books.epubs(_book_parts(lib)).select(F.col("doc_id").cast("string").alias("path"), "content")
     return books.epub_toc(made).select("path", "ord", "label", "href")
 
 
-@query("p24_epub_metadata", """SELECT conv_id::VARCHAR AS path, n AS name, CASE n WHEN 'creator' THEN (SELECT arg_min(role, turn) FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn < 4) ELSE 'Talk ' || conv_id END AS value
-    FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn < 4) c, (VALUES ('identifier'), ('title'), ('creator')) AS t(n)""")
+@query("p24_epub_metadata", """SELECT conv_id::VARCHAR AS path, n AS name, CASE n WHEN 'creator' THEN (SELECT arg_min(role, turn) FROM conversations d WHERE d.conv_id = c.conv_id) ELSE 'Talk ' || conv_id END AS value
+    FROM (SELECT DISTINCT conv_id FROM conversations) c, (VALUES ('identifier'), ('title'), ('creator')) AS t(n)""")
 def p24(lib: DriverLibrary) -> DataFrame:
     parts = _book_parts(lib)
     first = parts.groupBy("doc_id").agg(F.min_by("author", "section_idx").alias("author"))
@@ -100,7 +97,7 @@ def p9(lib: DriverLibrary) -> DataFrame:
 
 @query("p10_plain_text")
 def p10(lib: DriverLibrary) -> DataFrame:
-    return documents.plain_text(lib.raw("pages"), limit=12000)
+    return documents.plain_text(lib.raw("pages"))
 
 
 @query("p11_preceding", """SELECT doc_id, CAST(node_idx AS INT) AS node_idx, md5(coalesce(before, '')) AS hash FROM (SELECT conv_id AS doc_id, turn AS node_idx, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)""")
@@ -149,10 +146,9 @@ def p13(lib: DriverLibrary) -> DataFrame:
 
 
 @query("p15_excerpts", rf"""SELECT doc_id, CAST(i - 1 AS INT) AS start, CASE WHEN length(b) >= 50 THEN '…' ELSE '' END || right(b, 50) AS pre, substring(text, i, 4) AS "match", left(a, 50) || CASE WHEN length(a) >= 50 THEN '…' ELSE '' END AS post
-    FROM (SELECT *, ltrim(regexp_replace(substring(text, 1, i - 1), '\s+', ' ', 'g')) AS b, rtrim(regexp_replace(substring(text, i + 4), '\s+', ' ', 'g')) AS a FROM ({_PLACES.format(f='lower(text)', q='tion')}))
-    WHERE doc_id % 5 = 0""")
+    FROM (SELECT *, ltrim(regexp_replace(substring(text, 1, i - 1), '\s+', ' ', 'g')) AS b, rtrim(regexp_replace(substring(text, i + 4), '\s+', ' ', 'g')) AS a FROM ({_PLACES.format(f='lower(text)', q='tion')}))""")
 def p15(lib: DriverLibrary) -> DataFrame:
-    return search.hits(_texts(lib).where("doc_id % 5 = 0"), "tion", match_diacritics=True).select("doc_id", "start", "pre", "match", "post")
+    return search.hits(_texts(lib), "tion", match_diacritics=True).select("doc_id", "start", "pre", "match", "post")
 
 
 def _talk_hits(lib: DriverLibrary) -> DataFrame:
@@ -179,14 +175,16 @@ def p17(lib: DriverLibrary) -> DataFrame:
 _PARTS = "CAST(regexp_extract(cfi, '/6/(\\d+)', 1) AS INT), CAST(regexp_extract(cfi, '/4/(\\d+)/1', 1) AS INT), CAST(regexp_extract(cfi, ':(\\d+)', 1) AS INT)"
 
 
-@query("t4_rough_order", f"SELECT id, cfi FROM notes ORDER BY {_PARTS}, id LIMIT 60")
+@query("t4_rough_order", f"SELECT id, concat_ws(',', '6', p[1], '4', p[2], p[3]) AS key FROM (SELECT id, [{_PARTS}] AS p FROM notes)")
 def t4(lib: DriverLibrary) -> DataFrame:
-    return lib.notes.orderBy(positions.rough_key("cfi"), "id").limit(60).select("id", "cfi")
+    key = positions.rough_key("cfi")
+    return lib.notes.orderBy(key, "id").select("id", F.array_join(F.transform(key, lambda x: x.cast("string")), ",").alias("key"))
 
 
-@query("t16_position_order", f"SELECT id, cfi FROM notes ORDER BY {_PARTS}, id LIMIT 60")
+@query("t16_position_order", f"""SELECT id, concat_ws(',', '1,6,1', p[1], '0,0,1,4,1', p[2], '1,1,0', p[3] + 1, '-1,1,6,1', p[1], '0,0,1,4,1', p[2], '1,1,0', p[3] + 1) AS key FROM (SELECT id, [{_PARTS}] AS p FROM notes)""")
 def t16(lib: DriverLibrary) -> DataFrame:
-    return lib.notes.orderBy(positions.order_key("cfi"), "id").limit(60).select("id", "cfi")
+    keyed = lib.notes.select("id", positions.order_key("cfi").alias("k"))
+    return keyed.orderBy("k", "id").select("id", F.array_join(F.transform("k", lambda x: x.cast("string")), ",").alias("key"))
 
 
 @query("p23_positions", """SELECT * FROM (VALUES ('epubcfi(/6/4!/4/10/2/1:1)', 'epubcfi(/6/4!/4/10/3:4)', 'epubcfi(/6/4!/4/10,/2/1:1,/3:4)')) AS t("start", "end", "range")""")
@@ -198,29 +196,31 @@ def p23(lib: DriverLibrary) -> DataFrame:
 # --- files ------------------------------------------------------------------
 
 
-@query("c2_decoded", "SELECT doc_id::VARCHAR AS path, 'utf-8' AS encoding, md5(text) AS hash FROM documents WHERE lang = 'en'")
+@query("c2_decoded", f"""SELECT doc_id::VARCHAR AS path, plain, CASE WHEN plain THEN md5(text) END AS hash FROM (SELECT *, (length(h) - length(translate(h, '{_SIGNS}', ''))) * 500 <= 20 * length(h) AS plain FROM (SELECT *, substring(text, 1, 500) AS h FROM documents))""")
 def c2(lib: DriverLibrary) -> DataFrame:
-    raw = _texts(lib).where("lang = 'en'").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8").alias("content"))
-    return files.texts(raw).select("path", "encoding", F.md5("text").alias("hash"))
+    """Whether each text passes as UTF-8; one with many accents in its head is taken for something else, as the rule has it."""
+    raw = _texts(lib).select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    plain = F.coalesce(F.col("encoding") == "utf-8", F.lit(False))
+    return files.texts(raw).select("path", plain.alias("plain"), F.when(plain, F.md5("text")).alias("hash"))
 
 
-@query("c4_mobi", "SELECT doc_id::VARCHAR AS path, 'T' AS title, md5(substring(text, 1, 300)) AS hash FROM documents WHERE lang = 'en' AND doc_id % 9 = 0")
+@query("c4_mobi", "SELECT doc_id::VARCHAR AS path, 'T' AS title, md5(text) AS hash FROM documents")
 def c4(lib: DriverLibrary) -> DataFrame:
-    text = F.encode(F.substring("text", 1, 300), "UTF-8")
+    text = F.encode("text", "UTF-8")
     be = lambda n, width: F.unhex(F.lpad(F.hex(n), 2 * width, "0"))
     # a database header of two records: the book's header with its title at the end, and one plain record of text
     head = F.concat(be(F.lit(1), 2), be(F.lit(0), 2), be(F.length(text), 4), be(F.lit(1), 2), be(F.lit(4096), 2), be(F.lit(0), 4), F.encode(F.lit("MOBI"), "UTF-8"), be(F.lit(232), 4), be(F.lit(2), 4), be(F.lit(65001), 4),
                     F.unhex(F.lit("00" * 52)), be(F.lit(244), 4), be(F.lit(1), 4), F.unhex(F.lit("00" * 152)), F.encode(F.lit("T"), "UTF-8"))
     start = F.lit(78 + 16)
     db = F.concat(F.unhex(F.lit("00" * 60)), F.encode(F.lit("BOOKMOBI"), "UTF-8"), F.unhex(F.lit("00" * 8)), be(F.lit(2), 2), be(start, 4), be(F.lit(0), 4), be(start + F.length(head), 4), be(F.lit(2), 4), head, text)
-    made = _texts(lib).where("lang = 'en' AND doc_id % 9 = 0").select(F.col("doc_id").cast("string").alias("path"), db.alias("content"))
+    made = _texts(lib).select(F.col("doc_id").cast("string").alias("path"), db.alias("content"))
     return books.mobi_books(made).select("path", "title", F.md5("text").alias("hash"))
 
 
-@query("c5_fb2", "SELECT doc_id::VARCHAR AS path, 0 AS section_idx, 'T ' || doc_id AS title, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS hash FROM documents WHERE doc_id % 7 = 0")
+@query("c5_fb2", "SELECT doc_id::VARCHAR AS path, 0 AS section_idx, 'T ' || doc_id AS title, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS hash FROM documents")
 def c5(lib: DriverLibrary) -> DataFrame:
     xml = F.concat(F.lit('<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0"><body><section><title><p>T '), "doc_id", F.lit("</p></title><p>"), strings.xml_escaped("text"), F.lit("</p></section></body></FictionBook>"))
-    made = _texts(lib).where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("path"), F.encode(xml, "UTF-8").alias("content"))
+    made = _texts(lib).select(F.col("doc_id").cast("string").alias("path"), F.encode(xml, "UTF-8").alias("content"))
     found = books.fb2_books(made)
     return found.select("path", "section_idx", "title", F.md5(F.regexp_replace("text", r"^T \d+\n", "")).alias("hash"))
 
@@ -252,13 +252,12 @@ def c13(lib: DriverLibrary) -> DataFrame:
     return lib.books.select("id", F.array_join(strings.uri_variables(template), ",").alias("names"))
 
 
-@query("c14_dictionary", "SELECT lower(p_brand) AS asked, p_brand AS word, p_partkey * 64 + 1 AS \"offset\", 2::BIGINT AS size FROM part WHERE p_partkey < 60 AND p_brand IN (SELECT p_brand FROM part WHERE p_partkey IN (3, 5))")
+@query("c14_dictionary", "SELECT lower(p_brand) AS asked, p_brand AS word, p_partkey AS \"offset\", 2::BIGINT AS size FROM part")
 def c14(lib: DriverLibrary) -> DataFrame:
     part = lib.raw("part")
-    digit = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), F.col("p_partkey").cast("int") + 1, F.lit(1))
-    lines = part.where("p_partkey < 60").select(F.concat("p_brand", F.lit("\t"), digit, F.lit("B\tC")).alias("value"))
-    words = part.where("p_partkey IN (3, 5)").select(F.lower("p_brand").alias("word")).distinct()
-    return files.look_up(files.dictd_index(lines), words)
+    digit = lambda k: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ((F.col("p_partkey") / 64**k).cast("long") % 64 + 1).cast("int"), F.lit(1))
+    lines = part.select(F.concat("p_brand", F.lit("\t"), *(digit(k) for k in (5, 4, 3, 2, 1, 0)), F.lit("\tC")).alias("value"))
+    return files.look_up(files.dictd_index(lines), part.select(F.lower("p_brand").alias("word")).distinct())
 
 
 # --- exports ----------------------------------------------------------------

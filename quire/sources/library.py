@@ -111,9 +111,9 @@ class DriverLibrary(Library):
 
     @cached_property
     def files(self) -> DataFrame:
-        """path, where: which files are here and which on the remote side."""
-        here = self.books.selectExpr("substring_index(file_path, '/', -1) AS name", "id")
-        local = here.where("id % 3 <> 0").selectExpr("name", "'local' AS side")
-        remote = here.where("id % 4 <> 0").selectExpr("name", "'remote' AS side")
+        """name, side: which files are here and which on the remote side."""
+        name = "substring_index(file_path, '/', -1) AS name"
+        local = self.books.where("rating <> 3").selectExpr(name, "'local' AS side")
+        remote = self.books.where("group_id <> 2").selectExpr(name, "'remote' AS side")
         stray = self.spark.sql("SELECT * FROM VALUES ('stray-a.epub', 'local'), ('stray-b.epub', 'remote') AS t(name, side)")
         return local.unionByName(remote).unionByName(stray)
