@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,15 +25,15 @@ def bounded(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The URI of the folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") and sc.getCheckpointDir() else None
+    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="quire-")
         sc.setCheckpointDir(where)
-    return where.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    whole = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", whole).rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:

@@ -283,3 +283,9 @@ def test_digests(spark, sf):
     full = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     base = secrets._render([x for x in secrets.find(full[r["doc_id"]]) if x[1] < 3])
     assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_shared_folder_is_the_clusters(spark):
+    assert common.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+    made = common.keep(spark, spark.range(3), "mine")
+    assert made.inputFiles()[0].startswith(common.shared_dir(spark)) and made.count() == 3
