@@ -21,6 +21,11 @@ def day(c: Name) -> Column:
     return col(c).try_cast("timestamp_ntz").cast("date")
 
 
+def day_of(rows: DataFrame) -> Column:
+    """The day of reading rows: the stored column where there is one, so that filters reach the files, else worked out from the date's text."""
+    return F.col("day") if "day" in rows.columns else day("date")
+
+
 def stamp(c: Name) -> Column:
     """ISO text as a timestamp without zone; a date alone is its midnight, anything else null."""
     return col(c).try_cast("timestamp_ntz")

@@ -21,7 +21,7 @@ def books_read(rows: DataFrame) -> DataFrame:
 
 
 def days_read(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count_distinct(dates.day("date")).alias("days"))
+    return rows.agg(F.count_distinct(dates.day_of(rows)).alias("days"))
 
 
 def notes_per_book(notes: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def note_totals(notes: DataFrame) -> DataFrame:
 def daily(rows: DataFrame, book: int | None = None, since: str | None = None) -> DataFrame:
     """day, seconds; rows without a readable day are left out."""
     rows = rows if book is None else rows.where(F.col("book_id") == book)
-    rows = rows.withColumn("day", dates.day("date")).where(F.col("day").isNotNull())
+    rows = rows.withColumn("day", dates.day_of(rows)).where(F.col("day").isNotNull())
     rows = rows if since is None else rows.where(F.col("day") >= F.lit(since).cast("date"))
     return rows.groupBy("day").agg(seconds().alias("seconds"))
 
@@ -67,7 +67,7 @@ def series(spark: SparkSession, rows: DataFrame, mode: str, as_of: str) -> DataF
     inside = filters.days_between(rows, start, end)
     if mode != "year":
         return filled(spark, daily(inside), start, end)
-    monthly = inside.groupBy(dates.month_start(dates.day("date")).alias("day")).agg(seconds().alias("seconds"))
+    monthly = inside.groupBy(dates.month_start(dates.day_of(inside)).alias("day")).agg(seconds().alias("seconds"))
     return dates.spine(spark, start, end, "month").join(monthly, "day", "left").select(F.date_format("day", "yyyy-MM").alias("month"), F.coalesce("seconds", F.lit(0).cast("long")).alias("seconds"))
 
 
@@ -89,7 +89,7 @@ def of_book(rows: DataFrame, book: int) -> DataFrame:
 
 def period_share(rows: DataFrame, mode: str, as_of: str) -> DataFrame:
     """A period's seconds, their share of all in percent to one decimal (null without any), and the bar's length in [0, 1]."""
-    d, (start, end) = dates.day("date"), (bounds(mode, as_of) if mode != "all" else ("0001-01-01", "9999-12-31"))
+    d, (start, end) = dates.day_of(rows), (bounds(mode, as_of) if mode != "all" else ("0001-01-01", "9999-12-31"))
     inside = F.when(d.between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.col("reading_time"))
     sums = rows.agg(F.coalesce(F.sum(inside), F.lit(0)).cast("long").alias("period"), seconds().alias("total"))
     share = F.try_divide(F.col("period"), F.col("total"))

@@ -80,7 +80,7 @@ def reading_where(rows: DataFrame, book: int | None = None, start: str | None =
 
 def days_between(rows: DataFrame, start: str, end: str | None = None) -> DataFrame:
     """Reading rows from a day on, to another one inclusive if given."""
-    d = dates.day("date")
+    d = dates.day_of(rows)
     return rows.where(d >= F.lit(start).cast("date")) if end is None else rows.where(d.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 

@@ -15,7 +15,7 @@ def islands(rows: DataFrame, *by: str) -> DataFrame:
 
     The window runs over distinct days, of which there are some hundreds a year, not over rows.
     """
-    days = rows.select(*by, dates.day("date").alias("day")).where(F.col("day").isNotNull()).distinct()
+    days = rows.select(*by, dates.day_of(rows).alias("day")).where(F.col("day").isNotNull()).distinct()
     runs = days.withColumn("run", F.date_sub("day", F.row_number().over(Window.partitionBy(*by).orderBy("day"))))
     return runs.groupBy(*by, "run").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("length")).drop("run")
 

@@ -57,11 +57,12 @@ def snapshot(library, path: str) -> str:  # noqa: ANN001
 def restored(spark: SparkSession, path: str, target: str) -> None:
     """Puts a snapshot that passes its checks in a library's place, or raises ValueError."""
     from quire.operators.access import replace_atomically
+    from quire.sources.library import Library
 
     if failed := [r["check"] for r in checks(spark, path).where("NOT ok").collect()]:
         raise ValueError(f"snapshot fails: {', '.join(failed)}")
     for name in ("books", "notes", "reading_time", "groups", "tags", "book_tags"):
-        replace_atomically(spark, spark.read.schema(schema.SCHEMAS[name]).parquet(f"{path}/{name}"), f"{target}/{name}")
+        replace_atomically(spark, Library(spark, path).table(name), f"{target}/{name}")
 
 
 def checks(spark: SparkSession, path: str) -> DataFrame:

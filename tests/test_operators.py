@@ -205,6 +205,15 @@ def test_migration(spark, sf):
         changes.migrated(old, 8)
 
 
+def test_period_filter_reaches_the_files(spark, sf, tmp_path):
+    sinks.snapshot(DriverLibrary(spark, sf), str(tmp_path / "snap"))
+    lib = Library(spark, str(tmp_path / "snap"))
+    totals = aggregates.by_book(lib.reading_time, lib.books, "week", "2024-01-30")
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(day,2024-01-29)" in plan and "ReadSchema: struct<book_id:bigint,reading_time:bigint,day:date>" in plan
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, aggregates.by_book(DriverLibrary(spark, sf).reading_time, lib.books, "week", "2024-01-30").collect()))
+
+
 def test_csv(spark, sf, tmp_path):
     lib = DriverLibrary(spark, sf)
     sinks.write_csv(sinks.notes_table(lib.notes, lib.books).orderBy("Update Time").limit(20), str(tmp_path / "csv"))
