@@ -44,9 +44,9 @@ def deleted(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
-    """rows with new keys above the table's largest."""
-    top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    return rows.withColumn("_n", F.monotonically_increasing_id()).join(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_n") + 1).drop("_top", "_n")  # one row is broadcast
+    """rows with new keys above the table's largest, which is looked up at once."""
+    top = table.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    return rows.withColumn(key, F.monotonically_increasing_id() + F.lit(top + 1))
 
 
 def replace_atomically(spark: SparkSession, df: DataFrame, path: str) -> None:

@@ -37,9 +37,9 @@ def running_total(spark: SparkSession, rows: DataFrame, days: int, as_of: str) -
 def book_series(spark: SparkSession, rows: DataFrame, book: int, days: int, as_of: str) -> DataFrame:
     """One book's last days, zero-filled, with the labelled ones: the first, each month's first and every fifth. No row if the book was not read."""
     start = (dt.date.fromisoformat(as_of) - dt.timedelta(days=days - 1)).isoformat()
-    read = aggregates.daily(rows, book, start)
-    some = read.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(True).alias("any"))
-    out = aggregates.filled(spark, read, start, as_of).join(F.broadcast(some)).drop("any")  # at most one row is broadcast
+    read = aggregates.daily(rows, book, start).withColumn("read", F.lit(True))
+    out = aggregates.filled(spark, read, start, as_of)
+    out = out.withColumn("any", F.max("read").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("any").drop("any", "read")
     place = F.datediff("day", F.lit(start).cast("date"))
     return out.withColumn("labelled", (place == 0) | (F.dayofmonth("day") == 1) | (place % 5 == 0))
 

@@ -34,9 +34,8 @@ def rendered(notes: DataFrame, books: DataFrame, kind: str = "md", merge: bool =
     from pyspark.sql import Window
 
     w = Window.partitionBy("book_id").orderBy("id")
-    run = F.sum(F.coalesce((F.lag("chapter").over(w) != F.col("chapter")).cast("int"), F.lit(1))).over(w) if merge else F.row_number().over(w)
-    marked = notes.withColumn("_new", F.coalesce((F.lag("chapter").over(w) != F.col("chapter")).cast("int"), F.lit(1)))
-    marked = marked.withColumn("run", F.sum("_new").over(w)) if merge else marked.withColumn("run", run)
+    new = F.coalesce((F.lag("chapter").over(w) != F.col("chapter")).cast("int"), F.lit(1)) if merge else F.lit(1)
+    marked = notes.withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
     grouped = marked.groupBy("book_id", "run").agg(F.first("chapter").alias("chapter"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", _note_lines(kind == "md").alias("t")))), lambda x: x["t"]), "").alias("body"))
     if kind == "md":
         text = F.concat(F.lit("## "), F.coalesce("chapter", F.lit("")), F.lit("\n\n"), "body")
