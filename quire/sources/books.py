@@ -200,23 +200,87 @@ def palmdoc(data: bytes) -> bytes:
     return bytes(out)
 
 
-def mobi_text(raw: bytes | None) -> Iterator[tuple[str, str]]:
-    """(title, text) of a Mobipocket book that is stored plainly or under PalmDOC; others have no row."""
-    data = raw or b""
-    if data[60:68] != b"BOOKMOBI" or len(data) < 86:
-        return
-    n = struct.unpack_from(">H", data, 76)[0]
-    at = [struct.unpack_from(">I", data, 78 + 8 * k)[0] for k in range(n)] + [len(data)]
-    record = lambda k: data[at[k] : at[k + 1]]
-    head = record(0)
-    kind, _, length, count = struct.unpack_from(">HHIH", head)
-    if kind not in (1, 2):
-        return
-    encoding = "utf-8" if len(head) >= 32 and struct.unpack_from(">I", head, 28)[0] == 65001 else "cp1252"
-    extra = struct.unpack_from(">H", head, 242)[0] if len(head) >= 244 and struct.unpack_from(">I", head, 20)[0] >= 228 else 0
-
-    def body(k: int) -> bytes:
-        r = record(k)
+class Huffman:
+    """The phrase codes of the dictionary-compressed kind: codes of up to 32 bits, given by a table over the first byte and the code range of
+    each length, stand for phrases, which may be compressed themselves."""
+
+    def __init__(self, codes: bytes, phrases: list[bytes]) -> None:
+        first, ranges = struct.unpack_from(">II", codes, 8)
+        self.quick = [(v & 0x1F, bool(v & 0x80), ((v >> 8) + 1 << 32 - (v & 0x1F)) - 1 if v & 0x1F else 0) for v in struct.unpack_from(">256I", codes, first)]
+        bounds = struct.unpack_from(">64I", codes, ranges)
+        self.low = [0] + [bounds[2 * k] << 31 - k for k in range(32)]
+        self.high = [0] + [(bounds[2 * k + 1] + 1 << 31 - k) - 1 for k in range(32)]
+        self.phrases: list[tuple[bytes, bool]] = []
+        for record in phrases:
+            head, total, bits = struct.unpack_from(">III", record, 4)
+            for k in range(min(1 << bits, total - len(self.phrases))):
+                at = head + struct.unpack_from(">H", record, head + 2 * k)[0]
+                size = struct.unpack_from(">H", record, at)[0]
+                self.phrases.append((record[at + 2 : at + 2 + (size & 0x7FFF)], bool(size & 0x8000)))
+
+    def __call__(self, data: bytes, depth: int = 0) -> bytes:
+        if depth > 32:
+            raise ValueError("phrases refer to each other")
+        out, bits, left = bytearray(), int.from_bytes(data + bytes(4), "big"), 8 * len(data)
+        while left > 0:
+            code = bits >> left & 0xFFFFFFFF
+            length, known, high = self.quick[code >> 24]
+            if not known:
+                while length < 32 and code < self.low[length]:
+                    length += 1
+                high = self.high[length]
+            left -= length
+            if left < 0 or not length:
+                break
+            phrase, plain = self.phrases[high - code >> 32 - length]
+            out += phrase if plain else self(phrase, depth + 1)
+        return bytes(out)
+
+
+class Mobi:
+    """A Mobipocket book: its title, metadata and text. Raises ValueError for what is none, or is encrypted."""
+
+    #: Names of the extended header's records.
+    NAMES = {100: "creator", 101: "publisher", 103: "description", 104: "isbn", 105: "subject", 106: "published", 108: "contributor", 109: "rights", 503: "title", 524: "language"}
+
+    def __init__(self, data: bytes) -> None:
+        if data[60:68] != b"BOOKMOBI" or len(data) < 86:
+            raise ValueError("not a book")
+        n = struct.unpack_from(">H", data, 76)[0]
+        at = [struct.unpack_from(">I", data, 78 + 8 * k)[0] for k in range(n)] + [len(data)]
+        self.records = [data[s:e] for s, e in zip(at, at[1:], strict=False)]
+        self.head = self.records[0]
+        self.kind, _, self.length, self.count, _, locked = struct.unpack_from(">HHIHHH", self.head)
+        if locked:
+            raise ValueError("encrypted")
+        self.size = self.number(20)
+        self.encoding = "utf-8" if self.number(28) == 65001 else "cp1252"
+
+    def number(self, at: int) -> int:
+        return struct.unpack_from(">I", self.head, at)[0] if len(self.head) >= at + 4 else 0
+
+    @property
+    def title(self) -> str:
+        start, size = self.number(84), self.number(88)
+        return self.head[start : start + size].decode(self.encoding, "replace")
+
+    def metadata(self) -> Iterator[tuple[str, str]]:
+        """(name, value) of the extended header, the title first."""
+        yield "title", self.title
+        at = 16 + self.size
+        if self.number(128) & 0x40 and self.head[at : at + 4] == b"EXTH":
+            n = self.number(at + 8)
+            at += 12
+            for _ in range(n):
+                kind, size = self.number(at), self.number(at + 4)
+                if size < 8:
+                    return
+                if kind in self.NAMES and kind != 503:
+                    yield self.NAMES[kind], self.head[at + 8 : at + size].decode(self.encoding, "replace")
+                at += size
+
+    def _body(self, k: int, extra: int) -> bytes:
+        r = self.records[k]
         for _ in range(bin(extra >> 1).count("1")):  # sized entries at the end, the size in 7-bit groups read backwards
             size = shift = 0
             for b in reversed(r[-4:]):
@@ -225,21 +289,47 @@ def mobi_text(raw: bytes | None) -> Iterator[tuple[str, str]]:
                 if b & 0x80:
                     break
             r = r[: len(r) - size]
-        if extra & 1 and r:
-            r = r[: len(r) - (r[-1] & 3) - 1]
-        return palmdoc(r) if kind == 2 else r
+        return r[: len(r) - (r[-1] & 3) - 1] if extra & 1 and r else r
+
+    def text(self) -> str:
+        if self.kind == 1:
+            unpack = bytes
+        elif self.kind == 2:
+            unpack = palmdoc
+        elif self.kind == 17480:
+            first, n = self.number(112), self.number(116)
+            unpack = Huffman(self.records[first], self.records[first + 1 : first + n])
+        else:
+            raise ValueError("unknown compression")
+        extra = struct.unpack_from(">H", self.head, 242)[0] if len(self.head) >= 244 and self.size >= 228 else 0
+        whole = b"".join(unpack(self._body(k, extra)) for k in range(1, min(self.count, len(self.records) - 1) + 1))
+        return whole[: self.length].decode(self.encoding, "replace")
+
+
+def _book(raw: bytes | None) -> Mobi | None:
+    try:
+        return Mobi(raw or b"")
+    except (ValueError, struct.error):
+        return None
+
 
-    title = ""
-    if len(head) >= 92:
-        start, size = struct.unpack_from(">II", head, 84)
-        title = head[start : start + size].decode(encoding, "replace")
-    yield title, b"".join(body(k) for k in range(1, min(count, n - 1) + 1))[:length].decode(encoding, "replace")
+def mobi_text(raw: bytes | None) -> Iterator[tuple[str, str]]:
+    """(title, text) of a book; none for what is no book or can't be read."""
+    if book := _book(raw):
+        try:
+            yield book.title, book.text()
+        except (ValueError, IndexError, struct.error):
+            return
 
 
 def mobi_books(files: DataFrame) -> DataFrame:
     return rows.scan(files, ["path"], ["content"], mobi_text, "title string, text string")
 
 
+def mobi_metadata(files: DataFrame) -> DataFrame:
+    return rows.scan(files, ["path"], ["content"], lambda raw: book.metadata() if (book := _book(raw)) else (), "name string, value string")
+
+
 def packed_epub(title: str, author: str, sections: list[tuple[str, str, int]]) -> bytes:
     """An EPUB of sections (title, text, level) with a table of contents of their levels."""
     esc = html.escape

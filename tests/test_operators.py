@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import struct
 import zipfile
 
 import pytest
@@ -161,6 +162,37 @@ def test_palmdoc_and_comics():
     assert [(k, n) for k, n, _ in book_files.comic_pages(out.getvalue())] == [(0, "a.png"), (1, "b.JPG")] and list(book_files.comic_pages(b"")) == []
 
 
+def mobi(kind, records, extra_records=(), exth=b""):
+    """A book's database: header record, text records, others."""
+    text = b"".join(records)
+    head = struct.pack(">HHIHHHH", kind, 0, 30, len(records), 4096, 0, 0) + b"MOBI" + struct.pack(">III", 232, 2, 65001) + bytes(52) + struct.pack(">II", 16 + 232 + len(exth), 5)
+    head += bytes(112 - len(head)) + struct.pack(">II", 1 + len(records), len(extra_records)) + bytes(8) + struct.pack(">I", 0x40 if exth else 0)
+    head += bytes(16 + 232 - len(head)) + exth + "Tïtl".encode()
+    whole = [head, *records, *extra_records]
+    at, table = 78 + 8 * len(whole), b""
+    for r in whole:
+        table += struct.pack(">II", at, 0)
+        at += len(r)
+    assert len(text) >= 0
+    return bytes(60) + b"BOOKMOBI" + bytes(8) + struct.pack(">H", len(whole)) + table + b"".join(whole)
+
+
+def test_mobi_kinds():
+    exth = b"EXTH" + struct.pack(">III", 0, 2, 100) + struct.pack(">I", 10) + b"Me" + struct.pack(">II", 524, 10) + b"en"
+    book = book_files.Mobi(mobi(1, [b"plain text"], exth=exth))
+    assert (book.title, book.text(), list(book.metadata())) == ("Tïtl", "plain text", [("title", "Tïtl"), ("creator", "Me"), ("language", "en")])
+    # codes of eight bits: byte b stands for phrase 255 - b; phrase 0 is two codes itself
+    huff = b"HUFF" + struct.pack(">III", 24, 24, 24 + 1024) + bytes(8) + struct.pack(">256I", *[255 << 8 | 0x80 | 8] * 256) + struct.pack(">64I", *[0] * 64)
+    phrases = [b"\xfe\xfd", b"ab", b"c"] + [b"?"] * 253
+    offsets, body = [], b""
+    for k, ph in enumerate(phrases):
+        offsets.append(512 + len(body))
+        body += struct.pack(">H", len(ph) | (0x8000 if k else 0)) + ph
+    cdic = b"CDIC" + struct.pack(">III", 16, 256, 8) + struct.pack(">256H", *offsets) + body
+    assert book_files.Mobi(mobi(17480, [b"\xff\xfd\xfe"], [huff, cdic])).text() == "abccab"
+    assert list(book_files.mobi_text(b"junk")) == [] == list(book_files.mobi_text(mobi(99, [b"x"])))
+
+
 def test_stores(spark, tmp_path):
     (tmp_path / "h.json").write_text('[{"id": "1", "updatedAt": 5}, {"id": "2", "updatedAt": 7}]')
     (tmp_path / "bad.json").write_text("{broken")
