@@ -74,3 +74,17 @@ def test_wall_order():
     cost = np.concatenate([near, 1 - (k + 1 - j[:k]) / (k + 1) + (k + 1 - j) * (k + 2 - j) / (4 * (k + 1) * (k + 2))])
     total = (steps * cost).sum(1)
     assert (np.diff(total) >= -1e-12).all() and not (steps & steps[:, ::-1]).any() and len({tuple(s) for s in steps}) == len(steps)
+
+
+def test_cells_widen_until_the_recall_is_reached(spark, sf):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows, d = ann.usable(table, "vec_id", "embedding")
+    index = ann.fit(rows, F.col("id") % 20 == 0, d, ann.Setup(most_probes=2))
+    assert index.width > ann.Setup().width and len(index.steps) <= 2
+    x, ids = np.array(table.toPandas()["embedding"].tolist(), float), table.toPandas()["vec_id"].to_numpy()
+    hits = n = 0
+    for r in ann.nearest(spark, table, F.col("id") % 20 == 0, setup=ann.Setup(most_probes=2)).groupBy("query_id").agg(F.collect_set("vec_id").alias("v")).collect():
+        s = x @ x[ids == r["query_id"]][0]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != r["query_id"]][:20]
+        hits, n = hits + len(set(ids[order].tolist()) & set(r["v"])), n + len(order)
+    assert hits / n >= 0.9
