@@ -65,49 +65,70 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(33))
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, size: int, exact_cells: bool = False) -> np.ndarray:
-    """The earliest dart (its hash) of each of `size` coordinates. elements: distinct uint64; weights: positive."""
-    whole = np.ceil(weights).astype(np.int64)
-    if exact_cells or (whole != 1).any() or (weights != 1).any():
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """Sets x size: the earliest dart (its hash) of each coordinate of each set of (distinct uint64 elements, positive weights); no set is empty.
+
+    Darts of all sets fly at once. A dart of an element's strip depends on the element and its place in the strip alone, so equal
+    parts of two sets get equal darts; how far ranks are followed differs, as each set needs so many darts that no
+    coordinate stays empty.
+    """
+    elements, weights = np.concatenate([e for e, _ in sets]), np.concatenate([np.asarray(w, np.float64) for _, w in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+    total = np.bincount(owner, weights, len(sets))
+    cells, width = elements, None
+    if (weights != 1).any():  # a strip is cut into cells of width 1, the last maybe narrower
+        whole = np.ceil(weights).astype(np.int64)
         at = np.repeat(np.arange(len(elements)), whole)
         j = np.arange(len(at)) - np.repeat(np.cumsum(whole) - whole, whole)
         with np.errstate(over="ignore"):
-            cells = mix(elements[at] + j.astype(U) * U(0x9E3779B97F4A7C15))
-        width = np.minimum(weights[at] - j, 1.0)
-    else:
-        cells, width = mix(elements), None
-    total = float(weights.sum())
-    reach = size * (math.log(size) + 3) / total  # so many darts on average; a coordinate stays empty in one text of twenty
+            cells = elements[at] + j.astype(U) * U(0x9E3779B97F4A7C15)
+        owner, width = owner[at], np.minimum(weights[at] - j, 1.0)
+        width = None if (width == 1).all() else width
+    cells = mix(cells)
+    reach = size * (math.log(size) + 3) / total  # so many darts on average; a coordinate stays empty in one set of twenty
+    out = np.empty((len(sets), size), U)
     while True:
-        ranks, darts = [], []
-        state, rank, wide, k = cells, np.zeros(len(cells)), width, 0
+        best, name = np.full(len(sets) * size, np.inf), np.zeros(len(sets) * size, U)
+        state, rank, own, wide, k = cells, np.zeros(len(cells)), owner, width, 0
         while len(state):
             k += 1
             with np.errstate(over="ignore"):
                 dart = mix(state + U(k) * U(0xD1342543DE82EF95))
             rank = rank - np.log(((dart >> U(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            near = rank <= reach
-            state, rank, dart = state[near], rank[near], dart[near]
+            near = np.flatnonzero(rank <= reach[own])
+            state, rank, dart, own = state[near], rank[near], dart[near], own[near]
+            r, d, o = rank, dart, own
             if wide is not None:
                 wide = wide[near]
-                hit = (mix(dart ^ U(0xA5A5A5A5A5A5A5A5)) >> U(11)).astype(np.float64) * 2.0**-53 < wide
-                ranks.append(rank[hit])
-                darts.append(dart[hit])
-            else:
-                ranks.append(rank)
-                darts.append(dart)
-        r, d = np.concatenate(ranks), mix(np.concatenate(darts))
-        order = np.argsort(r, kind="stable")
-        d = d[order]
-        coordinate, first = np.unique(d % U(size), return_index=True)
-        if len(coordinate) == size:
-            return d[first]
-        reach *= 2
+                hit = np.flatnonzero((mix(dart ^ U(0xA5A5A5A5A5A5A5A5)) >> U(11)).astype(np.float64) * 2.0**-53 < wide)
+                r, d, o = r[hit], d[hit], o[hit]
+            d = mix(d)
+            at = o * size + (d % U(size)).astype(np.int64)
+            np.minimum.at(best, at, r)
+            first = np.flatnonzero(best[at] == r)
+            name[at[first]] = d[first]
+        full = np.isfinite(best.reshape(len(sets), size)).all(axis=1)  # never a set that was full before: its cells are gone
+        out[full] = name.reshape(len(sets), size)[full]
+        reach = np.where(full, 0.0, reach * 2)
+        again = np.flatnonzero(reach[owner] > 0)
+        if not len(again):
+            return out
+        cells, owner, width = cells[again], owner[again], None if width is None else width[again]
+
+
+def signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    return signatures([(elements, weights)], size)[0]
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        return h
 
 
 class Shingler:
     def __init__(self, n: int) -> None:
-        self.n, self.table = n, {}
+        self.n, self.table = n, _Hashes()
         rng = np.random.default_rng(20240501)
         self.odd = rng.integers(0, 2**63, n, dtype=np.uint64) * U(2) + U(1)
 
@@ -118,13 +139,7 @@ class Shingler:
         table = self.table
         if len(table) > TABLE_ENTRIES:
             table.clear()
-        get = table.get
-        w = np.empty(len(words), U)
-        for i, x in enumerate(words):
-            h = get(x)
-            if h is None:
-                h = table[x] = xxhash.xxh3_64_intdigest(x.encode())
-            w[i] = h
+        w = np.fromiter(map(table.__getitem__, words), U, len(words))
         n = min(self.n, len(words))
         if not n:
             return address, np.empty(0, U), np.empty(0, np.int64)
@@ -149,16 +164,31 @@ def signed(docs: DataFrame, key: str, text: str, setup: Setup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, known = Shingler(setup.words), {}
+
+        def sign(sets: dict[bytes, tuple]) -> None:
+            if sets:
+                rows = signatures(list(sets.values()), setup.size).astype("<u2")
+                known.update((c, rows[i].tobytes()) for i, c in enumerate(sets))
+                sets.clear()
+
         for b in batches:
-            contents, sigs = [], []
+            if len(known) > 5000:
+                known.clear()
+            contents, new, held = [], {}, 0
             for x in b.column(2).to_pylist():
                 c, e, n = shingles(x)
-                if c not in known:
-                    if len(known) > 5000:
-                        known.clear()
-                    known[c] = signature(e, n.astype(np.float64), setup.size).astype("<u2").tobytes() if len(e) else None
                 contents.append(c)
-                sigs.append(known[c])
+                if c not in known and c not in new:
+                    if not len(e):
+                        known[c] = None
+                        continue
+                    new[c] = e, n
+                    held += int(n.sum())
+                    if held > 100_000:  # cells at once
+                        sign(new)
+                        held = 0
+            sign(new)
+            sigs = [known[c] for c in contents]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(contents, pa.binary()), pa.array(sigs, pa.binary())], ["key", "addr", "content", "sig"])
 
     full = F.coalesce(F.col(text), F.lit(""))
