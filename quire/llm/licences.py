@@ -301,14 +301,14 @@ def train(corpus_texts: list[str], setup: Setup = Setup()) -> Model:
 def fitted(spark: SparkSession, docs: DataFrame, text: str = "text", setup: Setup = Setup()) -> Model:
     """A model whose unknown class knows the corpus by at most `sample` distinct texts of least hash.
 
-    A cut on the hash, set by the row count, leaves a few times as many texts before they are made distinct and
-    ordered, so what travels is as little over any corpus.
+    Their hashes are found first, below a cut that the row count sets; only those texts travel, as few over any corpus.
     """
     hashed = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     share = min(1.0, 8 * setup.sample / max(1, docs.count()))
     near = hashed.where(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
-    sample = near.groupBy("h").agg(F.first("t").alias("t")).orderBy("h").limit(setup.sample)
-    return train([r["t"] for r in sample.collect()], setup)
+    least = near.groupBy("h").count().orderBy("h").limit(setup.sample).agg(F.max("h")).first()[0]
+    sample = [] if least is None else hashed.where(F.col("h") <= F.lit(least)).groupBy("h").agg(F.first("t").alias("t")).collect()
+    return train([r["t"] for r in sorted(sample, key=lambda r: r["h"])], setup)
 
 
 def scan(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
