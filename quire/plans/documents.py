@@ -18,7 +18,11 @@ def _values(lib: DriverLibrary, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def _texts(lib: DriverLibrary) -> DataFrame:
-    return lib.raw("documents")
+    return files.spread(lib.raw("documents"))
+
+
+def _pages(lib: DriverLibrary) -> DataFrame:
+    return files.spread(lib.raw("pages"))
 
 
 # --- chapters ---------------------------------------------------------------
@@ -92,12 +96,12 @@ def p24(lib: DriverLibrary) -> DataFrame:
 
 @query("p9_text_nodes")
 def p9(lib: DriverLibrary) -> DataFrame:
-    return documents.extract_nodes(lib.raw("pages"))
+    return documents.extract_nodes(_pages(lib))
 
 
 @query("p10_plain_text")
 def p10(lib: DriverLibrary) -> DataFrame:
-    return documents.plain_text(lib.raw("pages"))
+    return documents.plain_text(_pages(lib))
 
 
 @query("p11_preceding", """SELECT doc_id, CAST(node_idx AS INT) AS node_idx, md5(coalesce(before, '')) AS hash FROM (SELECT conv_id AS doc_id, turn AS node_idx, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)""")
@@ -108,12 +112,12 @@ def p11(lib: DriverLibrary) -> DataFrame:
 
 @query("p18_sentences")
 def p18(lib: DriverLibrary) -> DataFrame:
-    return documents.split_sentences(lib.raw("pages"))
+    return documents.split_sentences(_pages(lib))
 
 
 @query("p20_translatable")
 def p20(lib: DriverLibrary) -> DataFrame:
-    return documents.translatable_elements(lib.raw("pages"))
+    return documents.translatable_elements(_pages(lib))
 
 
 _SIGNS = "".join(sorted(documents._GARBLED))

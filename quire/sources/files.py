@@ -13,6 +13,17 @@ from quire.functions.dates import Name, col
 from quire.operators import documents, rows
 
 
+#: Bytes up to which a scan may be dealt out anew.
+SMALL_BYTES = 1 << 30
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small scan with fewer partitions than there are cores, dealt out over them: one small file may hold texts that take long to go through. Others stay as they are read."""
+    plan, want = table._jdf.queryExecution(), table.sparkSession.sparkContext.defaultParallelism
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    return table.repartition(want) if small and plan.toRdd().getNumPartitions() < want else table
+
+
 def binary(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """path, modificationTime, length, content of files."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
