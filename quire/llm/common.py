@@ -8,14 +8,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quire.sources.files import spread
+
 #: Rows in one Arrow batch; with texts of some 100 KB a batch stays far below a worker's memory.
 BATCH_ROWS = 128
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the folder, in a session whose Arrow batches are bounded."""
+    """A table of the folder, over all cores even if it is one small file, in a session whose Arrow batches are bounded."""
     bounded(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def bounded(spark: SparkSession) -> None:
