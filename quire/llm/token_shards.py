@@ -33,7 +33,7 @@ from quire.llm.mph import PerfectHash, fingerprints
 from quire.llm.token_counts import _ODD, _SPLIT, HeapCounter, lowered
 
 #: Chunks, and words, whose ids a worker keeps; beyond, the table starts anew.
-TABLE_ENTRIES = 800_000
+TABLE_ENTRIES = 200_000
 _HEAD = struct.Struct("<8sqqqq")
 
 
