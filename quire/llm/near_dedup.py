@@ -16,7 +16,7 @@ share a band are candidates, and candidates are compared exactly.
 
 Defined cases: a null text is an empty one, and all texts without words are copies of each other; with
 one to four words the whole text is the one shingle; repeated rows are copies; a null key stays null
-and never names a class while another key is there; an empty table gives an empty result.
+and never names a class while another key is there; classes are told apart by content, never by key; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -300,11 +300,11 @@ def across(members: DataFrame, sigs: DataFrame, texts: DataFrame, setup: Setup)
     return rows.groupBy("bucket", "band", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", setup: Setup = Setup()) -> DataFrame:
-    """key, content, class_id (the least key of the class), of every row."""
+def grouped(spark: SparkSession, docs: DataFrame, key: str, text: str, setup: Setup) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """key, addr and content of every row; label of every content; and one row (key, addr) of every label: one with its least key."""
     common.bounded(spark)
     rows = common.keep(spark, signed(docs, key, text, setup), "signed")
-    contents = common.keep(spark, rows.groupBy("content").agg(F.min(F.struct("key", "addr")).alias("at"), F.min("key").alias("least"), F.first("sig").alias("sig")), "contents")
+    contents = common.keep(spark, rows.groupBy("content").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "addr")).alias("at"), F.first("sig").alias("sig")), "contents")
     dealt = buckets(contents, setup)
     shared = dealt.groupBy("bucket").agg(F.min("content").alias("head"), F.count("*").alias("n")).where("n > 1")
     members = common.keep(spark, dealt.join(shared.drop("n"), "bucket"), "members")
@@ -320,18 +320,25 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     more = common.keep(spark, across(labelled, contents.select("content", "sig"), texts, setup), "near")
     if not more.isEmpty():
         label = components(spark, links.union(more))
-    whole = contents.select("content", "least").join(label, "content", "left").select("content", "least", F.coalesce("label", "content").alias("label"))
-    named = whole.join(whole.groupBy("label").agg(F.min("least").alias("class_id")), "label").select("content", "class_id")
-    return rows.select(F.col("key").alias(key), "content").join(named, "content").select(key, "content", "class_id")
+    whole = contents.select("content", "at").join(label, "content", "left").select("content", F.coalesce("label", "content").alias("label"), "at")
+    one = whole.groupBy("label").agg(F.min(F.struct("at.none", "at.key", "content", "at.addr")).alias("one")).select("label", "one.key", "one.addr")
+    return rows, whole.select("content", "label"), one
+
+
+def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", setup: Setup = Setup()) -> DataFrame:
+    """key, content, label and class_id of every row. The label (the least content) tells classes apart; class_id, the least key, may be null or shared."""
+    rows, labels, one = grouped(spark, docs, key, text, setup)
+    named = labels.join(one.select("label", F.col("key").alias("class_id")), "label")
+    return rows.select(F.col("key").alias(key), "content").join(named, "content").select(key, "content", "label", "class_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark, common.read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return classes(spark, common.read(spark, sf_dir, "documents")).select("doc_id", "class_id", F.lower(F.hex("label")).alias("class_label"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class: one with the class's least key, and of rows that repeat that key any one."""
-    stay = classes(spark, docs, key, text).select(F.col("class_id").alias("k")).distinct()
-    rows = common.boxed(docs, k=F.col(key))
-    kept = rows.join(stay.select(F.col("k").alias("s")), rows["k"].eqNullSafe(F.col("s")), "left_semi")
-    return kept.groupBy("k").agg(F.first("row").alias("row")).select("row.*")
+    """docs with one row of each class: one with the class's least key, and of rows that repeat that key the one of least content."""
+    _, _, one = grouped(spark, docs, key, text, Setup())
+    rows = common.boxed(docs, k=F.col(key), h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = rows.join(one, (rows["h"] == one["addr"]) & rows["k"].eqNullSafe(one["key"]))
+    return kept.groupBy("label").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")

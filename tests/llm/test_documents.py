@@ -118,6 +118,15 @@ def test_one_document_of_each_class_stays(spark, docs, rows):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted({x.split(", ")[1].rstrip(")") for x in brute_classes(rows)})
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_classes_that_share_a_key_all_stay(spark, prose, key):
+    texts = [prose(100, 900 + i) for i in range(30)]
+    docs = spark.createDataFrame([document(key, t) for t in texts] + [document(key, texts[0]), document(9, texts[1])], SCHEMA).repartition(3)
+    got = near_dedup.classes(spark, docs).collect()
+    assert len({r["label"] for r in got}) == 30 and len(got) == 32
+    assert sorted(r["text"] for r in near_dedup.deduplicated(spark, docs).collect()) == sorted(texts)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng, errors = np.random.default_rng(5), []
     for _ in range(60):
