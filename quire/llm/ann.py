@@ -14,8 +14,9 @@ Buckets are dealt into parts by hash. A part with many rows, such as a hot bucke
 queries; each block of rows meets each block of queries in one task, which keeps the nearest of every query.
 
 Defined cases: a vector that is null, zero, of another length than most, or holds null or non-finite components takes no
-part, nor does a row without an id; of rows that share an id the one with the least vector counts; ties go to the smaller
-id; fewer rows than asked give all of them; an empty table, or one without queries, gives an empty result.
+part, nor does a row without an id; of rows that share an id every distinct vector is indexed and asked for, and an id's
+best score counts; ties go to the smaller id; fewer other ids than asked give all of them; a query whose buckets hold
+too few is answered from all rows; an empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations
@@ -124,24 +125,23 @@ def _dot(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, of equal (id, score) pairs one."""
+    """Places of the k best ids, each by its best score."""
     if len(ids) > 4 * k:
         least = np.partition(scores, len(scores) - 3 * k)[len(scores) - 3 * k]
         some = np.flatnonzero(scores >= least)
     else:
         some = np.arange(len(ids))
-    order = some[np.lexsort((ids[some], -scores[some]))]
-    new = np.ones(len(order), bool)
-    new[1:] = (ids[order][1:] != ids[order][:-1]) | (scores[order][1:] != scores[order][:-1])
-    order = order[new]
+    order = _firsts(ids, some[np.lexsort((ids[some], -scores[some]))])
     if len(order) < min(k, len(ids)) and len(some) < len(ids):  # copies took the places
-        order = np.lexsort((ids, -scores))
-        new = np.ones(len(order), bool)
-        new[1:] = (ids[order][1:] != ids[order][:-1]) | (scores[order][1:] != scores[order][:-1])
-        order = order[new]
+        order = _firsts(ids, np.lexsort((ids, -scores)))
     return order[:k]
 
 
+def _firsts(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The places in order at which an id comes for the first time."""
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])]
+
+
 def _rows(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
@@ -154,11 +154,11 @@ def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     d = sizes[0]["d"] if sizes else 0
-    return rows.where(F.size("x") == d).groupBy("id").agg(F.min("x").alias("x")), d
+    return rows.where(F.size("x") == d).distinct(), d
 
 
 def exact(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int, d: int) -> DataFrame:
-    """query_id, id, score, x of the k nearest rows of a bounded list of queries, over all rows in blocks."""
+    """place (in the list), id, score, x of the k nearest ids of a bounded list of queries, over all rows in blocks."""
     ids, q = np.array([i for i, _ in queries], np.int64), np.array([x for _, x in queries], np.float64).reshape(-1, d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,26 +170,27 @@ def exact(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int, d: in
                 a = np.concatenate([held[n][0], own[other]]), np.concatenate([held[n][1], _dot(x[other], y)]), np.concatenate([held[n][2], x[other]])
                 best = _best(a[0], a[1], k)
                 held[n] = a[0][best], a[1][best], a[2][best]
-        for i, (a, s, x) in zip(ids.tolist(), held, strict=True):
-            yield pa.record_batch([pa.array([i] * len(a), pa.int64()), pa.array(a), pa.array(s), pa.array(x.tolist(), pa.list_(pa.float64()))], ["query_id", "id", "score", "x"])
+        for n, (a, s, x) in enumerate(held):
+            yield pa.record_batch([pa.array([n] * len(a), pa.int64()), pa.array(a), pa.array(s), pa.array(x.tolist(), pa.list_(pa.float64()))], ["place", "id", "score", "x"])
 
-    near = rows.mapInArrow(run, "query_id long, id long, score double, x array<double>")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    near = rows.mapInArrow(run, "place long, id long, score double, x array<double>")
+    near = near.groupBy("place", "id").agg(F.max("score").alias("score"), F.max_by("x", "score").alias("x"))
+    w = Window.partitionBy("place").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fit(rows: DataFrame, asked: Column, d: int, setup: Setup) -> Index | None:
     """Norm and number of all rows, then as many probes as the calibration queries need. None without rows or queries."""
     norm, n = rows.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))), F.count("*")).first()
-    some = rows.where(asked).orderBy(F.xxhash64("id"), "id").limit(setup.calibration).collect()
+    some = rows.where(asked).orderBy(F.xxhash64("id", "x"), "id", "x").limit(setup.calibration).collect()
     if not n or not some:
         return None
     k = max(4, round(math.log(n, 4)))
     queries = [(r["id"], r["x"]) for r in some]
     true: dict[int, list[list[float]]] = {}
     for r in exact(rows, queries, setup.k, d).collect():  # calibration x k rows
-        true.setdefault(r["query_id"], []).append(r["x"])
-    asked_of = [(np.array(x), np.array(true[i])) for i, x in queries if i in true]
+        true.setdefault(r["place"], []).append(r["x"])
+    asked_of = [(np.array(x), np.array(true[i])) for i, (_, x) in enumerate(queries) if i in true]
     width = setup.width
     while True:
         rng = np.random.default_rng(setup.seed)
@@ -258,8 +259,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, asked: Column, key: str = "
     queries = common.keep(spark, rows.where(asked).mapInArrow(visit, "part int, buckets binary, id long, x array<double>"), "probes")
     data = common.keep(spark, data.withColumn("x", F.col("x").cast("array<float>")) if _single(vectors, vector) else data, "buckets")
     cut = data.groupBy("part").agg(F.ceil(F.count("*") / setup.block_rows).cast("int").alias("s")).join(queries.groupBy("part").agg(F.ceil(F.count("*") / setup.block_queries).cast("int").alias("c")), "part")
-    left = data.join(cut, "part").withColumn("i", F.pmod(F.xxhash64("id"), "s").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    right = queries.join(cut, "part").withColumn("j", F.pmod(F.xxhash64("id"), "c").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    left = data.join(cut, "part").withColumn("i", F.pmod(F.xxhash64("id", "x"), "s").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    right = queries.join(cut, "part").withColumn("j", F.pmod(F.xxhash64("id", "x"), "c").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
 
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -277,7 +278,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, asked: Column, key: str = "
                     rough = x[c] @ y
                     if len(c) > 8 * setup.k:  # the same row may come from every table
                         many = min(len(c) - 1, setup.k * setup.tables)
-                        c = c[rough >= np.partition(rough, len(rough) - 1 - many)[len(rough) - 1 - many] - 1e-9 * (1 + np.abs(rough).max())]
+                        near = c[rough >= np.partition(rough, len(rough) - 1 - many)[len(rough) - 1 - many] - 1e-9 * (1 + np.abs(rough).max())]
+                        c = near if len(np.unique(ids[near])) >= setup.k else c  # else one id's vectors took the places
                     score = _dot(x[c], y)
                     best = _best(ids[c], score, setup.k)
                     out.append((q, ids[c][best].astype("<i8").tobytes(), score[best].astype("<f8").tobytes()))
@@ -302,6 +304,10 @@ def nearest(spark: SparkSession, vectors: DataFrame, asked: Column, key: str = "
                     at, ids, scores = q, [], []
                 ids.append(np.frombuffer(i, "<i8"))
                 scores.append(np.frombuffer(s, "<f8"))
+                if len(ids) >= 1024:  # an id may have any number of vectors
+                    a, v = np.concatenate(ids), np.concatenate(scores)
+                    best = _best(a, v, setup.k)
+                    ids, scores = [a[best]], [v[best]]
         if at is not None:
             yield done()
 

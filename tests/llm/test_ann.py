@@ -58,6 +58,23 @@ def test_edges(spark):
         assert ann.nearest(spark, none, F.col("id") % 20 == 0).count() == 0
 
 
+def test_every_vector_of_an_id_counts(spark):
+    """A third of the rows carries one id; its vectors are found and asked for like any other's."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).astype("f4").tolist(), 0, 1, 2, 3) for i in range(1, 101)] + [(200, rng.normal(size=8).astype("f4").tolist(), 0, 1, 2, 3) for _ in range(50)]
+    got = ann.nearest(spark, spark.createDataFrame(rows + rows[-3:], SCHEMA).repartition(4), F.col("id") % 20 == 0).collect()
+    x, ids, found = np.array([r[1] for r in rows], float), np.array([r[0] for r in rows]), {}
+    for r in got:
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    s, hits = x @ x.T, 0
+    for q in (20, 40, 60, 80, 100, 200):
+        best = {i: s[np.ix_(ids == q, ids == i)].max() for i in set(ids.tolist()) - {q}}
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        hits += len(set(want) & set(found[q]))
+        assert 200 in found[q] or 200 not in want
+    assert hits / 120 >= 0.9 and np.isclose(found[20][200], s[ids == 20][:, ids == 200].max())
+
+
 def test_blocks_change_nothing(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     a = ann.nearest(spark, df, F.col("id") % 20 == 0).collect()
