@@ -311,7 +311,39 @@ def nearest(spark: SparkSession, vectors: DataFrame, asked: Column, key: str = "
         if at is not None:
             yield done()
 
-    return partial.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    def merged(partial: DataFrame) -> DataFrame:
+        return partial.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+
+    found = common.keep(spark, merged(partial), "found")
+    full = min(setup.k, rows.select("id").distinct().count() - 1)
+    asking = rows.where(asked)
+    short = asking.select("id").distinct().join(found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) < full).select("id")
+    short = common.keep(spark, asking.join(short, "id", "left_semi"), "short")
+    if short.isEmpty():
+        return found
+    rest = common.keep(spark, merged(_over_all(rows, short, d, setup)), "rest")
+    return found.join(rest.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
+
+
+def _over_all(rows: DataFrame, short: DataFrame, d: int, setup: Setup) -> DataFrame:
+    """query_id, ids, scores of the nearest ids of each vector of short: each block of rows meets each block of queries in one task."""
+    s, c = (max(1, math.ceil(x.count() / n)) for x, n in ((rows, setup.block_rows), (short, setup.block_queries)))
+
+    def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if rows.num_rows and queries.num_rows:
+            ids, x = rows["id"].to_numpy(), _rows(rows["x"], d)
+            for q, y in zip(queries["id"].to_pylist(), _rows(queries["x"], d), strict=True):
+                other = ids != q
+                score = _dot(x[other], y)
+                best = _best(ids[other], score, setup.k)
+                out.append((q, ids[other][best].astype("<i8").tobytes(), score[best].astype("<f8").tobytes()))
+        return pa.table([pa.array([o[n] for o in out], t) for n, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["query_id", "ids", "scores"])
+
+    mine = F.xxhash64("id", "x")
+    left = rows.select(F.pmod(mine, F.lit(s)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias("j"), "id", "x")
+    right = short.select(F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("i"), F.pmod(mine, F.lit(c)).cast("int").alias("j"), "id", "x")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, _PARTIAL)
 
 
 def _single(vectors: DataFrame, vector: str) -> bool:

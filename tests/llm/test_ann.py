@@ -75,6 +75,23 @@ def test_every_vector_of_an_id_counts(spark):
     assert hits / 120 >= 0.9 and np.isclose(found[20][200], s[ids == 20][:, ids == 200].max())
 
 
+def test_isolated_queries_are_answered_in_full(spark):
+    """Tight groups need one probe; vectors far from all groups still get their 20."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(100):
+        centre = rng.normal(size=8) * 3
+        rows += [(20 * (30 * g + n) if n == 0 else 20 * (30 * g + n) + 1, (centre + rng.normal(size=8) * 1e-3).astype("f4").tolist(), 0, 1, 2, 3) for n in range(30)]
+    lone = [(200_000 + 20 * n, (rng.normal(size=8) * 1e-2).astype("f4").tolist(), 0, 1, 2, 3) for n in range(3)]
+    got = {}
+    for r in ann.nearest(spark, spark.createDataFrame(rows + lone, SCHEMA).repartition(4), F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == {r[0] for r in rows + lone if r[0] % 20 == 0} and {len(v) for v in got.values()} == {20}
+    two = [(i, rng.normal(size=8).astype("f4").tolist(), 0, 1, 2, 3) for i in range(20, 41)]
+    got = ann.nearest(spark, spark.createDataFrame(two, SCHEMA), F.col("id") % 20 == 0).groupBy("query_id").count().collect()
+    assert sorted(map(tuple, got)) == [(20, 20), (40, 20)]
+
+
 def test_blocks_change_nothing(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     a = ann.nearest(spark, df, F.col("id") % 20 == 0).collect()
