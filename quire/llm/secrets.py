@@ -21,20 +21,32 @@ from pyspark.sql.types import StructField, StructType
 from quire.llm import common
 
 #: Changes whenever a rule does, so that blobs are scanned again.
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # the longest run decides, so a run that is too short can't hide a match
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: What the scanner knows beyond the base kinds: the header of a private key block, tokens with a fixed prefix, signed web tokens.
+#: What the scanner knows beyond the base kinds: a private key block from its header on (`_key_end` says how far), tokens with a fixed prefix, signed web tokens.
 _MORE = (
-    ("pem", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
+    ("pem", re.compile(r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----")),
     ("prefixed", re.compile(r"\b(?:gh[opsu]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})")),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
 )
+#: What follows a key's header where its END line is missing: header fields, then lines of base64, the last maybe short. Line ends may be escaped.
+_KEY_BODY = re.compile(
+    r"(?:(?:\s|\\[nr])+[A-Za-z][A-Za-z-]*: [^\n\\]*)*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{20,}={0,2})*(?:(?<=[A-Za-z0-9+/]{20})(?:\s|\\[nr])+(?:[A-Za-z0-9+/]+={1,2}|(?<=\n)[A-Za-z0-9+/]+(?=[ \t\r]*(?:\n|\Z))))?"
+)
 KINDS = ("assign", "access", "hex", *(k for k, _ in _MORE))
 _SCAN = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base string, spans string"
 
 
+def _key_end(text: str, header: re.Match) -> int:
+    """Where the private key ends whose header this is: after its END line, if that comes before another block begins, else after its base64 lines."""
+    end = f"-----END {header[1]}PRIVATE KEY-----"
+    other = text.find("-----BEGIN ", header.end())
+    at = text.find(end, header.end(), other if other >= 0 else len(text))
+    return at + len(end) if at >= 0 else _KEY_BODY.match(text, header.end()).end()
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind in KINDS, end) of every finding, in that order."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -43,7 +55,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "-----BEGIN" in text or "_" in text or "xox" in text or "AIza" in text or "eyJ" in text:
         for k, (_, rule) in enumerate(_MORE, 3):
-            found += [(m.start(), k, m.end()) for m in rule.finditer(text)]
+            found += [(m.start(), k, _key_end(text, m) if KINDS[k] == "pem" else m.end()) for m in rule.finditer(text)]
     found.sort()
     return found
 

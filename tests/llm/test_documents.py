@@ -174,6 +174,19 @@ def test_failing_match_still_consumes():
     assert "pem" in secrets._render(secrets.find("-----BEGIN RSA PRIVATE KEY-----"))
 
 
+def test_private_keys_go_whole():
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "q7/+Zz9" * 6] * 3)
+    cut = lambda t: secrets.redact(t, secrets._render(secrets.find(t)))
+    for kind in ("", "RSA ", "ENCRYPTED "):
+        head, foot = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+        assert cut(f"a {head}\n{body}\nshort==\n{foot} b") == "a [SECRET] b"
+        assert cut(f"a {head}\\n{body.replace(chr(10), chr(92) + 'n')}\\n{foot} b") == "a [SECRET] b"
+        assert cut(f"a {head}\n{body}\nshort==\nsome prose") == "a [SECRET]\nsome prose"
+        assert cut(f"a {head}\nProc-Type: 4,ENCRYPTED\n\n{body}\nq7Zz9\nsome prose") == "a [SECRET]\nsome prose"
+        assert cut(f"a {head}\n{body}\nb {head}\n{body}\n{foot} c") == "a [SECRET]\nb [SECRET] c"
+        assert cut(f"the line {head} is a header") == "the line [SECRET] is a header"
+
+
 def test_redaction(spark, docs, rows):
     out = secrets.redacted(spark, docs)
     assert out.columns == docs.columns and out.count() == len(rows)
