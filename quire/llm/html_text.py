@@ -2,8 +2,8 @@
 
 A page becomes a tree of its block elements and links. Each paragraph earns points for its length and its commas and
 passes them to its ancestors, less the farther away; a container's points are discounted by its link
-density. The best container, widened to the article it lies in, and those of its siblings that read like
-its continuation are the main text.
+density. The best container, widened to the article it lies in, and those of its siblings and of its ancestors'
+that hold paragraphs or read like its continuation are the main text.
 
 Elements that never hold main text (scripts, styles, menus, footers, asides, forms, hidden ones, and those
 whose class, id or role says advert, notice, comment and the like) take no part. Markup is read leniently:
@@ -35,6 +35,8 @@ _BLOCK = frozenset(
 _DROPPED = frozenset("script style textarea title xmp iframe noembed noframes nav footer aside form button select head template noscript dialog svg canvas audio video object menu fieldset search math".split())
 _ENDS_P = _BLOCK - frozenset("button option optgroup select svg template noscript object canvas audio video math caption tbody thead tfoot tr td th legend".split())
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_PARAGRAPH = frozenset(("p", "pre", "blockquote"))
+_PIECES = _HEADING | _PARAGRAPH | frozenset(("ul", "ol", "table", "figure", "dl"))
 #: What an element's class, id or role must not name.
 _BAD = frozenset(
     """ad ads advert adverts advertisement advertisements advertising adsense adslot banner sponsor sponsored promo promotion promotions sidebar menu nav navbar navigation breadcrumb
@@ -51,13 +53,14 @@ _SIBLINGS = {
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "good", "points", "size", "linked", "order")
+    __slots__ = ("tag", "parent", "parts", "dropped", "good", "points", "size", "linked", "prose", "order")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, good: bool, order: int) -> None:
         self.tag, self.parent, self.dropped, self.good, self.order = tag, parent, dropped, good, order
         self.parts: list[Node | str] = []
         self.points = 0.0
         self.size = self.linked = 0
+        self.prose = False  # whether a paragraph with text is in it
 
 
 def _named(rest: str) -> tuple[bool, bool]:
@@ -196,6 +199,7 @@ def score(nodes: list[Node]) -> None:
         if not x.dropped:
             x.parent.size += x.size
             x.parent.linked += x.size if x.tag == "a" else x.linked
+            x.parent.prose = x.parent.prose or x.prose or x.size > 0 and x.tag in _PARAGRAPH
 
 
 def _worth(x: Node) -> float:
@@ -217,13 +221,15 @@ def extract(page: str) -> str:
             break
     if best.tag in ("article", "main", "body"):
         return _rendered([best])
-    least, chosen = max(10.0, 0.2 * _worth(best)), []
-    for x in best.parent.parts:
-        if isinstance(x, str):
-            if best.parent.tag not in ("body", "html", "#root"):
-                continue
-        elif x is best or not x.dropped and x.size and (x.linked / x.size < 0.25 and (x.tag in _HEADING or x.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "figure", "dl")) or x.tag != "a" and _worth(x) >= least):
-            chosen.append(x)
+    least, chosen, inner = 0.2 * _worth(best), [best], best
+    while inner.parent is not None:  # what stands beside the best container, then beside each that it lies in
+        outer, around = inner.parent, []
+        for x in outer.parts:
+            if x is inner:
+                around += chosen
+            elif not isinstance(x, str) and not x.dropped and x.size and (x.linked / x.size < 0.25 and (x.tag in _PIECES or x.prose) or x.tag != "a" and _worth(x) >= least > 0):
+                around.append(x)
+        chosen, inner = around, outer
     return _rendered(chosen)
 
 

@@ -250,6 +250,19 @@ def test_extract(page, want):
     assert html_text.extract(page) == want
 
 
+LONG, MIDDLE = "word, " * 6 + "word " * 92, "text, " * 3 + "text " * 46
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<body><div id=wrap><div><p>{LONG}<p>{LONG}</div><div><p>{MIDDLE}</div></div>", f"{LONG}{LONG}{MIDDLE}"),
+    (f"<body><div id=wrap><section><div><p>{MIDDLE}</div></section><section><div><p>{LONG}<p>{LONG}</div></section></div>", f"{MIDDLE}{LONG}{LONG}"),
+    ("<body><div id=wrap><div><p>One short part, here.</div><div><p>Another part.</div><div><p>A third.</div></div>", "One short part, here. Another part. A third."),
+    (f"<body><div><a href=x>Home</a> <a href=y>Other</a></div><div id=wrap><div><p>{LONG}</div><div><p><a href=z>{MIDDLE}</a></p></div></div>", LONG),
+])
+def test_parts_beside_the_best_stay(page, want):
+    assert html_text.extract(page) == " ".join(want.split())
+
+
 @given(st.text(st.sampled_from("<>/pabdivarticle \"'=&;!-x"), max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_extract_takes_anything(page):
