@@ -190,6 +190,58 @@ class Model:
         pairs = {*zip(words, words[1:], strict=False)}
         return self.families[k], float(p[k]), any(len(t & pairs) >= self.setup.overlap * len(t) for t in self.phrases[self.families[k]])
 
+    def runs(self, k: int, pairs: list[tuple[str, str]], taken: set[int]) -> list[tuple[int, int, set[int]]]:
+        """For each template of family k that the pairs of a window's words confirm, the longest first: first and last word of the shortest run
+        with all its pairs that are there, and their places. Half of its pairs must have places that aren't taken."""
+        out = []
+        for t in self.phrases[self.families[k]]:
+            places = [n for n, x in enumerate(pairs) if x in t]
+            kinds = {pairs[n] for n in places}
+            own = {pairs[n] for n in places if n not in taken} if taken else kinds
+            if len(kinds) < self.setup.overlap * len(t) or len(own) < 0.5 * len(t):
+                continue
+            count, lo, best = {}, 0, (0, len(pairs))
+            for n in places:
+                count[pairs[n]] = count.get(pairs[n], 0) + 1
+                while count[pairs[places[lo]]] > 1:
+                    count[pairs[places[lo]]] -= 1
+                    lo += 1
+                if len(count) == len(kinds) and n + 1 - places[lo] < best[1] - best[0]:
+                    best = places[lo], n + 1
+            out.append((*best, {n for n in places if best[0] <= n < best[1]}))
+        return sorted(out, key=lambda x: x[0] - x[1])
+
+    def _alone(self, k: int, words: list[str]) -> bool:
+        p = self.probabilities(words)
+        return int(p[:-1].argmax()) == k and p[k] >= self.least
+
+    def licences(self, words: list[str]) -> tuple[list[tuple[str, int, int]], bool]:
+        """(family, first, last word) of each family that a window names, and whether it seems to name one that no template confirms.
+
+        Every family is tried whose odds against unknown reach the least probability. The likeliest needs a template, if it has that
+        probability among all families too; any other must be the family of its template's run by itself, or of what other runs leave.
+        """
+        x = self.logits(words) / self.temperature
+        likely = [k for k in np.argsort(-x[:-1], kind="stable").tolist() if x[k] - x[-1] >= np.log(self.least / (1 - self.least))]
+        if not likely:
+            return [], False
+        p = np.exp(x - x.max())
+        pairs = list(zip(words, words[1:], strict=False))
+        sure: dict[int, tuple[int, int]] = {}
+        taken: set[int] = set()
+        for again in (False, True):
+            for k in likely:
+                for a, b, places in [] if k in sure else self.runs(k, pairs, taken):
+                    if again:
+                        good = bool(taken) and self._alone(k, [w for n, w in enumerate(words) if n not in taken and n - 1 not in taken])
+                    else:
+                        good = k == likely[0] and p[k] >= self.least * p.sum() or self._alone(k, words[max(0, a - 2) : b + 3])
+                    if good:
+                        sure[k] = a, b
+                        taken |= places
+                        break
+        return [(self.families[k], a, b) for k, (a, b) in sure.items()], not sure
+
     def scan(self, text: str) -> tuple[int, int, list[tuple[int, int, str]]]:
         """Paragraphs with a word, windows whose family no template confirms, and (start, end, family) of each licence paragraph."""
         most, need, setup = self.most, self.need, self.setup
@@ -204,11 +256,9 @@ class Model:
                     kinds = set()
                     for s, e in windows(len(words), setup):
                         if sum(gain[s:e]) >= need:
-                            family, _, sure = self.family(words[s:e])
-                            if sure:
-                                kinds.add(family)
-                            elif family != UNKNOWN:
-                                doubtful += 1
+                            sure, doubt = self.licences(words[s:e])
+                            kinds.update(f for f, *_ in sure)
+                            doubtful += doubt
                     found += [(at, at + len(line), k) for k in sorted(kinds)]
             at += len(line) + 1
         return n, doubtful, found

@@ -219,6 +219,18 @@ def test_licences_held_out(model, prose):
         assert model.scan(t)[2] == [], t
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", {"mit", "apache-2.0"}),
+    ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", {"mit", "apache-2.0"}),
+    ("Licensed under the MIT License or the Apache License, Version 2.0", {"mit", "apache-2.0"}),
+    ("Licensed under the BSD License. Text licensed under CC BY 4.0", {"bsd", "cc-by"}),
+    ("This program is licensed under the GNU General Public License, version 3 or later.", {"gpl-3.0"}),
+])
+def test_every_licence_of_a_line(model, prose, text, want):
+    assert {k for *_, k in model.scan(text)[2]} == want
+    assert {k for *_, k in model.scan(f"{prose(300, 3)} {text} {prose(300, 4)}")[2]} == want
+
+
 def test_licence_scan(spark, docs, rows, nothing, model):
     got = licences.scan(spark, docs, model).collect()
     assert len(got) == len(rows) and {r["doc_id"]: r["licences"] for r in got}[11] == "apache-2.0" and sum(bool(r["licences"]) for r in got) == 1
