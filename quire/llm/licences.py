@@ -1,6 +1,6 @@
 """Licence scans by a trained paragraph classifier.
 
-Paragraphs (lines) are read in windows of words. Sparse word n-grams of a window feed a multinomial logistic
+Paragraphs (lines) are read in windows of words, and so are runs of lines, for notices that are wrapped. Sparse word n-grams of a window feed a multinomial logistic
 regression over licence families and an unknown class. Its probabilities are calibrated by a temperature
 and by a least probability that held-out unknown windows don't reach; a family above it is confirmed if one of
 its template phrases is found in the window, compared by word pairs. Both must agree.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -243,25 +244,65 @@ class Model:
         return [(self.families[k], a, b) for k, (a, b) in sure.items()], not sure
 
     def scan(self, text: str) -> tuple[int, int, list[tuple[int, int, str]]]:
-        """Paragraphs with a word, windows whose family no template confirms, and (start, end, family) of each licence paragraph."""
-        most, need, setup = self.most, self.need, self.setup
+        """Paragraphs (lines) with a word, windows that no template confirms, and (start, end, family) of each licence paragraph or run of lines."""
         n = doubtful = at = 0
-        found = []
+        found: list[tuple[int, int, str]] = []
+        block: list[tuple[int, int, list[str], list[float]]] = []
+        most = self.most
         for line in text.split("\n"):
             words = words_of(line)
             if words:
                 n += 1
-                gain = [most.get(w, 0.0) for w in words]
-                if sum(gain) >= need:
-                    kinds = set()
-                    for s, e in windows(len(words), setup):
-                        if sum(gain[s:e]) >= need:
-                            sure, doubt = self.licences(words[s:e])
-                            kinds.update(f for f, *_ in sure)
-                            doubtful += doubt
-                    found += [(at, at + len(line), k) for k in sorted(kinds)]
+                block.append((at, at + len(line), words, [most.get(w, 0.0) for w in words]))
+            elif block:
+                doubtful += self._block(block, found)
+                block = []
             at += len(line) + 1
-        return n, doubtful, found
+        if block:
+            doubtful += self._block(block, found)
+        return n, doubtful, sorted(found)
+
+    def _block(self, block: list[tuple[int, int, list[str], list[float]]], found: list[tuple[int, int, str]]) -> int:
+        """Adds what lines between two without a word name, each by itself and then windows across their ends; the number of windows that nothing confirms."""
+        need, setup = self.need, self.setup
+        alone: list[tuple[str, int, int, int]] = []  # family, line, first and last word in the block
+        unsure, first = [0] * len(block), 0
+        for i, (_, _, words, gain) in enumerate(block):
+            if sum(gain) >= need:
+                for s, e in windows(len(words), setup):
+                    if sum(gain[s:e]) >= need:
+                        sure, doubt = self.licences(words[s:e])
+                        alone += [(f, i, first + s + a, first + s + b) for f, a, b in sure]
+                        unsure[i] += doubt
+            first += len(words)
+        across, more, told = [], 0, {i for _, i, *_ in alone}
+        if len(block) > 1:
+            upto = [0.0, *accumulate(chain.from_iterable(b[3] for b in block))]
+            words: list[str] = []
+            for s, e in windows(len(upto) - 1, setup):
+                if upto[e] - upto[s] >= need - 1e-6:
+                    if not words:
+                        words, owner = [w for b in block for w in b[2]], [i for i, b in enumerate(block) for _ in b[2]]
+                    if owner[s] != owner[e - 1]:
+                        sure, doubt = self.licences(words[s:e])
+                        more += doubt and not any(unsure[i] or i in told for i in range(owner[s], owner[e - 1] + 1))
+                        got = [(f, s + a, s + b) for f, a, b in sure]
+                        # a run of the window before that starts in this one is decided here, where more of what follows it stands
+                        across = [x for x in across if x[1] < s or not any(a <= x[2] and x[1] <= b for _, a, b in got)] + got
+        named = {(f, i) for f, i, a, b in alone if not any(c <= a and b <= d for _, c, d in across) or any(f == g and c <= b and a <= d for g, c, d in across)}
+        spans: dict[str, list[list[int]]] = {}
+        for f, a, b in sorted(across, key=lambda x: x[1]):
+            i, j = owner[a], owner[b]
+            if not any((f, x) in named for x in range(i, j + 1)):
+                own = spans.setdefault(f, [])
+                if own and i <= own[-1][1]:
+                    own[-1][1] = max(j, own[-1][1])
+                else:
+                    own.append([i, j])
+            unsure[i : j + 1] = [0] * (j + 1 - i)
+        found += [(block[i][0], block[i][1], f) for f, i in named]
+        found += [(block[i][0], block[j][1], f) for f, own in spans.items() for i, j in own]
+        return sum(unsure) + more
 
 
 def _variants(rng: np.random.Generator, corpus: list[list[str]], setup: Setup) -> list[tuple[str, list[str]]]:

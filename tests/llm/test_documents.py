@@ -219,6 +219,23 @@ def test_licences_held_out(model, prose):
         assert model.scan(t)[2] == [], t
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "gpl-3.0": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.",
+    "gpl-2.0": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.",
+}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+def test_wrapped_licences(model, prose, family):
+    for before, after in (("", ""), (prose(300, 3) + "\n\n", "\n\n" + prose(300, 4)), (prose(9, 5) + "\n", "\n" + prose(9, 6))):
+        _, doubtful, found = model.scan(before + WRAPPED[family] + after)
+        assert {k for *_, k in found} == {family} and doubtful == 0
+        assert all(len(before) <= s < e <= len(before + WRAPPED[family]) for s, e, _ in found)
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", {"mit", "apache-2.0"}),
     ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", {"mit", "apache-2.0"}),
