@@ -18,11 +18,11 @@ def _values(lib: DriverLibrary, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def _texts(lib: DriverLibrary) -> DataFrame:
-    return files.spread(lib.raw("documents"))
+    return files.dealt(lib.raw("documents"))
 
 
 def _pages(lib: DriverLibrary) -> DataFrame:
-    return files.spread(lib.raw("pages"))
+    return files.dealt(lib.raw("pages"))
 
 
 # --- chapters ---------------------------------------------------------------

@@ -13,15 +13,14 @@ from quire.functions.dates import Name, col
 from quire.operators import documents, rows
 
 
-#: Bytes up to which a scan may be dealt out anew.
-SMALL_BYTES = 1 << 30
+#: The setting by which a session asks for scans of texts to be dealt out over so many partitions.
+DEALT = "spark.quire.scanPartitions"
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A small scan with fewer partitions than there are cores, dealt out over them: one small file may hold texts that take long to go through. Others stay as they are read."""
-    plan, want = table._jdf.queryExecution(), table.sparkSession.sparkContext.defaultParallelism
-    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
-    return table.repartition(want) if small and plan.toRdd().getNumPartitions() < want else table
+def dealt(table: DataFrame) -> DataFrame:
+    """The table as it is read, or over the partitions that the session's setting asks for: on one machine, a file of a single row group is else one core's."""
+    n = int(table.sparkSession.conf.get(DEALT, "0"))
+    return table.repartition(n) if n else table
 
 
 def binary(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
