@@ -122,7 +122,7 @@ def split(docs: DataFrame, v: Vocabulary, buckets: int, key: str, text: str) ->
             if out:
                 yield _batch(out)
 
-        for b in batches:
+        for b in common.sliced(batches):
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = find(x or "") if not unsettled(x or "") else tokenizers_.explicit(v.pattern).findall(x)
                 held.append((k, np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found))))
@@ -213,7 +213,6 @@ def encoded(spark: SparkSession, docs: DataFrame, v: Vocabulary, key: str = "doc
 
 
 def _assembled(spark, docs, v, key, text, schema, digest, types, names) -> DataFrame:  # noqa: ANN001
-    common.bounded(spark)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = common.fresh_dir(spark, "blocks")
     split(docs, v, buckets, key, text).write.partitionBy("kind").parquet(path)

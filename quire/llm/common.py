@@ -1,36 +1,59 @@
-"""What the operators share: reading tables, the shared folder, bounded Arrow batches."""
+"""What the operators share: reading tables, the shared folder, small slices of Arrow batches."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quire.sources.files import spread
+from quire.sources.files import dealt
 
-#: Rows in one Arrow batch; with texts of some 100 KB a batch stays far below a worker's memory.
-BATCH_ROWS = 128
+#: Rows of an Arrow batch that become Python objects at a time; Spark itself bounds a batch's bytes.
+SLICE_ROWS = 128
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the folder, over all cores even if it is one small file, in a session whose Arrow batches are bounded."""
-    bounded(spark)
-    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    """A table of the folder."""
+    return dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
-def bounded(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows, none of them empty; nothing is copied."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+class Table(dict):
+    """What a worker remembers of texts: as many entries as fit some bytes; beyond, it starts anew. Longer entries than that aren't kept."""
+
+    def __init__(self, most: int = 48 << 20) -> None:
+        self.most = self.room = most
+
+    def weight(self, key: str | bytes, value: object) -> int:
+        return 150 + 2 * len(key) + (len(value) if isinstance(value, bytes) else 8 * len(value) if isinstance(value, list) else 0)
+
+    def put(self, key: str | bytes, value: object) -> None:
+        need = self.weight(key, value)
+        if need > self.room:
+            self.clear()
+            self.room = self.most
+        if need <= self.room:
+            self[key] = value
+            self.room -= need
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The URI of the folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The URI of the folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local session (tests) gets one of its own, and any other is refused."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quire-")
         sc.setCheckpointDir(where)
     path = sc._jvm.org.apache.hadoop.fs.Path(where)
@@ -48,17 +71,13 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: Rows of names that may be broadcast; more are joined by a shuffle.
-SMALL_ROWS = 100_000
-
+def but(spark: SparkSession, rows: DataFrame, column: str, barred: DataFrame) -> DataFrame:
+    """rows whose column is not among barred's single one; null is a value like others.
 
-def but(rows: DataFrame, column: str, barred: DataFrame) -> DataFrame:
-    """rows whose column is not among barred's single one; null is a value like others. Without a shuffle of rows where barred is small."""
-    n = barred.count()
-    if not n:
-        return rows
-    barred = barred.toDF("_barred")
-    return rows.join(F.broadcast(barred) if n <= SMALL_ROWS else barred, rows[column].eqNullSafe(F.col("_barred")), "left_anti")
+    barred is written first: without any, rows aren't touched, and else Spark knows its bytes and broadcasts it only below its threshold.
+    """
+    barred = keep(spark, barred.toDF("_barred"), "barred")
+    return rows if barred.isEmpty() else rows.join(barred, rows[column].eqNullSafe(F.col("_barred")), "left_anti")
 
 
 def boxed(docs: DataFrame, **named: Column) -> DataFrame:

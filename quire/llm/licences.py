@@ -404,13 +404,12 @@ def fitted(spark: SparkSession, docs: DataFrame, text: str = "text", setup: Setu
 
 def scan(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, licences (distinct families, in alphabetical order, comma-joined), n_paragraphs, n_licence, n_unconfirmed, spans (family:start:end)."""
-    common.bounded(spark)
     kind = docs.schema[key].dataType.simpleString()
     shared = spark.sparkContext.broadcast(model)  # as large as the templates, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in common.sliced(batches):
             got = [model.scan(x or "") for x in b.column(1).to_pylist()]
             yield pa.record_batch(
                 [

@@ -33,8 +33,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.llm import common
 
 U = np.uint64
-#: Word hashes that a worker keeps; beyond, the table starts anew.
-TABLE_ENTRIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -120,15 +118,18 @@ def signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarra
     return signatures([(elements, weights)], size)[0]
 
 
-class _Hashes(dict):
+class _Hashes(common.Table):
+    """Hashes of words; what one text has may go beyond the bound until the next."""
+
     def __missing__(self, word: str) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        self.room -= self.weight(word, h)
         return h
 
 
 class Shingler:
     def __init__(self, n: int) -> None:
-        self.n, self.table = n, _Hashes()
+        self.n, self.table = n, _Hashes(16 << 20)
         rng = np.random.default_rng(20240501)
         self.odd = rng.integers(0, 2**63, n, dtype=np.uint64) * U(2) + U(1)
 
@@ -137,8 +138,9 @@ class Shingler:
         words = text.split()
         address = xxhash.xxh3_128_digest("\x1f".join(words).encode())
         table = self.table
-        if len(table) > TABLE_ENTRIES:
+        if table.room < 0:
             table.clear()
+            table.room = table.most
         w = np.fromiter(map(table.__getitem__, words), U, len(words))
         n = min(self.n, len(words))
         if not n:
@@ -171,7 +173,7 @@ def signed(docs: DataFrame, key: str, text: str, setup: Setup) -> DataFrame:
                 known.update((c, rows[i].tobytes()) for i, c in enumerate(sets))
                 sets.clear()
 
-        for b in batches:
+        for b in common.sliced(batches):
             if len(known) > 5000:
                 known.clear()
             contents, new, held = [], {}, 0
@@ -218,7 +220,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, setup: Setup) -> DataFrame:
                 held += len(last[c][0])
             return last[c]
 
-        for batch in batches:
+        for batch in common.sliced(batches):
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             good = [similarity(sets(p, s), sets(q, t)) >= setup.threshold for p, q, s, t in zip(a, b, x, y, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
@@ -302,7 +304,6 @@ def across(members: DataFrame, sigs: DataFrame, texts: DataFrame, setup: Setup)
 
 def grouped(spark: SparkSession, docs: DataFrame, key: str, text: str, setup: Setup) -> tuple[DataFrame, DataFrame, DataFrame]:
     """key, addr and content of every row; label of every content; and one row (key, addr) of every label: one with its least key."""
-    common.bounded(spark)
     rows = common.keep(spark, signed(docs, key, text, setup), "signed")
     contents = common.keep(spark, rows.groupBy("content").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "addr")).alias("at"), F.first("sig").alias("sig")), "contents")
     dealt = buckets(contents, setup)

@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, setup: Setup, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, unsettled = encoder(ranks, pattern, special), tokenizers_.unsettled().search
         uid = TaskContext.get().partitionId() << 36
-        for b in batches:
+        for b in common.sliced(batches):
             rows: list[tuple] = []
             at: list[int] = []
             for i, x in enumerate(b.column(1).to_pylist()):
@@ -149,7 +149,6 @@ def packer(setup: Setup, last: bool) -> Callable[[pa.Table], pa.Table]:
 
 def pack(spark: SparkSession, docs: DataFrame, setup: Setup = Setup(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    common.bounded(spark)
     cut = common.keep(spark, pieces(docs, setup, key, text), "pieces")
     whole = cut.where(F.col("length") == setup.capacity).select("*", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out, pool = [whole], cut.where(F.col("length") < setup.capacity)

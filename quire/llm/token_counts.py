@@ -2,7 +2,7 @@
 
 A word starts as one symbol a byte, the last marked as the word's end. The adjacent pair of
 lowest rank is merged again and again; the count is the initial symbols minus the merges.
-Counts of words and of white-space-free chunks are kept in bounded tables by each worker.
+Counts of words and of white-space-free chunks are kept by each worker, in tables of bounded bytes.
 
 Defined cases: a null text is an empty one with 0 bytes and 0 tokens; special strings inside a
 text count one token each, as in the library; repeated rows are counted each; an empty table
@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm import common, tokenizers_
 
-#: Entries that a worker keeps of words and of chunks; beyond, the table starts anew.
-TABLE_ENTRIES = 400_000
 #: Unicode's white space. str.split() takes U+001C to U+001F as well.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT, _ODD = re.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]")
@@ -55,8 +53,7 @@ class HeapCounter:
         split = d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
         self.pattern = regex.compile(split)
         self.path, self.unsettled = path, tokenizers_.unsettled().search
-        self.words: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
+        self.words, self.chunks = common.Table(), common.Table()
 
     def merge(self, symbols: list[int]) -> int:
         """Symbols left after all merges."""
@@ -97,17 +94,13 @@ class HeapCounter:
             symbols = [self.inner[b] for b in raw]
             symbols[-1] = self.last[raw[-1]]
             n = self.merge(symbols)
-            if len(self.words) >= TABLE_ENTRIES:
-                self.words.clear()
-            self.words[word] = n
+            self.words.put(word, n)
         return n
 
     def chunk(self, chunk: str) -> int:
         """Tokens of a text without white space and special strings."""
         n = sum(map(self.word, self.split(chunk)))
-        if len(self.chunks) >= TABLE_ENTRIES:
-            self.chunks.clear()
-        self.chunks[chunk] = n
+        self.chunks.put(chunk, n)
         return n
 
     def count(self, text: str) -> int:
@@ -136,7 +129,7 @@ def counts(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in batches:
+        for b in common.sliced(batches):
             texts = b.column(1).to_pylist()
             n = [c.count(x or "") for x in texts]
             size = [len((x or "").encode()) for x in texts]

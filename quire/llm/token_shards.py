@@ -32,8 +32,6 @@ from quire.llm import common, tokenizers_
 from quire.llm.mph import PerfectHash, fingerprints
 from quire.llm.token_counts import _ODD, _SPLIT, HeapCounter, lowered
 
-#: Chunks, and words, whose ids a worker keeps; beyond, the table starts anew.
-TABLE_ENTRIES = 200_000
 _HEAD = struct.Struct("<8sqqqq")
 
 
@@ -68,8 +66,7 @@ class ChunkEncoder:
     def __init__(self, path: str, by_rank: bool) -> None:
         self.library, self.by_rank = tokenizers_.library(path), by_rank
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = common.Table(), common.Table()
         rules = HeapCounter(path)
         self.pattern, self.special, self.unsettled = rules.pattern, rules.special, rules.unsettled
         if by_rank:
@@ -89,9 +86,8 @@ class ChunkEncoder:
     def word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= TABLE_ENTRIES:
-                self.words.clear()
-            got = self.words[word] = b"".join([self.bytes[i] for i in self.piece(word.encode() + b"\xff")])
+            got = b"".join([self.bytes[i] for i in self.piece(word.encode() + b"\xff")])
+            self.words.put(word, got)
         return got
 
     def chunk(self, chunk: str) -> bytes:
@@ -104,11 +100,14 @@ class ChunkEncoder:
         parts = _SPLIT.split(text) if _ODD.search(text) else text.split()
         new = set(parts).difference(table)
         if new:
-            if len(table) >= TABLE_ENTRIES:
-                table.clear()
-                new = set(parts)
+            found = {c: self.chunk(c) for c in new}
+            crowded = sum(table.weight(c, x) for c, x in found.items()) > table.room
+            if crowded:  # the table starts anew under way
+                found |= {c: table[c] for c in set(parts).difference(new)}
             for c in new:
-                table[c] = self.chunk(c)
+                table.put(c, found[c])
+            if crowded:
+                return b"".join(map(found.__getitem__, parts))
         return b"".join(map(table.__getitem__, parts))
 
 
