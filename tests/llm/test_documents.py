@@ -1,8 +1,11 @@
 """Operators over documents against brute force, with edge rows, empty tables and clashing names."""
 
 import hashlib
+import html
 import random
 import re
+import time
+import xml.etree.ElementTree as ET
 from collections import Counter
 
 import numpy as np
@@ -53,6 +56,32 @@ def test_refused_hosts(spark, prose):
     rows += [(5000, "junk", "small"), (5001, prose(100, 9), "small"), (5002, prose(100, 8), None)]
     got = {r["doc_id"]: (r["host_refused"], r["kept"]) for r in quality.judge(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0] == (True, False) and got[1001] == (False, True) and got[5001] == (False, True) and got[5002] == (False, True)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in quality.passing(spark, docs).collect()) == sorted(i for i, (_, kept) in got.items() if kept)
+
+
+def test_prior_and_shrinkage(spark):
+    """Rates against the moments worked out by hand."""
+    tally = {"a": (100, 10), "b": (50, 40), "c": (4, 4), "d": (1, 0), None: (200, 30)}
+    rows = [(h, k < bad, False) for h, (n, bad) in tally.items() for k in range(n)]
+    got = {r["host"]: r for r in quality.host_rates(spark.createDataFrame(rows, "host string, base_failed boolean, symbols_failed boolean"), quality.Rules()).collect()}
+    n, bad = sum(x for x, _ in tally.values()), sum(x for _, x in tally.values())
+    mean, shares = bad / n, [b / n for n, b in tally.values()]
+    centre = sum(shares) / len(shares)
+    between = sum((x - centre) ** 2 for x in shares) / len(shares) - mean * (1 - mean) * sum(1 / n for n, _ in tally.values()) / len(shares)
+    weight = max(mean * (1 - mean) / between - 1, 1.0)
+    for h, (n, bad) in tally.items():
+        rate = (bad + mean * weight) / (n + weight)
+        assert abs(got[h]["rate"] - rate) < 1e-12 and got[h]["refused"] == (rate >= 0.5)
+    assert {h for h in got if got[h]["refused"]} == {"b", "c"}
+
+
+def test_symbols_speak_of_hosts_only(spark, prose):
+    """A page of symbols stays on a good host; a host of such pages goes."""
+    odd = " ".join(f"{w}#" for w in prose(100, 1).split())
+    rows = [(i, odd if i % 50 == 0 else prose(100, i), "good") for i in range(100)] + [(1000 + i, odd, "bad") for i in range(100)] + [(2000 + i, prose(100, i), f"h{i % 9}") for i in range(300)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] and not got[1000] and got[2000]
 
 
 # --- near-duplicates --------------------------------------------------------
@@ -143,7 +172,8 @@ def test_signatures_estimate_weighted_jaccard():
 
 
 def test_secrets(spark, docs, rows, nothing):
-    got, book = secrets.scan(spark, docs)
+    ledger = secrets.Ledger(spark, common.fresh_dir(spark, "book"))
+    got = secrets.scan(spark, docs, ledger=ledger)
     by = Counter(str((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base"])) for r in got.collect())
     want = Counter()
     for i, t, *_ in rows:
@@ -154,23 +184,46 @@ def test_secrets(spark, docs, rows, nothing):
         spans = sorted((m.start(), n, m.end()) for n, found in enumerate((a, k, h)) for m in found)
         want[str((i, len(a), len(k), len(h), ",".join(f"{('assign', 'access', 'hex')[n]}:{s}:{e}" for s, n, e in spans)))] += 1
     assert by == want
-    assert book.count() == len({t or "" for _, t, *_ in rows})
-    assert secrets.scan(spark, nothing)[0].count() == 0 and secrets.redacted(spark, nothing).count() == 0
+    assert ledger.history().count() == len({t or "" for _, t, *_ in rows})
+    assert secrets.scan(spark, nothing).count() == 0 and secrets.redacted(spark, nothing).count() == 0
+
+
+def test_ledger_is_incremental(spark, docs, rows, monkeypatch):
+    """A second run scans nothing, new versions are scanned alone, and other rules scan all again and leave the history."""
+    ledger, n = secrets.Ledger(spark, common.fresh_dir(spark, "book")), len({t or "" for _, t, *_ in rows})
+    first = sorted(map(str, secrets.scan(spark, docs, ledger=ledger).collect()))
+    assert secrets.update(spark, docs, ledger=ledger) == 0
+    assert sorted(map(str, secrets.scan(spark, docs, ledger=ledger).collect())) == first
+    more = spark.createDataFrame([document(50, "api_key: 'ABCDEFGHIJKL'"), document(51, None), document(52, "api_key: 'ABCDEFGHIJKL'")], SCHEMA)
+    assert secrets.update(spark, docs.unionByName(more), ledger=ledger) == 1
+    found = secrets.scan(spark, docs.unionByName(more), key=("doc_id", "source", "blob"), ledger=ledger)
+    assert found.columns[:3] == ["doc_id", "source", "blob"]
+    assert [r["spans"] for r in secrets.scan(spark, more, ledger=ledger).orderBy("doc_id").collect()] == ["assign:0:22", "", "assign:0:22"]
+    monkeypatch.setattr(secrets, "RULE_VERSION", "other")
+    assert secrets.update(spark, docs, ledger=ledger) == n
+    assert ledger.history().count() == 2 * n + 1 and ledger.known().count() == n
+
+
+def test_query_and_pipeline_share_the_ledger(spark, sf):
+    secrets.query(spark, sf).count()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert secrets.update(spark, docs) == 0
+    before = secrets.Ledger(spark).known().count()
+    assert secrets.redacted(spark, docs).count() == docs.count() and secrets.Ledger(spark).known().count() == before
 
 
-def test_ledger_is_incremental(spark, docs):
-    _, book = secrets.scan(spark, docs)
-    more = spark.createDataFrame([document(50, "api_key: 'ABCDEFGHIJKL'"), document(51, None)], SCHEMA)
-    both = secrets.update(spark, docs.unionByName(more), ledger=book)
-    assert both.count() == book.count() + 1
-    stale = book.withColumn("rule_version", F.lit("0"))
-    assert secrets.update(spark, docs, ledger=stale).count() == book.count()
+def test_unfinished_runs_dont_count(spark, docs):
+    ledger = secrets.Ledger(spark, common.fresh_dir(spark, "book"))
+    n = secrets.update(spark, docs, ledger=ledger)
+    path = ledger._runs("*")[0]
+    common.drop_dir(spark, f"{path}/_SUCCESS")
+    assert ledger.history().count() == 0 and secrets.update(spark, docs, ledger=ledger) == n
 
 
 def test_failing_match_still_consumes():
     assert secrets.find("password: api_key: abcdefghijklmnop") == []
     assert secrets._render(secrets.find("TOKEN='abcdefghijkl'")) == "assign:0:19"
-    assert [secrets.KINDS[k] for _, k, _ in secrets.find("-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 18)] == ["pem", "prefixed", "hex"] or True
+    assert [secrets.KINDS[k] for _, k, _ in secrets.find("-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 18)] == ["pem", "prefixed", "hex"]
     assert "pem" in secrets._render(secrets.find("-----BEGIN RSA PRIVATE KEY-----"))
 
 
@@ -299,14 +352,152 @@ def test_extract_takes_anything(page):
 
 
 def test_main_text(spark, sf):
-    rows = [(i, "u", p, "x") for i, (p, _) in enumerate(PAGES)] + [(None, None, None, "x"), (0, "u", "", "x")]
-    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
-    assert sorted(str((r["page_id"], r["text"], r["n_chars"])) for r in got) == sorted(str((i, t := html_text.extract(p or ""), len(t))) for i, _, p, _ in rows)
-    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+    rows = [(i, "u", p, "x") for i, (p, _) in enumerate(PAGES)] + [(None, None, None, "x"), (0, "u", "", "x"), (0, "u", "", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_text.main_text(df).collect()
+    assert sorted(str((r["page_id"], r["text"], r["n_chars"])) for r in got) == sorted(str((i, t := dict(PAGES).get(p or "", ""), len(t))) for i, _, p, _ in rows)
+    assert html_text.main_text(df.limit(0)).collect() == []
+    for r in html_text.query(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet"), ["page_id", "url"]).collect():
         body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
-        import html
+        assert r["text"] == " ".join(html.unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", body).replace("<b>", "").replace("</b>", "")).split())
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><h2 id='related-work'>Related work</h2><section id='social-impact'><p>Impact.</section><h1 id='notice-of-appeal'>Notice</h1><p class='alert'>An alert.<div class='login-bug'>The bug.</div><p>f <math><mi>x</mi></math> g</article>", "Related work Impact. Notice An alert. The bug. f x g"),
+    (f"<article><p>{MIDDLE}<div><a href=x>One</a><a href=y>Two</a></div><p>See <a href=z>that</a>.</article>", MIDDLE + " See that."),
+    (f"<main><article><p>{LONG}</article><article><p>{MIDDLE}</article><article><h3><a href=x>Teaser</a></h3><p>A few words</article></main>", f"{LONG} {MIDDLE}"),
+    (f"<body><div class='content-sidebar-wrap'><article><h1>T</h1><p>{LONG}</article><div class='sidebar'><p>{LONG}</div></div>", f"T {LONG}"),
+    (f"<form id=aspnetForm><div><h1>T</h1><p>{LONG}</div></form><form><p>{LONG}</form>", f"T {LONG}"),
+    (f"<article><p>{MIDDLE}</article><div id=comments><article class='comment-body'><p>{LONG}</article></div>", MIDDLE),
+    (f"<div class='cookie-notice'><p>{LONG}</div><div role=banner><p>{LONG}</div><div class='has-sidebar'><p>{MIDDLE}</div>", MIDDLE),
+    ("<table><tr><td><a href=x>Home</a><td><p>Cell text, long enough to be read.</table>", "Cell text, long enough to be read."),
+])
+def test_furniture_goes_and_nothing_else(page, want):
+    assert html_text.extract(page) == " ".join(want.split())
+
 
-        assert html_text.extract(r["html"]) == " ".join(html.unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", body).replace("<b>", "").replace("</b>", "")).split())
+def brute_main_text(page):
+    """The docstring's definitions over a well-formed page without furniture, each worked out anew from the tree."""
+    root = ET.fromstring(page)
+    up = {c: p for p in root.iter() for c in p}
+    containers = ("div", "section", "article", "main", "body")
+    own = lambda e: "".join([e.text or "", *(c.tail or "" for c in e)]).strip()
+    size = lambda e: sum(len(own(x)) for x in e.iter())
+    linked = lambda e: sum(size(a) for a in e.iter("a"))
+    density = lambda e: linked(e) / size(e) if size(e) else 0
+
+    def chain(e):
+        out = []
+        while e is not None:
+            out += [e] if e.tag in containers else []
+            e = up.get(e)
+        return out
+
+    def value(e):
+        t = own(e)
+        return min(1, len(t) / 25) + t.count(",") + min(3, len(t) // 100) if t and e.tag not in ("a", "h2") else 0.0
+
+    def points(c):
+        return sum(value(e) / (1, 2, 6, 9, 12, 15)[chain(e).index(c)] for e in c.iter() if c in chain(e)[:6])
+
+    def held(x):
+        return sum(map(value, x.iter())) * (1 - density(x))
+
+    worth = {c: points(c) * (1 - density(c)) * (1.5 if c.tag in ("article", "main") else 1) for c in root.iter() if c.tag in containers and size(c)}
+    if not worth:
+        return None
+    best = max(worth, key=worth.get)
+    if sum(abs(x - worth[best]) < 1e-9 for x in worth.values()) > 1:
+        return None  # a tie that rounding may turn
+    above = [best]
+    while above[-1] in up:
+        above.append(up[above[-1]])
+    articles, mains = [x for x in above if x.tag == "article"], [x for x in above if x.tag == "main"]
+    fence = articles[-1] if articles else mains[0] if mains else None
+    base = fence if fence is not None else best
+    menu = lambda e: len(list(e.iter("a"))) >= (3 if e.tag == "p" else 2) and density(e) > (0.7 if e.tag == "p" else 0.6) and e.tag in (*containers, "ul", "p")
+    taken, at = {base}, base
+    while at in up:
+        for x in up[at]:
+            if x is at or x.tag == "a" or not size(x) or menu(x):
+                continue
+            if x.tag in ("p", "h2", "ul"):
+                good = density(x) < 0.5 and (fence is None or mains and up[at] in above[: above.index(mains[-1]) + 1])
+            elif x.tag == "li":
+                good = False
+            else:
+                beside = at is base and fence is None and any(size(y) for y in x.iter("p")) and density(x) < 0.25
+                if abs(held(x) - 0.2 * held(best)) < 1e-9 < held(best):
+                    return None
+                good = held(x) >= 0.2 * held(best) > 0 and density(x) < 0.5 or beside
+            taken |= {x} if good else set()
+        at = up[at]
+    out = []
+
+    def walk(e, inside):
+        inside = inside or e in taken
+        out.append("\n" if e.tag != "a" else "")
+        out.append(e.text or "" if inside else "")
+        for c in e:
+            if not (inside and menu(c) and c not in taken):
+                walk(c, inside)
+            out.append(c.tail or "" if inside else "")
+        out.append("\n" if e.tag != "a" else "")
+
+    walk(root, False)
+    return " ".join("".join(out).split())
+
+
+def random_page(r):
+    words = lambda n: " ".join(r.choice(["word", "text,", "a", "reading", "tree,"]) for _ in range(n))
+
+    def part(depth):
+        kind = r.random()
+        if kind < 0.45 or depth > 4:
+            return f"<p>{words(r.randrange(0, 60))}{f'<a>{words(r.randrange(1, 9))}</a>' * (r.random() < 0.4)} {words(r.randrange(0, 9))}</p>"
+        if kind < 0.55:
+            return f"<h2>{words(3)}</h2>"
+        if kind < 0.65:
+            return "<ul>" + "".join(f"<li><a>{words(2)}</a>{words(r.randrange(0, 3))}</li>" for _ in range(r.randrange(1, 5))) + "</ul>"
+        tag = r.choice(["div", "div", "div", "section", "article" if r.random() < 0.5 else "div", "main" if r.random() < 0.3 else "div"])
+        return f"<{tag}>" + "".join(part(depth + 1) for _ in range(r.randrange(0, 5))) + f"</{tag}>"
+
+    return "<body>" + "".join(part(0) for _ in range(r.randrange(1, 6))) + "</body>"
+
+
+def test_extract_is_what_the_definitions_say():
+    r, told = random.Random(8), 0
+    for _ in range(1500):
+        page = random_page(r)
+        want = brute_main_text(page)
+        if want is not None:
+            told += 1
+            assert html_text.extract(page) == want, page
+    assert told > 1000
+
+
+def test_scores_decide(sf, spark, monkeypatch):
+    """The given pages without names of classes and article tags: scores alone find the text, and other scores find other texts."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    bare = [re.sub(r' class="[^"]*"', "", re.sub("(</?)article>", r"\1div>", p)) for p in pages]
+    want = [html_text.extract(p) for p in pages]
+    long = [(p, t) for p, t in zip(bare, want, strict=True) if len(t) >= 400]  # the advert is a fifth of what is shorter
+    assert len(long) > len(pages) // 2 and all(html_text.extract(p) == t for p, t in long)
+    r = random.Random(4)
+    monkeypatch.setattr(html_text, "worth", lambda x: r.random())
+    assert sum(html_text.extract(p) != t for p, t in zip(bare, want, strict=True)) > len(pages) // 2
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<p x ", "<!", "<ul><li>", "<td><p>x", "<a><div>x", "<div><p>x, y</p>", "<div a=\"'"])
+def test_long_pages_take_linear_time(piece):
+    def took(n):
+        page = piece * n + "</section>" * n
+        began = time.process_time()
+        html_text.extract(page)
+        return time.process_time() - began
+
+    took(1000)
+    assert min(took(32_000) for _ in range(2)) < 3 * min(took(16_000) for _ in range(3)) + 0.3
 
 
 # --- pipeline ---------------------------------------------------------------
@@ -315,7 +506,7 @@ def test_main_text(spark, sf):
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [tuple(r) for r in docs.collect()]
-    kept = [r for r in rows if (m := measured(r[1] or ""))[0] >= 50 and 100 * m[4] <= 50 * m[0] and 100 * m[2] <= 10 * m[0]]
+    kept = [r for r in rows if (m := measured(r[1] or ""))[0] >= 50 and 100 * m[4] <= 50 * m[0]]
     one = corpus_pipeline.quality_rules(spark, docs, sf)
     assert sorted(map(str, map(tuple, one.collect()))) == sorted(map(str, kept))
     stays = {int(x.split(", ")[1].rstrip(")")) for x in brute_classes(kept)}
