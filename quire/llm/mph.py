@@ -1,17 +1,26 @@
 """A minimal perfect hash over 64-bit keys, level by level, with fingerprints to tell strangers.
 
 Each level is a bit array of `gamma` bits a key; keys that fall alone on a bit stay there, the others go to the
-next level. A key's slot is the rank of its bit among all set bits, so n keys fill slots 0 to n - 1.
+next level. A key's slot is the rank of its bit among all set bits, so n keys fill slots 0 to n - 1. Bits are stored in
+records of 512 with the number of set bits before them, so a slot costs one record a level, wherever records are: in memory or in a file.
+
+Defined cases: no keys, no levels, and every key is a stranger; keys must be distinct, negative ones are as good as others; a key that isn't in the
+set has any slot or -1, and its fingerprint differs from that slot's but for one in 2^32.
 """
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
 U = np.uint64
-_MAGIC = b"QMPH1\0\0\0"
+#: Bits of a record, and what of them lies before each.
+_BITS = 512
+RECORD = np.dtype([("rank", "<u8"), ("bits", "u1", _BITS // 8)])
+_BEFORE = np.packbits(np.arange(_BITS)[None, :] < np.arange(_BITS)[:, None], axis=1)
+#: Records at some places.
+Take = Callable[[np.ndarray], np.ndarray]
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -26,56 +35,35 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_hash(keys.astype(U), 0x5EED) >> U(32)).astype(np.uint32)
 
 
-class PerfectHash:
-    def __init__(self, levels: list[np.ndarray], n: int) -> None:
-        self.levels, self.n = levels, n
-        self.before, total = [], 0
-        self.ranks = []
-        for bits in levels:
-            self.before.append(total)
-            self.ranks.append(np.cumsum(bits, dtype=np.int64) - bits)
-            total += int(bits.sum())
-
-    @classmethod
-    def build(cls, keys: np.ndarray, gamma: float = 2.0) -> PerfectHash:
-        """keys: distinct integers."""
-        rest, levels = keys.astype(U), []
-        while len(rest):
-            size = max(8, int(len(rest) * gamma))
-            at = (_hash(rest, len(levels)) % U(size)).astype(np.int64)
-            alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone)
-            rest = rest[~alone[at]]
-        return cls(levels, len(keys))
-
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key; of a key that isn't in the set, any slot or -1."""
-        keys = keys.astype(U)
-        out, rest = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, (bits, rank, before) in enumerate(zip(self.levels, self.ranks, self.before, strict=True)):
-            if not len(rest):
-                break
-            at = (_hash(keys[rest], level) % U(len(bits))).astype(np.int64)
-            hit = bits[at]
-            out[rest[hit]] = before + rank[at[hit]]
-            rest = rest[~hit]
-        return out
+def build(keys: np.ndarray, gamma: float = 2.0) -> tuple[list[int], list[np.ndarray]]:
+    """Bits and records of each level, for distinct integers."""
+    rest, sizes, records, total = keys.astype(U), [], [], 0
+    while len(rest):
+        size = max(8, int(len(rest) * gamma))
+        at = (_hash(rest, len(sizes)) % U(size)).astype(np.int64)
+        alone = np.bincount(at, minlength=-(-size // _BITS) * _BITS) == 1
+        level = np.zeros(len(alone) // _BITS, RECORD)
+        level["bits"] = np.packbits(alone.reshape(-1, _BITS), axis=1)
+        counts = alone.reshape(-1, _BITS).sum(axis=1)
+        level["rank"] = total + np.cumsum(counts) - counts
+        total += int(counts.sum())
+        sizes.append(size)
+        records.append(level)
+        rest = rest[~alone[at]]
+    return sizes, records
 
-    def dump(self) -> bytes:
-        parts = [_MAGIC, struct.pack("<qq", self.n, len(self.levels))]
-        for bits in self.levels:
-            packed = np.packbits(bits).tobytes()
-            parts += [struct.pack("<qq", len(bits), len(packed)), packed]
-        return b"".join(parts)
 
-    @classmethod
-    def load(cls, raw: bytes) -> PerfectHash:
-        if raw[:8] != _MAGIC:
-            raise ValueError("not a perfect hash")
-        n, k = struct.unpack_from("<qq", raw, 8)
-        at, levels = 24, []
-        for _ in range(k):
-            size, length = struct.unpack_from("<qq", raw, at)
-            levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, length, at + 16), count=size).astype(bool))
-            at += 16 + length
-        return cls(levels, n)
+def slots(keys: np.ndarray, sizes: Sequence[int], levels: Sequence[Take]) -> np.ndarray:
+    """The slot of each key; of a key that isn't in the set, any slot or -1."""
+    keys = keys.astype(U)
+    out, rest = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+    for level, (size, take) in enumerate(zip(sizes, levels, strict=True)):
+        if not len(rest):
+            break
+        at = (_hash(keys[rest], level) % U(size)).astype(np.int64)
+        records, bit = take(at // _BITS), at % _BITS
+        hit = (records["bits"][np.arange(len(at)), bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+        records, bit = records[hit], bit[hit]
+        out[rest[hit]] = records["rank"].astype(np.int64) + np.bitwise_count(records["bits"] & _BEFORE[bit]).sum(axis=1, dtype=np.int64)
+        rest = rest[~hit]
+    return out

@@ -1,17 +1,22 @@
 """Raw token-id shards with a minimal perfect hash from document key to place.
 
 A shard is two files. `shard-N.ids` holds nothing but ids, little-endian, 16 bits wide if the vocabulary
-allows and 32 else, documents one after another in ascending key order. `shard-N.idx` holds the keys'
-perfect hash and, by slot, a 32-bit fingerprint, the first document's row and the number of rows with that key; and by
-row, the key and the end of its ids. Documents are dealt by ranges of (key, hash of the text), so a key
-that a third of all rows share is spread over shards like any other range.
+allows and 32 else, documents one after another in ascending key order. `shard-N.idx` holds no keys: their perfect hash, by slot a
+32-bit fingerprint, the first document's row and the number of rows with that key, and by row the end of its
+ids. All of it is records of fixed size, so a key is found and read by a fixed number of small reads, without reading the index; who asks for many
+keys reads each part once.
+
+Documents are dealt by ranges of (key, hash of the text, place in the input), so a key, or a row, that a third of all rows repeat
+is spread over shards like any other range. Reading back asks for keys: each goes to the shards whose range has it, and a shard's
+task asks its hash for all of them, tells strangers by fingerprint, and reads the ids once from front to back.
 
 Files are written under another name and renamed when whole, and their names and bytes depend on the shard alone,
-so a task that is run again or twice changes nothing. The folder is reached by its URI.
+so a task that is run again or twice changes nothing; what dead attempts leave is removed at the end. The folder is reached by its URI; the names that
+Hadoop gives to stores (s3a, dbfs) become those that the readers of workers know.
 
 Defined cases: a null text is an empty one and has the end id only; null keys come first and are read in
-order, not by key; repeated keys are written each, in the order of their text's hash; an empty table
-gives no shard and no row.
+order, not by key; repeated keys are written each, in the order of their text's hash; keys are integers or text of integers, and others are refused; an
+empty table gives no shard and no row; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -20,19 +25,20 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import common, tokenizers_
-from quire.llm.mph import PerfectHash, fingerprints
+from quire.llm import common, mph, tokenizers_
 from quire.llm.token_counts import _ODD, _SPLIT, HeapCounter, lowered
 
-_HEAD = struct.Struct("<8sqqqq")
+_HEAD, _MAGIC = struct.Struct("<8sqqqqq"), b"QIDX2\0\0\0"
 
 
 def rebuilt(path: str) -> bool:
@@ -116,29 +122,71 @@ def encoder(path: str, by_rank: bool) -> ChunkEncoder:
     return ChunkEncoder(path, by_rank)
 
 
+#: What the workers' file systems call stores that Hadoop names otherwise.
+_SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:///": "file:///dbfs/", "dbfs:/": "file:///dbfs/"}
+
+
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
+    for hadoop, own in _SCHEMES.items():
+        if folder.startswith(hadoop):
+            folder = own + folder.removeprefix(hadoop)
+            break
     return fs.FileSystem.from_uri(folder)
 
 
+def _there(files: fs.FileSystem, path: str) -> bool:
+    return files.get_file_info(path).type == fs.FileType.File
+
+
 def _put(files: fs.FileSystem, path: str, parts: Iterable[bytes]) -> None:
-    attempt = f"{path}.{TaskContext.get().taskAttemptId()}"
+    """Writes a file under the attempt's name and renames it. Another attempt's file of that name has the same bytes and stays."""
+    attempt = f"{path}.attempt-{TaskContext.get().taskAttemptId()}"
     with files.open_output_stream(attempt) as f:
         for x in parts:
             f.write(x)
-    files.move(attempt, path)
+    if not _there(files, path):
+        try:
+            files.move(attempt, path)
+        except OSError:
+            if not _there(files, path):
+                raise
+    if _there(files, attempt):
+        files.delete_file(attempt)
+
+
+_SLOT = np.dtype([("print", "<u4"), ("row", "<i8"), ("count", "<i8")])
 
 
 def _index(keys: list[int | None], ends: np.ndarray, width: int) -> bytes:
     nulls = sum(k is None for k in keys)
-    known = np.array(keys[nulls:], np.int64)
-    distinct, first, count = np.unique(known, return_index=True, return_counts=True)
-    hashed = PerfectHash.build(distinct)
-    slots = hashed.slots(distinct)
-    prints, rows, counts = np.empty(len(distinct), "<u4"), np.empty(len(distinct), "<i8"), np.empty(len(distinct), "<i8")
-    prints[slots], rows[slots], counts[slots] = fingerprints(distinct), first + nulls, count
-    dump = hashed.dump()
-    head = _HEAD.pack(b"QIDX1\0\0\0", len(dump), len(distinct), len(keys), nulls) + struct.pack("<q", width)
-    return b"".join([head, dump, prints.tobytes(), rows.tobytes(), counts.tobytes(), known.astype("<i8").tobytes(), ends.astype("<i8").tobytes()])
+    distinct, first, count = np.unique(np.array(keys[nulls:], np.int64), return_index=True, return_counts=True)
+    sizes, levels = mph.build(distinct)
+    places = mph.slots(distinct, sizes, [x.__getitem__ for x in levels])
+    held = np.empty(len(distinct), _SLOT)
+    held["print"][places], held["row"][places], held["count"][places] = mph.fingerprints(distinct), first + nulls, count
+    head = _HEAD.pack(_MAGIC, len(distinct), len(keys), nulls, width, len(sizes)) + struct.pack(f"<{len(sizes)}q", *sizes)
+    return b"".join([head, *(x.tobytes() for x in levels), held.tobytes(), ends.astype("<i8").tobytes()])
+
+
+class _Records:
+    """Records of one kind in a file: a few are read one by one, many at once, and then they stay."""
+
+    FEW = 64
+
+    def __init__(self, file: pa.NativeFile, at: int, kind: np.dtype, n: int) -> None:
+        self.file, self.at, self.kind, self.n, self.whole = file, at, kind, n, None
+
+    @property
+    def after(self) -> int:
+        return self.at + self.n * self.kind.itemsize
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        if self.whole is None and len(places) <= self.FEW:
+            size = self.kind.itemsize
+            return np.frombuffer(b"".join(self.file.read_at(size, self.at + p * size) for p in places.tolist()), self.kind)
+        if self.whole is None:
+            self.whole = np.frombuffer(self.file.read_at(self.n * self.kind.itemsize, self.at), self.kind, self.n)
+        return self.whole[places]
 
 
 class Shard:
@@ -146,43 +194,49 @@ class Shard:
 
     def __init__(self, folder: str, number: int) -> None:
         files, path = _place(folder)
-        with files.open_input_file(f"{path}/shard-{number:06d}.idx") as f:
-            raw = f.read()
-        magic, size, distinct, n, self.nulls = _HEAD.unpack_from(raw)
-        if magic != b"QIDX1\0\0\0":
+        index = files.open_input_file(f"{path}/shard-{number:06d}.idx")
+        magic, distinct, self.n, self.nulls, self.width, k = _HEAD.unpack(index.read_at(_HEAD.size, 0))
+        if magic != _MAGIC:
             raise ValueError("not an index")
-        self.width = struct.unpack_from("<q", raw, _HEAD.size)[0]
-        at = _HEAD.size + 8
-        self.hash = PerfectHash.load(raw[at : at + size])
-        at += size
-        read = []
-        for kind, k in (("<u4", distinct), ("<i8", distinct), ("<i8", distinct), ("<i8", n - self.nulls), ("<i8", n)):
-            read.append(np.frombuffer(raw, kind, k, at))
-            at += read[-1].nbytes
-        self.prints, self.rows, self.counts, self.keys, self.ends = read
+        self.sizes, at = struct.unpack(f"<{k}q", index.read_at(8 * k, _HEAD.size)), _HEAD.size + 8 * k
+        self.levels = []
+        for size in self.sizes:
+            self.levels.append(_Records(index, at, mph.RECORD, -(-size // mph.RECORD["bits"].itemsize // 8)))
+            at = self.levels[-1].after
+        self.held = _Records(index, at, _SLOT, distinct)
+        self.ends = _Records(index, self.held.after, np.dtype("<i8"), self.n)
         self.ids = files.open_input_file(f"{path}/shard-{number:06d}.ids")
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First row and number of rows of each key; -1 and 0 where the fingerprint tells a stranger."""
-        slots = self.hash.slots(keys)
-        known = slots >= 0
-        known[known] = self.prints[slots[known]] == fingerprints(keys[known])
+        """First row and number of rows of each key; -1 and 0 where the hash or the fingerprint tells a stranger."""
+        places = mph.slots(keys, self.sizes, self.levels)
         rows, counts = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        rows[known], counts[known] = self.rows[slots[known]], self.counts[slots[known]]
+        some = np.flatnonzero(places >= 0)
+        held = self.held(places[some])
+        good = held["print"] == mph.fingerprints(keys[some])
+        rows[some[good]], counts[some[good]] = held["row"][good], held["count"][good]
         return rows, counts
 
-    def start(self, row: int) -> int:
-        return int(self.ends[row - 1]) if row else 0
+    def starts(self, rows: np.ndarray) -> np.ndarray:
+        """Where the ids of rows start."""
+        return np.where(rows > 0, self.ends(np.maximum(rows - 1, 0)), 0) if len(rows) else np.empty(0, np.int64)
 
-    def read(self, row: int) -> np.ndarray:
-        s, e = self.start(row), int(self.ends[row])
-        self.ids.seek(s * self.width)
-        return np.frombuffer(self.ids.read((e - s) * self.width), f"<u{self.width}")
+    def read(self, rows: np.ndarray, at_once: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(row, start, ids) of ascending rows; neighbours are read together, some bytes at once."""
+        starts, ends = self.starts(rows).tolist(), self.ends(rows).tolist() if len(rows) else []
+        k = 0
+        while k < len(rows):
+            upto = k + 1
+            while upto < len(rows) and starts[upto] == ends[upto - 1] and (ends[upto] - starts[k]) * self.width <= at_once:
+                upto += 1
+            got = np.frombuffer(self.ids.read_at((ends[upto - 1] - starts[k]) * self.width, starts[k] * self.width), f"<u{self.width}")
+            for i in range(k, upto):
+                yield int(rows[i]), starts[i], got[starts[i] - starts[k] : ends[i] - starts[k]]
+            k = upto
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text") -> list[tuple]:
-    """Writes the shards and returns their list: (shard, documents, ids, base) in order, a row for each shard."""
-    common.bounded(spark)
+    """Writes the shards and returns their list, in order, a row for each shard: number, documents, ids, ids before it, documents without key, least and greatest key."""
     files, place = _place(folder)
     files.create_dir(place, recursive=True)
     by_rank = rebuilt(path)
@@ -192,12 +246,16 @@ def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, folder:
         number, encode = TaskContext.get().partitionId(), None
         keys: list[int | None] = []
         lengths: list[int] = []
+        batches = common.sliced(batches)
+        first = next(batches, None)
+        if first is None:
+            return
 
         def payload() -> Iterator[bytes]:
             nonlocal encode
             encode = encoder(path, by_rank)
             end = np.array([end_id], encode.kind).tobytes()
-            for b in batches:
+            for b in chain([first], batches):
                 keys.extend(b.column(0).to_pylist())
                 for x in (encode(t or "") for t in b.column(1).to_pylist()):
                     lengths.append(len(x) // encode.kind.itemsize + 1)
@@ -205,48 +263,74 @@ def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, folder:
                     yield end
 
         _put(files, f"{place}/shard-{number:06d}.ids", payload())
-        if not keys:
-            files.delete_file(f"{place}/shard-{number:06d}.ids")
-            return
         ends = np.cumsum(lengths)
         _put(files, f"{place}/shard-{number:06d}.idx", [_index(keys, ends, encode.kind.itemsize)])
-        yield pa.record_batch([pa.array([x], pa.int64()) for x in (number, len(keys), int(ends[-1]))], ["shard", "n", "ids"])
+        nulls = sum(k is None for k in keys)
+        known = keys[nulls:] or [None]
+        yield pa.record_batch([pa.array([x], pa.int64()) for x in (number, len(keys), int(ends[-1]), nulls, known[0], known[-1])], ["shard", "n", "ids", "nulls", "lo", "hi"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    rows = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"), F.spark_partition_id().alias("part"))
+    rows = rows.repartitionByRange("key", "tie", "part").sortWithinPartitions("key", "tie").select("key", "text")
     shards, base = [], 0
-    for number, n, ids in sorted(map(tuple, rows.mapInArrow(run, "shard long, n long, ids long").collect())):  # a row a shard
-        shards.append((number, n, ids, base))
+    for number, n, ids, *rest in sorted(map(tuple, rows.mapInArrow(run, "shard long, n long, ids long, nulls long, lo long, hi long").collect())):  # a row a shard
+        shards.append((number, n, ids, base, *rest))
         base += ids
+    for left in files.get_file_info(fs.FileSelector(place)):
+        if ".attempt-" in left.base_name:
+            files.delete_file(left.path)
     return shards
 
 
-def read_back(spark: SparkSession, shards: list[tuple], folder: str, key: str = "doc_id") -> DataFrame:
-    """key, start, n_tokens, ids_crc32 of every document, found through the indexes and read from the files."""
-    common.bounded(spark)
+def read_back(spark: SparkSession, keys: DataFrame, shards: list[tuple], folder: str, key: str = "doc_id") -> DataFrame:
+    """key, start, n_tokens, ids_crc32 of every document with one of the keys, null among them, found by the hash and read from the files; unknown keys have none."""
+    if not shards:
+        return spark.createDataFrame([], f"{key} long, start long, n_tokens long, ids_crc32 long")
+    numbers, bases = np.array([s[0] for s in shards]), [s[3] for s in shards]
+    keyed = np.array([k for k, s in enumerate(shards) if s[5] is not None], np.int64)
+    lo, hi = (np.array([shards[k][c] for k in keyed.tolist()], np.int64) for c in (5, 6))
+    nulls = [k for k, s in enumerate(shards) if s[4]]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.column(0).null_count:
+                yield pa.record_batch([pa.array(nulls, pa.int32()), pa.nulls(len(nulls), pa.int64())], ["at", "key"])
+            own = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            first, n = np.searchsorted(hi, own), np.maximum(np.searchsorted(lo, own, "right") - np.searchsorted(hi, own), 0)
+            at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.record_batch([pa.array(keyed[at].astype(np.int32)), pa.array(np.repeat(own, n))], ["at", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answered(k: int, asked: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            shard, column = Shard(folder, int(numbers[k])), pa.chunked_array(asked)
+            own = column.drop_null().to_numpy().astype(np.int64)
+            first, n = shard.find(own)
+            rows = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            order = np.argsort(rows, kind="stable")
+            rows, named = rows[order], np.repeat(own, n)[order]
+            if column.null_count:
+                rows, named = np.concatenate([np.arange(shard.nulls), rows]), np.concatenate([np.zeros(shard.nulls, np.int64), named])
+            for at in range(0, len(rows), 8192):
+                some = rows[at : at + 8192]
+                got = [(r < shard.nulls, bases[k] + s, len(x), zlib.crc32(x.astype("<u4").tobytes())) for r, s, x in shard.read(some)]
+                none, start, size, crc = zip(*got, strict=True)
+                yield pa.record_batch([pa.array(named[at : at + 8192], mask=np.array(none)), *(pa.array(c, pa.int64()) for c in (start, size, crc))], [key, "start", "n_tokens", "ids_crc32"])
+
+        at, asked = -1, []
         for b in batches:
-            for number, base in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                shard = Shard(folder, number)
-                first, count = shard.find(np.unique(shard.keys))
-                rows = np.concatenate([np.arange(shard.nulls), *(np.arange(r, r + c) for r, c in zip(first.tolist(), count.tolist(), strict=True))])
-                for k in range(0, len(rows), 4096):
-                    some = rows[k : k + 4096].tolist()
-                    got = [shard.read(r).astype("<u4") for r in some]
-                    yield pa.record_batch(
-                        [
-                            pa.array([None if r < shard.nulls else int(shard.keys[r - shard.nulls]) for r in some], pa.int64()), pa.array([base + shard.start(r) for r in some], pa.int64()),
-                            pa.array([len(x) for x in got], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in got], pa.int64()),
-                        ],
-                        [key, "start", "n_tokens", "ids_crc32"],
-                    )
-
-    table = spark.createDataFrame(shards, "shard long, n long, ids long, base long")
-    return table.repartition(max(1, len(shards))).mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
+            for k in np.unique(b.column(0).to_numpy(zero_copy_only=False)).tolist():
+                if k != at and asked:
+                    yield from answered(at, asked)
+                    asked = []
+                at = k
+                asked.append(b.column(1).filter(pc.equal(b.column(0), k)))
+        if asked:
+            yield from answered(at, asked)
+
+    asked = keys.select(F.col(key).cast("long").alias("key")).distinct().mapInArrow(deal, "at int, key long")
+    return asked.repartitionById(len(shards), F.col("at")).sortWithinPartitions("at").mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = common.fresh_dir(spark, "shards")
-    shards = write(spark, common.read(spark, sf_dir, "documents"), tokenizers_.path("word_bpe_49k.json"), 2, folder)
-    return read_back(spark, shards, folder)
+    folder, docs = common.fresh_dir(spark, "shards"), common.read(spark, sf_dir, "documents")
+    shards = write(spark, docs, tokenizers_.path("word_bpe_49k.json"), 2, folder)
+    return read_back(spark, docs, shards, folder)
