@@ -108,14 +108,14 @@ def test_perfect_hash():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 1000, 20_000):
         keys = np.unique(rng.integers(-(2**62), 2**62, n))
-        h = mph.PerfectHash.load(mph.PerfectHash.build(keys).dump())
-        assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
+        sizes, levels = mph.build(keys)
+        assert sorted(mph.slots(keys, sizes, [x.__getitem__ for x in levels]).tolist()) == list(range(len(keys)))
 
 
 def test_shards(spark, docs, rows, nothing, word):
     folder = common.fresh_dir(spark, "test")
     shards = token_shards.write(spark, docs, WORD, 2, folder)
-    back = sorted((tuple(r) for r in token_shards.read_back(spark, shards, folder).collect()), key=lambda r: r[1])
+    back = sorted((tuple(r) for r in token_shards.read_back(spark, docs, shards, folder).collect()), key=lambda r: r[1])
     ids = [(i, word.encode(t or "", add_special_tokens=False).ids + [2]) for i, t, *_ in rows]
     assert [r[0] for r in back] == sorted((i for i, _ in ids), key=lambda i: (i is not None, i or 0))
     at = 0
@@ -124,15 +124,45 @@ def test_shards(spark, docs, rows, nothing, word):
         at += r[2]
     digest = lambda i, x: (i, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))
     assert sorted(map(str, ((r[0], r[2], r[3]) for r in back))) == sorted(map(str, (digest(*x) for x in ids)))
-    strangers = 0
-    for number, *_ in shards:
-        s = token_shards.Shard(folder, number)
-        for key in s.keys.tolist():
-            first, n = s.find(np.array([key]))
-            assert s.keys[first[0] - s.nulls] == key and n[0] == (s.keys == key).sum()
-        strangers += int((s.find(np.arange(10**6, 10**6 + 1000))[0] >= 0).sum())
-    assert strangers <= 2
-    assert token_shards.read_back(spark, token_shards.write(spark, nothing, WORD, 2, common.fresh_dir(spark, "none")), folder).count() == 0
+    some = spark.createDataFrame([(4,), (7,), (10**9,)], "doc_id long")
+    assert sorted(map(tuple, token_shards.read_back(spark, some, shards, folder).collect())) == sorted(r for r in back if r[0] in (4, 7))
+    folder = common.fresh_dir(spark, "none")
+    assert token_shards.read_back(spark, nothing, token_shards.write(spark, nothing, WORD, 2, folder), folder).count() == 0
+
+
+def test_keyed_access(spark):
+    """One key at a time reads records, not the index; strangers are told by fingerprint; a hot row is spread over shards."""
+    docs = spark.createDataFrame([(7 * i - 4000, f"word {i} and more") for i in range(3000)] + [(5, "hot")] * 3000, "doc_id long, text string").repartition(5)
+    folder = common.fresh_dir(spark, "keyed")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = token_shards.write(spark, docs, WORD, 2, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(s[5] <= 5 <= s[6] for s in shards) > 1
+    strangers = found = 0
+    for number, n, _, _, _, lo, hi in shards:
+        shard = token_shards.Shard(folder, number)
+        for i in range(0, 3000, 97):
+            row, times = shard.find(np.array([7 * i - 4000]))
+            if times[0]:
+                found += 1
+                assert lo <= 7 * i - 4000 <= hi and next(shard.read(row))[2].tolist() == [*_word().encode(f"word {i} and more", add_special_tokens=False).ids, 2]
+        assert all(x.whole is None for x in (*shard.levels, shard.held, shard.ends))
+        strangers += int((shard.find(np.arange(10**6, 10**6 + 5000))[0] >= 0).sum())
+    assert found == len(range(0, 3000, 97)) and strangers <= 1
+    assert token_shards.read_back(spark, docs, shards, folder).count() == 6000
+
+
+def test_files_are_put_once(tmp_path, monkeypatch):
+    """A second attempt finds the file there and leaves no other; Hadoop's names of stores are understood."""
+    from pyarrow import fs
+
+    for attempt in (1, 2):
+        monkeypatch.setattr(token_shards.TaskContext, "get", lambda a=attempt: type("T", (), {"taskAttemptId": lambda self: a})())
+        token_shards._put(fs.LocalFileSystem(), f"{tmp_path}/x", [b"a", b"b"])
+    assert [p.name for p in tmp_path.iterdir()] == ["x"] and (tmp_path / "x").read_bytes() == b"ab"
+    assert token_shards._place("dbfs:/tmp/x")[1] == "/dbfs/tmp/x"
 
 
 def _check_packing(packed, rows, byte, capacity):
