@@ -1,13 +1,15 @@
 """Licence scans by a trained paragraph classifier.
 
 Paragraphs (lines) are read in windows of words, and so are runs of lines, for notices that are wrapped. Sparse word n-grams of a window feed a multinomial logistic
-regression over licence families and an unknown class. Its probabilities are calibrated by a temperature
-and by a least probability that held-out unknown windows don't reach; a family above it is confirmed if one of
-its template phrases is found in the window, compared by word pairs. Both must agree.
+regression over licence families and an unknown class, which decides: a family is found where its calibrated probability passes
+the least one that held-out unknown windows don't reach. Comparison with the family's template phrases then confirms it: a share of what tells one
+of them from other families' phrases must be in the window. Phrases of one family share most words with others (versions of
+the GNU licences, Creative Commons terms), so comparison alone names several; what it doesn't confirm is counted apart.
 
-The model is trained here, from the template phrases below, varied at random under a fixed seed, and for the unknown class
-from near misses and from windows of a bounded sample of the corpus (`Setup.sample` texts, those of least
-hash). Everything else covers every paragraph of every text.
+The model is trained here, on the template phrases and on other wordings of each family's names, varied at random under a fixed
+seed, and for the unknown class on near misses and windows of a bounded sample of the corpus (`Setup.sample` texts of least hash, of
+each its first `Setup.sample_chars`). Temperature and least probability come from a model that knows neither the wordings nor
+the near misses that they are fitted on (`Model.report` says how it fares there); the model in use has seen all. Everything else covers every paragraph of every text.
 
 Defined cases: a null text is an empty one and has no licence; repeated rows are scanned each; an empty table gives an
 empty result, and then the unknown class is trained from near misses alone. Offsets count code points, ends are exclusive.
@@ -16,6 +18,7 @@ empty result, and then the unknown class is trained from near misses alone. Offs
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, chain
@@ -109,6 +112,27 @@ TEMPLATES = {
         "SPDX-License-Identifier: Unlicense",
     ],
 }
+# How else licences are named, and how notices put it. The last name and every fourth sentence are what calibration holds out.
+NAMES = {
+    "apache-2.0": ["the Apache License, Version 2.0", "the Apache 2.0 license", "the Apache Software License 2.0", "Apache License v2"],
+    "mit": ["the MIT License", "the MIT licence", "the permissive MIT license", "the MIT (Expat) license"],
+    "bsd": ["the BSD License", "the 3-clause BSD license", "the 2-clause BSD license", "the New BSD License"],
+    "gpl-3.0": ["the GNU General Public License, version 3", "the GNU GPL v3", "GPLv3", "the GPL version 3"],
+    "gpl-2.0": ["the GNU General Public License, version 2", "the GNU GPL v2", "GPLv2", "the GPL version 2"],
+    "lgpl": ["the GNU Lesser General Public License", "the GNU LGPL", "the LGPL", "the Lesser GPL"],
+    "agpl-3.0": ["the GNU Affero General Public License", "the GNU AGPL", "the AGPL", "the Affero GPL"],
+    "mpl-2.0": ["the Mozilla Public License 2.0", "the Mozilla Public License, v. 2.0", "the MPL 2.0", "Mozilla's public license"],
+    "cc-by": ["CC BY 4.0", "the Creative Commons Attribution 4.0 license", "Creative Commons Attribution", "a Creative Commons BY license"],
+    "cc-by-sa": ["CC BY-SA 4.0", "the Creative Commons Attribution-ShareAlike 4.0 license", "Creative Commons Attribution-ShareAlike", "a Creative Commons BY-SA license"],
+    "cc-by-nc": ["CC BY-NC 4.0", "the Creative Commons Attribution-NonCommercial 4.0 license", "Creative Commons Attribution-NonCommercial", "a Creative Commons BY-NC license"],
+    "cc0": ["CC0 1.0 Universal", "CC0", "the CC0 public domain dedication", "Creative Commons Zero (CC0)"],
+    "isc": ["the ISC License", "the ISC licence", "the simple ISC license", "the ISC terms"],
+    "unlicense": ["the Unlicense", "The Unlicense (public domain)", "the terms of the Unlicense", "Unlicense"],
+}
+SENTENCES = [
+    "Licensed under {}", "Released under {}", "This work is licensed under {}", "This project is distributed under the terms of {}", "The code in this repository is made available under {}", "{} applies to all files here",
+    "You may copy and modify it under {}", "Published under {}, see the file COPYING", "Its use is governed by {}", "License: {}", "Covered by {}; see LICENSE for details", "Everything in this folder falls under {}",
+]
 # What speaks of licences and names none.
 NEAR_MISSES = [
     "All rights reserved", "Copyright 2020 by the authors", "The driver must carry a valid licence at all times", "A licence fee is due for each public performance of this work",
@@ -125,14 +149,17 @@ UNKNOWN = "unknown"
 class Setup:
     #: Texts whose windows stand for the unknown class, those of least hash: a fixed bound, whatever the corpus.
     sample: int = 400
+    sample_chars: int = 20_000
     sample_windows: int = 3000
     window: int = 40
     stride: int = 20
-    variants: int = 24
-    #: Share of a template phrase's word pairs that must be in the window.
-    overlap: float = 0.7
+    #: Examples made of a template phrase or near miss, and of another wording.
+    variants: int = 12
+    wordings: int = 2
+    #: Share of what tells a template phrase (its words and word pairs, each by how few families have it) that must be in the window.
+    overlap: float = 0.45
     penalty: float = 1e-3
-    steps: int = 300
+    steps: int = 200
     seed: int = 7
 
 
@@ -154,9 +181,12 @@ def windows(n: int, setup: Setup) -> list[tuple[int, int]]:
 class Model:
     """Weights of n-grams for each family, the unknown class last, and what calibrates them."""
 
-    def __init__(self, families: list[str], weights: dict[str, np.ndarray], bias: np.ndarray, temperature: float, least: float, setup: Setup) -> None:
-        self.families, self.weights, self.bias, self.temperature, self.least, self.setup = families, weights, bias, temperature, least, setup
-        self.phrases = {f: [{*zip(w, w[1:], strict=False)} for w in map(words_of, TEMPLATES[f])] for f in families}
+    def __init__(self, families: list[str], weights: dict[str, np.ndarray], bias: np.ndarray, temperature: float, least: float, setup: Setup, report: dict[str, float]) -> None:
+        self.families, self.weights, self.bias, self.temperature, self.least, self.setup, self.report = families, weights, bias, temperature, least, setup, report
+        # each template phrase as its word pairs, and as what its words and pairs tell, by the number of families that have them
+        units = {f: [{*w, *zip(w, w[1:], strict=False)} for w in map(words_of, TEMPLATES[f])] for f in families}
+        held = Counter(u for f in families for u in set().union(*units[f]))
+        self.phrases = {f: [({x for x in t if isinstance(x, tuple)}, {x: float(np.log((1 + len(families)) / held[x])) for x in t}) for t in units[f]] for f in families}
         # the most that a word can add to any family's lead over unknown, by itself or as the last of a pair or triple
         best: dict[tuple[str, int], float] = {}
         for gram, w in weights.items():
@@ -188,18 +218,22 @@ class Model:
         k = int(p[:-1].argmax())
         if p[k] < self.least:
             return UNKNOWN, float(p[-1]), False
-        pairs = {*zip(words, words[1:], strict=False)}
-        return self.families[k], float(p[k]), any(len(t & pairs) >= self.setup.overlap * len(t) for t in self.phrases[self.families[k]])
+        return self.families[k], float(p[k]), any(self.alike(tells, words) for _, tells in self.phrases[self.families[k]])
 
-    def runs(self, k: int, pairs: list[tuple[str, str]], taken: set[int]) -> list[tuple[int, int, set[int]]]:
-        """For each template of family k that the pairs of a window's words confirm, the longest first: first and last word of the shortest run
-        with all its pairs that are there, and their places. Half of its pairs must have places that aren't taken."""
+    def alike(self, tells: dict, words: list[str]) -> bool:
+        """Whether words have the share of a template phrase that confirms it."""
+        here = {*words, *zip(words, words[1:], strict=False)}
+        return sum(w for x, w in tells.items() if x in here) >= self.setup.overlap * sum(tells.values())
+
+    def runs(self, k: int, words: list[str], pairs: list[tuple[str, str]], taken: set[int]) -> list[tuple[int, int, set[int]]]:
+        """For each template of family k that a window's words confirm, the longest first: first and last word of the shortest run
+        with all its pairs that are there, and their places. Half of these pairs must have places that aren't taken."""
         out = []
-        for t in self.phrases[self.families[k]]:
+        for t, tells in self.phrases[self.families[k]]:
             places = [n for n, x in enumerate(pairs) if x in t]
             kinds = {pairs[n] for n in places}
             own = {pairs[n] for n in places if n not in taken} if taken else kinds
-            if len(kinds) < self.setup.overlap * len(t) or len(own) < 0.5 * len(t):
+            if not kinds or len(own) < 0.5 * len(kinds) or not self.alike(tells, words):
                 continue
             count, lo, best = {}, 0, (0, len(pairs))
             for n in places:
@@ -232,7 +266,7 @@ class Model:
         taken: set[int] = set()
         for again in (False, True):
             for k in likely:
-                for a, b, places in [] if k in sure else self.runs(k, pairs, taken):
+                for a, b, places in [] if k in sure else self.runs(k, words, pairs, taken):
                     if again:
                         good = bool(taken) and self._alone(k, [w for n, w in enumerate(words) if n not in taken and n - 1 not in taken])
                     else:
@@ -305,88 +339,109 @@ class Model:
         return sum(unsure) + more
 
 
-def _variants(rng: np.random.Generator, corpus: list[list[str]], setup: Setup) -> list[tuple[str, list[str]]]:
-    """Template phrases with words left out, cut at the ends and set among other words."""
+def _varied(rng: np.random.Generator, base: list[str], corpus: list[list[str]], setup: Setup) -> list[str]:
+    """A phrase with words left out, cut at the ends and set among other words."""
+    w = list(base)
+    if len(w) > 7:
+        w = [x for x in w if rng.random() > 0.08]
+    if len(w) > 20 and rng.random() < 0.5:
+        cut = int(rng.integers(0, len(w) // 4))
+        w = w[cut:] if rng.random() < 0.5 else w[: len(w) - cut]
+    if corpus and rng.random() < 0.6:
+        other = corpus[int(rng.integers(len(corpus)))]
+        m = int(rng.integers(0, max(1, min(len(other), setup.window - len(w))) + 1))
+        w = other[:m] + w if rng.random() < 0.5 else w + other[:m]
+    return w[: setup.window + 10]
+
+
+def _examples(rng: np.random.Generator, corpus: list[list[str]], setup: Setup) -> list[tuple[str, list[str], bool]]:
+    """(family, words, whether calibration holds it out). All variants of a wording, near miss or window fall on the same side."""
     out = []
-    for family, phrases in TEMPLATES.items():
-        for phrase in phrases:
-            base = words_of(phrase)
-            for k in range(setup.variants):
-                w = list(base)
-                if k:
-                    if len(w) > 7:
-                        w = [x for x in w if rng.random() > 0.08]
-                    if len(w) > 20 and rng.random() < 0.5:
-                        cut = int(rng.integers(0, len(w) // 4))
-                        w = w[cut:] if rng.random() < 0.5 else w[: len(w) - cut]
-                    if corpus and rng.random() < 0.6:
-                        other = corpus[int(rng.integers(len(corpus)))]
-                        m = int(rng.integers(0, max(1, min(len(other), setup.window - len(w))) + 1))
-                        w = other[:m] + w if rng.random() < 0.5 else w + other[:m]
-                out.append((family, w[: setup.window + 10]))
-    return out
+
+    def add(family: str, phrase: str, held: bool, times: int) -> None:
+        base = words_of(phrase)
+        out.append((family, base, held))
+        out.extend((family, _varied(rng, base, corpus, setup), held) for _ in range(times - 1))
+
+    for family in TEMPLATES:
+        for phrase in TEMPLATES[family]:
+            add(family, phrase, False, setup.variants)
+        for n, name in enumerate(NAMES[family]):
+            for k, sentence in enumerate(SENTENCES):
+                add(family, sentence.format(name), n == len(NAMES[family]) - 1 or k % 4 == 3, setup.wordings)
+    for k, miss in enumerate(NEAR_MISSES):
+        add(UNKNOWN, miss, k % 4 == 3, setup.variants)
+    loose = [w for f in TEMPLATES for phrase in TEMPLATES[f] for w in words_of(phrase)]
+    for k in range(40 * setup.variants):  # template words out of order name nothing
+        out.append((UNKNOWN, [loose[int(i)] for i in rng.integers(0, len(loose), int(rng.integers(2, 20)))], k % 4 == 3))
+    return out + [(UNKNOWN, w, k % 4 == 3) for k, w in enumerate(corpus)]
+
+
+def _fit(x: np.ndarray, label: np.ndarray, classes: int, setup: Setup) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias by full-batch descent with per-weight step sizes; every class counts alike."""
+    y = np.eye(classes, dtype=np.float32)[label]
+    weights, bias = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
+    share = (1 / np.maximum(1, np.bincount(label, minlength=classes)))[label].astype(np.float32)[:, None]
+    share /= share.sum()
+    m = v = mb = vb = 0.0
+    for t in range(1, setup.steps + 1):
+        z = x @ weights + bias
+        z = np.exp(z - z.max(1, keepdims=True))
+        d = (z / z.sum(1, keepdims=True) - y) * share
+        g, gb = x.T @ d + setup.penalty / (classes - 1) * weights, d.sum(0)
+        m, mb, v, vb = 0.9 * m + 0.1 * g, 0.9 * mb + 0.1 * gb, 0.99 * v + 0.01 * g * g, 0.99 * vb + 0.01 * gb * gb
+        fix, fix2 = 1 - 0.9**t, 1 - 0.99**t
+        weights -= 0.1 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
+        bias -= 0.1 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
+    return weights, bias
+
+
+def _calibrated(z: np.ndarray, truth: np.ndarray, unknown: int) -> tuple[float, float, dict[str, float]]:
+    """Temperature and least probability for logits of examples that the model hasn't seen, and how it fares on them."""
+    share = (1 / np.bincount(truth, minlength=unknown + 1).clip(1))[truth]
+    share /= share.sum()
+
+    def chances(t: float) -> np.ndarray:
+        q = np.exp((z - z.max(1, keepdims=True)) / t)
+        return q / q.sum(1, keepdims=True)
+
+    temperature = min((0.25 * 1.25**k for k in range(20)), key=lambda t: float(-(share * np.log(chances(t)[np.arange(len(z)), truth] + 1e-12)).sum()))
+    p = chances(temperature)
+    strange = np.sort(p[truth == unknown, :-1].max(1))
+    least = float(min(0.95, max(0.5, strange[int(0.999 * (len(strange) - 1))] if len(strange) else 0.5)))
+    sure, right = p.max(1), p.argmax(1) == truth
+    bins = np.minimum((sure * 10).astype(int), 9)
+    gap = sum(abs((share * (right - sure))[bins == b].sum()) for b in range(10))
+    known = truth != unknown
+    named = (p[:, :-1].max(1) >= least) & (p[:, :-1].argmax(1) == truth)
+    report = {"held_out": len(truth), "accuracy": float((share * right).sum()), "calibration_error": float(gap), "named": float(named[known].mean()), "mistaken_unknown": float((strange >= least).mean()) if len(strange) else 0.0}
+    return temperature, least, report
 
 
 def train(corpus_texts: list[str], setup: Setup = Setup()) -> Model:
     """corpus_texts: the bounded sample for the unknown class; windows that a template phrase fits are left out of it."""
     rng = np.random.default_rng(setup.seed)
     families = list(TEMPLATES)
-    pairs = [{*zip(w, w[1:], strict=False)} for f in families for w in map(words_of, TEMPLATES[f])]
-    corpus = []
+    pairs = [{*zip(w, w[1:], strict=False)} for f in families for w in map(words_of, [*TEMPLATES[f], *NAMES[f]]) if len(w) > 1]
+    corpus: list[list[str]] = []
     for line in (x for t in corpus_texts for x in t.split("\n")):
         words = words_of(line)
-        for s, e in windows(len(words), setup):
+        for s, e in windows(len(words), setup) if len(corpus) < setup.sample_windows else []:
             own = {*zip(words[s:e], words[s + 1 : e], strict=False)}
-            if len(corpus) < setup.sample_windows and not any(len(t & own) >= 0.5 * len(t) for t in pairs):
+            if not any(len(t & own) >= 0.5 * len(t) for t in pairs):
                 corpus.append(words[s:e])
-    examples = _variants(rng, corpus, setup)
-    misses = [words_of(x) for x in NEAR_MISSES]
-    loose = [w for x in pairs for p in x for w in p]
-    for w in misses:
-        for _ in range(setup.variants):
-            other = corpus[int(rng.integers(len(corpus)))] if corpus else []
-            examples.append((UNKNOWN, (w + other[: int(rng.integers(0, 20))])[: setup.window]))
-    for _ in range(40 * setup.variants):  # template words out of order name nothing
-        examples.append((UNKNOWN, [loose[int(i)] for i in rng.integers(0, len(loose), int(rng.integers(2, 20)))]))
-    examples += [(UNKNOWN, w) for w in corpus]
-    order = rng.permutation(len(examples))
-    held, fit = order[: len(order) // 4], order[len(order) // 4 :]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for f in families for t in TEMPLATES[f] for g in grams(words_of(t))}))}
-    label = np.array([families.index(f) if f != UNKNOWN else len(families) for f, _ in examples])
-    rows = [np.array(sorted(vocabulary[g] for g in grams(w) if g in vocabulary), np.int64) for _, w in examples]
+    examples = _examples(rng, corpus, setup)
+    vocabulary = {g: i for i, g in enumerate(sorted({g for f in families for t in [*TEMPLATES[f], *NAMES[f]] for g in grams(words_of(t))}))}
+    label = np.array([families.index(f) if f != UNKNOWN else len(families) for f, *_ in examples])
+    held = np.array([h for *_, h in examples])
     x = np.zeros((len(examples), len(vocabulary)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
-    y = np.eye(len(families) + 1, dtype=np.float32)[label]
-    weights, bias = np.zeros((len(vocabulary), y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
-    share = (1 / np.maximum(1, np.bincount(label[fit], minlength=y.shape[1])))[label[fit]].astype(np.float32)[:, None]
-    share /= share.sum()
-    xf, yf = x[fit], y[fit]
-    m = v = mb = vb = 0.0
-    for t in range(1, setup.steps + 1):  # full-batch, with per-weight step sizes
-        z = xf @ weights + bias
-        z = np.exp(z - z.max(1, keepdims=True))
-        d = (z / z.sum(1, keepdims=True) - yf) * share
-        g, gb = xf.T @ d + setup.penalty / len(families) * weights, d.sum(0)
-        m, mb, v, vb = 0.9 * m + 0.1 * g, 0.9 * mb + 0.1 * gb, 0.99 * v + 0.01 * g * g, 0.99 * vb + 0.01 * gb * gb
-        fix, fix2 = 1 - 0.9**t, 1 - 0.99**t
-        weights -= 0.1 * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
-        bias -= 0.1 * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
-    z = x[held] @ weights + bias
-    truth = label[held]
-
-    def loss(t: float) -> float:
-        q = z / t
-        q = q - q.max(1, keepdims=True)
-        return float(np.mean(np.log(np.exp(q).sum(1)) - q[np.arange(len(q)), truth]))
-
-    temperature = min((0.25 * 1.25**k for k in range(20)), key=loss)
-    q = np.exp(z / temperature - (z / temperature).max(1, keepdims=True))
-    q /= q.sum(1, keepdims=True)
-    strange = np.sort(q[truth == len(families), :-1].max(1))
-    least = float(min(0.95, max(0.5, strange[int(0.999 * (len(strange) - 1))] if len(strange) else 0.5)))
+    for i, (_, w, _) in enumerate(examples):
+        x[i, [vocabulary[g] for g in grams(w) if g in vocabulary]] = 1
+    weights, bias = _fit(x[~held], label[~held], len(families) + 1, setup)
+    temperature, least, report = _calibrated(x[held] @ weights + bias, label[held], len(families))
+    weights, bias = _fit(x, label, len(families) + 1, setup)
     kept = {g: weights[i].astype(np.float64) for g, i in vocabulary.items() if np.abs(weights[i]).max() > 1e-6}
-    return Model(families, kept, bias.astype(np.float64), temperature, least, setup)
+    return Model(families, kept, bias.astype(np.float64), temperature, least, setup, report)
 
 
 def fitted(spark: SparkSession, docs: DataFrame, text: str = "text", setup: Setup = Setup()) -> Model:
@@ -398,7 +453,7 @@ def fitted(spark: SparkSession, docs: DataFrame, text: str = "text", setup: Setu
     share = min(1.0, 8 * setup.sample / max(1, docs.count()))
     near = hashed.where(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
     least = near.groupBy("h").count().orderBy("h").limit(setup.sample).agg(F.max("h")).first()[0]
-    sample = [] if least is None else hashed.where(F.col("h") <= F.lit(least)).groupBy("h").agg(F.first("t").alias("t")).collect()
+    sample = [] if least is None else hashed.where(F.col("h") <= F.lit(least)).groupBy("h").agg(F.min(F.substring("t", 1, setup.sample_chars)).alias("t")).collect()
     return train([r["t"] for r in sorted(sample, key=lambda r: r["h"])], setup)
 
 
