@@ -307,6 +307,41 @@ def test_licence_scan(spark, docs, rows, nothing, model):
     assert licences.scan(spark, nothing, licences.fitted(spark, nothing)).count() == 0
 
 
+def test_calibration(model):
+    """On names and sentences that it hasn't seen, the calibrated model's probabilities are right about as often as they say, and unknown windows pass for none."""
+    r = model.report
+    assert r["held_out"] > 1000 and r["accuracy"] > 0.65 and r["calibration_error"] < 0.1 and r["mistaken_unknown"] < 0.01
+
+
+def test_classifier_decides(model, spark):
+    """Comparison with templates alone names other families too: without the classifier the given documents get other licences."""
+    def compared(text):
+        words = licences.words_of(text)
+        parts = [words[s:e] for s, e in licences.windows(len(words), model.setup)]
+        return {f for f in model.families for _, tells in model.phrases[f] if any(model.alike(tells, w) for w in parts)}
+
+    licensed = other = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        found = {k for *_, k in model.scan(r["text"] or "")[2]}
+        licensed += bool(found)
+        other += bool(found) and compared(r["text"]) != found
+    assert licensed > 20 and other > 5
+
+
+def test_scan_is_every_window_by_the_full_model(model, prose):
+    """Lines by themselves against a plain pass: all windows, full probabilities, every family tried, no bound."""
+    lines = [s.format(n) for f in licences.NAMES for n in licences.NAMES[f][:2] for s in licences.SENTENCES[:2]] + [prose(90, k) for k in range(5)] + [f"{prose(60, k)} {licences.TEMPLATES['mit'][2]} {prose(60, k + 1)}" for k in range(3)]
+    for line in lines:
+        words = licences.words_of(line)
+        sure = {f for s, e in licences.windows(len(words), model.setup) for f, *_ in model.licences(words[s:e])[0]}
+        assert {k for *_, k in model.scan(line)[2]} == sure
+        for s, e in licences.windows(len(words), model.setup):
+            p = model.probabilities(words[s:e])
+            k = int(p[:-1].argmax())
+            if p[k] >= model.least and any(model.alike(t, words[s:e]) for _, t in model.phrases[model.families[k]]):
+                assert model.families[k] in sure
+
+
 def test_bound_skips_nothing(model, sf, spark):
     """Windows that the bound lets pass by have no family by the full model either."""
     for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect():
