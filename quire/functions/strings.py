@@ -195,3 +195,8 @@ def uri_expanded(template: str, values: dict[str, Column]) -> Column:
         joined = F.concat_ws(between, *parts)
         out.append(F.when(F.coalesce(*parts).isNull(), "").otherwise(F.concat(F.lit(first), joined)))
     return F.concat(*out, F.lit(template[at:]))
+
+
+def string_keys(nested: Column) -> Column:
+    """A map of maps with the keys of both as text, as JSON has them."""
+    return F.transform_values(F.transform_keys(nested, lambda k, v: k.cast("string")), lambda k, v: F.transform_keys(v, lambda a, b: a.cast("string")))

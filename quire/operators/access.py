@@ -50,7 +50,11 @@ def numbered(rows: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
 
 
 def replace_atomically(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes a version beside the old one and renames it into place when whole: a reader sees the one or the other."""
+    """Writes a version beside the old one and renames it into place when whole: no reader sees half of one.
+
+    There are two renames, as a folder can't be renamed onto another: a reader who comes between them finds no table and has to try again, and
+    on stores without renames they are copies.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old.{uuid.uuid4().hex}"
     df.write.parquet(new)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +38,12 @@ class Rule:
     multi_line: bool = True
     samples: tuple[str, ...] = field(default=())
 
+    @classmethod
+    def from_json(cls, text: str) -> Rule:
+        """A stored rule {pattern, caseSensitive, multiLine, samples}; what is missing is as in a new one."""
+        d = json.loads(text)
+        return cls(str(d["pattern"]), bool(d.get("caseSensitive", False)), bool(d.get("multiLine", True)), tuple(map(str, d.get("samples") or ())))
+
     @classmethod
     def built_in(cls, name: str = DEFAULT_RULE) -> Rule:
         return cls(RULES[name], samples=tuple(SAMPLES[name]))
@@ -126,10 +133,17 @@ def nested_toc(toc: DataFrame) -> DataFrame:
 _REJECT = ("script", "style")
 
 
+# The elements that bound a sentence, and the quotes that belong to the one before.
+_SPOKEN_BLOCKS = frozenset({
+    "article", "aside", "audio", "blockquote", "caption", "details", "dialog", "div", "dl", "dt", "dd", "figure", "footer", "form", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hgroup", "hr", "li", "main", "math", "nav", "ol", "p", "pre", "section", "tr",
+})
+_QUOTES = "\"'“”‘’"
+
+
 class _Texts(HTMLParser):
     """Text nodes of markup, with the block and the link that each is in."""
 
-    BLOCKS = frozenset("article aside audio blockquote caption details dialog div dl dt dd figure footer form figcaption h1 h2 h3 h4 h5 h6 header hgroup hr li main math nav ol p pre section tr".split())
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
     def __init__(self, rejecting: bool) -> None:
@@ -138,7 +152,7 @@ class _Texts(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
-        if tag in self.BLOCKS:
+        if tag in _SPOKEN_BLOCKS:
             self.block += 1
         if tag not in self.VOID:
             rejected = self.rejecting and (tag in _REJECT or "translated-text" in (a.get("class") or "").split())
@@ -150,7 +164,7 @@ class _Texts(HTMLParser):
             if self.open[k][0] == tag:
                 del self.open[k:]
                 break
-        if tag in self.BLOCKS:
+        if tag in _SPOKEN_BLOCKS:
             self.block += 1
 
     def handle_data(self, data: str) -> None:
@@ -198,9 +212,6 @@ def preceding(nodes: DataFrame, count: int, key: str = "doc_id") -> DataFrame:
     return rows.scan(lists, [key], ["entries"], one, "node_idx int, before string")
 
 
-_QUOTES = "\"'“”‘’"
-
-
 def sentences(nodes: list[tuple[str, int, bool]]) -> Iterator[tuple[int, str]]:
     """(number, sentence) of text nodes (text, block, in a local link). A full stop ends one before a space, a quote or the node's end, other marks always; quotes after it belong to it; a block's end ends one."""
     held, block, n = "", None, 0
@@ -236,6 +247,12 @@ def split_sentences(pages: DataFrame, key: str = "page_id", html: str = "html")
     return rows.scan(pages.withColumn("_h", F.coalesce(F.col(html), F.lit(""))), [key], ["_h"], lambda h: sentences([(t, b, a) for t, b, a, _ in text_nodes(h, rejecting=False)]), "sentence_idx int, sentence string")
 
 
+def peeked(rows: DataFrame, count: int, key: str = "page_id", order: str = "sentence_idx", text: str = "sentence") -> DataFrame:
+    """rows with `ahead`: the texts of the `count` rows that follow in their document, which a speech engine prepares before it needs them."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(1, count)
+    return rows.withColumn("ahead", F.collect_list(text).over(w))
+
+
 class _Elements(HTMLParser):
     """Elements with their own text, as a tree."""
 

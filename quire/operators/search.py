@@ -98,12 +98,22 @@ def ranges(text: str, query: str, match_case: bool = False, match_diacritics: bo
     return simple(text, query, kind) if not whole_words and kind in ("variant", "accent") else collated(text, query, kind, whole_words)
 
 
+def _edge(text: str, at: int, back: bool) -> str:
+    """The collapsed text before a place, or after it: all of it, or at least as much as the context takes. Looks no farther than needed."""
+    reach = 4 * CONTEXT
+    while True:
+        part = text[max(0, at - reach) : at] if back else text[at : at + reach]
+        joined = " ".join(part.split())
+        if len(joined) >= CONTEXT or len(part) < reach:
+            return joined
+        reach *= 4
+
+
 def excerpt(text: str, start: int, end: int) -> tuple[str, str, str]:
     """What is before the range, the range, and what is after it: white space collapsed, cut to the context's length with an ellipsis."""
-    # white space collapses to less: a bounded stretch can't be told from the whole only if it is nearly blank
-    before = " ".join(text[:start].split()) + (" " if start and text[start - 1].isspace() and text[:start].strip() else "")
-    after = (" " if end < len(text) and text[end].isspace() else "") + " ".join(text[end:].split())
-    after = after if after.strip() else ""
+    before, after = _edge(text, start, True), _edge(text, end, False)
+    before += " " if before and text[start - 1].isspace() else ""
+    after = (" " if after and text[end].isspace() else "") + after
     pre = ("…" if len(before) >= CONTEXT else "") + before[-CONTEXT:]
     post = after[:CONTEXT] + ("…" if len(after) >= CONTEXT else "")
     return pre, text[start:end], post
@@ -119,6 +129,15 @@ def hits(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", *
     return rows.scan(docs, [key], [text], one, "hit_idx int, start int, end int, pre string, match string, post string")
 
 
+def progressed(found: DataFrame, total: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What a search reports while it goes through the sections of a document (key, section_idx): after each, the share that is read, the hits so far, and whether it is done."""
+    w = Window.partitionBy(key).orderBy("section_idx")
+    n = found.groupBy(key, "section_idx").agg(F.count("*").alias("n"))
+    read = total.join(n, [key, "section_idx"], "left").withColumn("hits", F.sum(F.coalesce("n", F.lit(0))).over(w).cast("long"))
+    last = F.max("section_idx").over(Window.partitionBy(key))
+    return read.select(key, "section_idx", "hits", ((F.col("section_idx") + 1) / (last + 1)).alias("progress"), (F.col("section_idx") == last).alias("done"))
+
+
 def by_section(found: DataFrame, total: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row for each section (section_idx) with its hits in order and the share of sections read up to it; sections without hits are left out."""
     n = total.groupBy(key).agg(F.max("section_idx").alias("last"))

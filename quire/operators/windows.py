@@ -80,3 +80,9 @@ def requests_in_minute(log: DataFrame, per_minute: int) -> DataFrame:
     w = Window.partitionBy("service").orderBy(at).rangeBetween(-59, 0)
     out = log.withColumn("in_minute", F.count("*").over(w)).withColumn("oldest", F.min(at).over(w))
     return out.withColumn("wait", F.when(F.col("in_minute") > per_minute, F.col("oldest") + 60 - at).otherwise(0))
+
+
+def bodies(matches: DataFrame, lengths: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, start, body_start, body_end: what lies between each match (key, start, end) and the next, or the text's end (key, length)."""
+    nxt = F.lead("start").over(Window.partitionBy(key).orderBy("start"))
+    return matches.join(lengths, key).select(key, "start", F.col("end").alias("body_start"), F.coalesce(nxt, F.col("length")).alias("body_end"))

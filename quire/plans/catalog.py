@@ -92,9 +92,9 @@ def c9(lib: DriverLibrary) -> DataFrame:
 # --- filters ----------------------------------------------------------------
 
 
-@query("f1_live_books", "SELECT id, title, update_time FROM books WHERE NOT is_deleted")
+@query("f1_live_books", "SELECT row_number() OVER (ORDER BY update_time DESC, id) - 1 AS place, id, title, update_time FROM books WHERE NOT is_deleted")
 def f1(lib: DriverLibrary) -> DataFrame:
-    return filters.live(lib.books).select("id", "title", "update_time").orderBy(F.desc("update_time"), "id")
+    return sorts.placed(filters.live(lib.books).select("id", "title", "update_time").orderBy(F.desc("update_time"), "id"))
 
 
 @query("f2_by_id", "SELECT id, type, cfi FROM notes WHERE id = 42")
@@ -127,9 +127,9 @@ def f7(lib: DriverLibrary) -> DataFrame:
     return lib.notes.where(filters.annotation()).select("id", "type")
 
 
-@query("f8_notes_of_book", f"SELECT id, cfi, update_time FROM notes WHERE type IN {NOTES} AND book_id = 12")
+@query("f8_notes_of_book", f"SELECT row_number() OVER (ORDER BY update_time DESC, id) - 1 AS place, id, cfi, update_time FROM notes WHERE type IN {NOTES} AND book_id = 12")
 def f8(lib: DriverLibrary) -> DataFrame:
-    return filters.notes_of(lib.notes, 12).select("id", "cfi", "update_time").orderBy(F.desc("update_time"), "id")
+    return sorts.placed(filters.notes_of(lib.notes, 12).select("id", "cfi", "update_time").orderBy(F.desc("update_time"), "id"))
 
 
 @query("f8_notes_at_place", f"SELECT id, type FROM notes WHERE type IN {NOTES} AND book_id = 12 AND cfi = 'epubcfi(/6/26!/4/26/1:12)'")
@@ -531,19 +531,19 @@ def w11(lib: DriverLibrary) -> DataFrame:
 # --- sorts ------------------------------------------------------------------
 
 
-@query("t1_shelf", "SELECT id, title FROM books WHERE NOT is_deleted")
+@query("t1_shelf", "SELECT row_number() OVER (ORDER BY lower(title) DESC, id) - 1 AS place, id, title FROM books WHERE NOT is_deleted")
 def t1(lib: DriverLibrary) -> DataFrame:
-    return sorts.shelf(lib.books, "title", ascending=False).select("id", "title")
+    return sorts.placed(sorts.shelf(lib.books, "title", ascending=False).select("id", "title"))
 
 
-@query("t2_tags", "SELECT id, name FROM tags")
+@query("t2_tags", "SELECT row_number() OVER (ORDER BY lower(name), id) - 1 AS place, id, name FROM tags")
 def t2(lib: DriverLibrary) -> DataFrame:
-    return sorts.tags(lib.tags).select("id", "name")
+    return sorts.placed(sorts.tags(lib.tags).select("id", "name"))
 
 
-@query("t3_notes_by_time", "SELECT id, create_time FROM notes")
+@query("t3_notes_by_time", "SELECT row_number() OVER (ORDER BY coalesce(create_time, TIMESTAMP '1970-01-01 00:00:00'), id) - 1 AS place, id, create_time FROM notes")
 def t3(lib: DriverLibrary) -> DataFrame:
-    return sorts.notes_by_time(lib.notes).select("id", "create_time")
+    return sorts.placed(sorts.notes_by_time(lib.notes).select("id", "create_time"))
 
 
 @query("t5_top_completion", "SELECT id, reading_percentage FROM books WHERE NOT is_deleted AND reading_percentage >= 0.6 AND reading_percentage < 0.93 ORDER BY reading_percentage DESC, id LIMIT 5")
@@ -561,9 +561,9 @@ def t7(lib: DriverLibrary) -> DataFrame:
     return sorts.latest_reading(lib.reading_time).select("id", "book_id", "date")
 
 
-@query("t8_by_recency", "SELECT id, date FROM reading_time WHERE book_id = 3")
+@query("t8_by_recency", "SELECT row_number() OVER (ORDER BY try_cast(date AS TIMESTAMP) DESC NULLS LAST, id DESC) - 1 AS place, id, date FROM reading_time WHERE book_id = 3")
 def t8(lib: DriverLibrary) -> DataFrame:
-    return sorts.by_recency(lib.reading_time, 3).select("id", "date")
+    return sorts.placed(sorts.by_recency(lib.reading_time, 3).select("id", "date"))
 
 
 @query("t9_random_note")
@@ -586,16 +586,16 @@ def t12(lib: DriverLibrary) -> DataFrame:
     return sorts.newest(lib.history.select("id", "updated_at"), "updated_at", 3)
 
 
-@query("t13_bookmarks", "SELECT id, CAST(color AS DOUBLE) AS percentage FROM notes WHERE type = 'bookmark'")
+@query("t13_bookmarks", "SELECT row_number() OVER (ORDER BY CAST(color AS DOUBLE), id) - 1 AS place, id, CAST(color AS DOUBLE) AS percentage FROM notes WHERE type = 'bookmark'")
 def t13(lib: DriverLibrary) -> DataFrame:
     from quire import schema
 
-    return sorts.bookmarks(schema.bookmarks_of_notes(lib.notes)).select("id", "percentage")
+    return sorts.placed(sorts.bookmarks(schema.bookmarks_of_notes(lib.notes)).select("id", "percentage"))
 
 
-@query("t14_by_size", "SELECT file_path AS path, (id * 7919) % 10007 AS length FROM books")
+@query("t14_by_size", "SELECT row_number() OVER (ORDER BY (id * 7919) % 10007 DESC, file_path) - 1 AS place, file_path AS path, (id * 7919) % 10007 AS length FROM books")
 def t14(lib: DriverLibrary) -> DataFrame:
-    return sorts.by_size(lib.books.selectExpr("file_path AS path", "(id * 7919) % 10007 AS length"))
+    return sorts.placed(sorts.by_size(lib.books.selectExpr("file_path AS path", "(id * 7919) % 10007 AS length")))
 
 
 @query("t15_on_top", "SELECT id, group_id AS folder, CAST(row_number() OVER (PARTITION BY group_id ORDER BY id <> 24, id) AS INT) AS rank FROM books WHERE group_id <> 0")
@@ -921,6 +921,11 @@ def m6(lib: DriverLibrary) -> DataFrame:
     return lib.books.select("id", rule.alias("r")).select("id", F.coalesce("r.name", F.lit("")).alias("name"), F.coalesce("r.multiLine", F.lit(False)).alias("multi_line"))
 
 
+@query("m7_string_keys", """SELECT p_partkey AS id, '{"' || p_partkey || '":{"' || p_size || '":"' || p_name || '"}}' AS json FROM part""")
+def m7(lib: DriverLibrary) -> DataFrame:
+    return lib.raw("part").select(F.col("p_partkey").alias("id"), F.to_json(strings.string_keys(F.create_map("p_partkey", F.create_map("p_size", "p_name")))).alias("json"))
+
+
 @query("m9_pages", "SELECT id, CAST(ceil(reading_percentage * 40) AS BIGINT) AS page FROM books")
 def m9(lib: DriverLibrary) -> DataFrame:
     return lib.books.select("id", numbers.page_of("reading_percentage", F.lit(0.25), F.lit(0.5), F.lit(10)).alias("page"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import positions, strings
-from quire.operators import documents, search
+from quire.operators import access, documents, search, windows
 from quire.plans import tools
 from quire.plans.catalog import NOTES, query
-from quire.sources import books, files, sinks
-from quire.sources.library import DriverLibrary
+from quire.sources import books, files, remote, sinks
+from quire.sources.library import DriverLibrary, Library
 from quire.streaming import reading
 
 
@@ -21,10 +23,6 @@ def _texts(lib: DriverLibrary) -> DataFrame:
     return files.dealt(lib.raw("documents"))
 
 
-def _pages(lib: DriverLibrary) -> DataFrame:
-    return files.dealt(lib.raw("pages"))
-
-
 # --- chapters ---------------------------------------------------------------
 
 
@@ -94,14 +92,24 @@ def p24(lib: DriverLibrary) -> DataFrame:
 # --- text of pages ----------------------------------------------------------
 
 
-@query("p9_text_nodes")
+def _marked(lib: DriverLibrary, *columns: str) -> DataFrame:
+    """Pages made of the documents: each line of a text is a paragraph, between a style, a link and a script."""
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) > 0), lambda x: F.concat(F.lit("<p>"), strings.xml_escaped(x), F.lit("</p>")))
+    page = F.concat(F.lit("<html><head><style>p{}</style></head><body>"), F.array_join(lines, ""), F.lit("<p><a href='n.xhtml'>1</a></p><script>x()</script></body></html>"))
+    return _texts(lib).select(F.col("doc_id").alias("page_id"), *columns, page.alias("html"))
+
+
+_LINES = "SELECT doc_id, x, i FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, [y FOR y IN string_split(text, chr(10)) IF length(y) > 0] || ['1'] AS l FROM documents))"
+
+
+@query("p9_text_nodes", f"SELECT doc_id AS page_id, CAST(i - 1 AS INT) AS node_idx, md5(x) AS hash FROM ({_LINES})")
 def p9(lib: DriverLibrary) -> DataFrame:
-    return documents.extract_nodes(_pages(lib))
+    return documents.extract_nodes(_marked(lib)).select("page_id", "node_idx", F.md5("text").alias("hash"))
 
 
-@query("p10_plain_text")
+@query("p10_plain_text", f"SELECT doc_id AS page_id, md5(regexp_replace(string_agg(x, '' ORDER BY i) || 'x()', '^\\s+', '')) AS hash FROM ({_LINES}) GROUP BY doc_id")
 def p10(lib: DriverLibrary) -> DataFrame:
-    return documents.plain_text(_pages(lib))
+    return documents.plain_text(_marked(lib)).select("page_id", F.md5("text").alias("hash"))
 
 
 @query("p11_preceding", """SELECT doc_id, CAST(node_idx AS INT) AS node_idx, md5(coalesce(before, '')) AS hash FROM (SELECT conv_id AS doc_id, turn AS node_idx, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)""")
@@ -110,14 +118,38 @@ def p11(lib: DriverLibrary) -> DataFrame:
     return documents.preceding(nodes, 1).select("doc_id", "node_idx", F.md5("before").alias("hash"))
 
 
-@query("p18_sentences")
+_SENTENCES = """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS idx, CASE WHEN i < n THEN x || '.' ELSE x END AS sentence FROM (
+    SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i, len(l) AS n FROM (SELECT doc_id, string_split(regexp_replace(text, '[^A-Za-z ]+', '. ', 'g'), '.') AS l FROM documents)) WHERE i < n OR trim(x) <> ''"""
+
+
+def _plain_sentences(lib: DriverLibrary) -> DataFrame:
+    """Sentences of pages in which all that isn't a Latin letter or a space is a full stop."""
+    page = F.concat(F.lit("<body><p>"), F.regexp_replace("text", "[^A-Za-z ]+", ". "), F.lit("</p><p><a href='n.xhtml'>No. 1</a></p></body>"))
+    return documents.split_sentences(_texts(lib).select(F.col("doc_id").alias("page_id"), page.alias("html")))
+
+
+@query("p18_sentences", f"SELECT doc_id AS page_id, idx AS sentence_idx, md5(sentence) AS hash FROM ({_SENTENCES})")
 def p18(lib: DriverLibrary) -> DataFrame:
-    return documents.split_sentences(_pages(lib))
+    return _plain_sentences(lib).select("page_id", "sentence_idx", F.md5("sentence").alias("hash"))
+
 
+@query("p19_peeked", f"""SELECT doc_id AS page_id, idx AS sentence_idx, len(a)::INT AS n, md5(array_to_string(a, '|')) AS hash FROM (
+    SELECT doc_id, idx, coalesce(list(sentence) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), []) AS a FROM ({_SENTENCES}))""")
+def p19(lib: DriverLibrary) -> DataFrame:
+    return documents.peeked(_plain_sentences(lib), 10).select("page_id", "sentence_idx", F.size("ahead").alias("n"), F.md5(F.array_join("ahead", "|")).alias("hash"))
 
-@query("p20_translatable")
+
+@query("p20_translatable", f"SELECT doc_id AS page_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS element_idx, CASE WHEN i = max(i) OVER (PARTITION BY doc_id) THEN 'a' ELSE 'p' END AS tag, md5(trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS hash FROM ({_LINES}) WHERE trim(x) <> ''")
 def p20(lib: DriverLibrary) -> DataFrame:
-    return documents.translatable_elements(_pages(lib))
+    return documents.translatable_elements(_marked(lib)).select("page_id", "element_idx", "tag", F.md5("text").alias("hash"))
+
+
+@query("r4_user_rule", r"""SELECT doc_id, CAST(i - 1 AS INT) AS section_idx, 'Part ' || i AS title, md5(trim(line)) AS hash FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
+def r4(lib: DriverLibrary) -> DataFrame:
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("Part "), (i + 1).cast("string"), F.lit("\n"), x))
+    rule = documents.Rule.from_json('{"pattern": "^part \\\\d+$", "caseSensitive": false}')
+    docs = _texts(lib).select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return documents.split_chapters(docs, rule=rule).select("doc_id", "section_idx", "title", F.md5("content").alias("hash"))
 
 
 _SIGNS = "".join(sorted(documents._GARBLED))
@@ -174,6 +206,19 @@ def p17(lib: DriverLibrary) -> DataFrame:
     return search.capped(_talk_hits(lib), results=2, snippets=3, characters=120).select("doc_id", "section_idx", "hit_idx")
 
 
+@query("e4_search_progress", f"""SELECT t.conv_id AS doc_id, t.turn AS section_idx, coalesce(sum(n) OVER w, 0)::BIGINT AS hits, round((t.turn + 1) / (max(t.turn) OVER (PARTITION BY t.conv_id) + 1)::DOUBLE, 9) AS progress, t.turn = max(t.turn) OVER (PARTITION BY t.conv_id) AS done
+    FROM (SELECT conv_id, turn FROM conversations) t LEFT JOIN (SELECT doc_id, section_idx, count(*) AS n FROM ({_TALK}) GROUP BY 1, 2) h ON h.doc_id = t.conv_id AND h.section_idx = t.turn WINDOW w AS (PARTITION BY t.conv_id ORDER BY t.turn)""")
+def e4(lib: DriverLibrary) -> DataFrame:
+    sections = lib.raw("conversations").selectExpr("conv_id AS doc_id", "turn AS section_idx")
+    return search.progressed(_talk_hits(lib), sections).withColumn("progress", F.round("progress", 9))
+
+
+@query("w9_bodies", f"SELECT doc_id, CAST(i - 1 AS INT) AS start, CAST(i + 3 AS INT) AS body_start, CAST(coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, length(text)) AS INT) AS body_end FROM ({_PLACES.format(f='lower(text)', q='tion')})")
+def w9(lib: DriverLibrary) -> DataFrame:
+    texts = _texts(lib)
+    return windows.bodies(search.hits(texts, "tion", match_diacritics=True), texts.select("doc_id", F.length("text").alias("length")))
+
+
 # --- positions --------------------------------------------------------------
 
 _PARTS = "CAST(regexp_extract(cfi, '/6/(\\d+)', 1) AS INT), CAST(regexp_extract(cfi, '/4/(\\d+)/1', 1) AS INT), CAST(regexp_extract(cfi, ':(\\d+)', 1) AS INT)"
@@ -264,6 +309,28 @@ def c14(lib: DriverLibrary) -> DataFrame:
     return files.look_up(files.dictd_index(lines), part.select(F.lower("p_brand").alias("word")).distinct())
 
 
+@query("c11_remote", "SELECT name, size FROM (VALUES ('a.txt', 3::BIGINT), ('b.txt', 0::BIGINT)) AS t(name, size)")
+def c11(lib: DriverLibrary) -> DataFrame:
+    """A folder elsewhere: files put there by Spark, one removed, listed."""
+    root = files.scratch(lib.spark, "remote")
+    there = remote.Remote(lib.spark, root)
+    there.make("books")
+    for name, text in (("a.txt", "abc"), ("b.txt", ""), ("c.txt", "x")):
+        there.write(f"books/{name}", text.encode())
+    there.remove("books/c.txt")
+    return there.listed("books").select("name", "size")
+
+
+@query("c15_json_store", "SELECT p_partkey AS id, p_name AS name FROM part")
+def c15(lib: DriverLibrary) -> DataFrame:
+    """A store written as JSON arrays, one a file, and read back; a broken one beside them is empty."""
+    path = files.scratch(lib.spark, "store")
+    arrays = lib.raw("part").groupBy(F.pmod("p_partkey", F.lit(4)).alias("f")).agg(F.to_json(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))).alias("value"))
+    arrays.select("value").repartition(4, "value").write.text(path)
+    lib.spark.createDataFrame([('[{"id": 1, "na',)], "value string").coalesce(1).write.mode("append").text(path)
+    return files.json_store(lib.spark, path, "id long, name string")
+
+
 # --- exports ----------------------------------------------------------------
 
 _ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%g')"
@@ -284,6 +351,27 @@ def k2(lib: DriverLibrary) -> DataFrame:
     return sinks.rendered(lib.notes.where(filters.annotation()), lib.books).select("book_id", F.md5("text").alias("hash"))
 
 
+_SAVED = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, count(DISTINCT id) AS ids FROM {v}" for t, v in (("books", "books"), ("notes", "notes"), ("reading_time", "reading_time"), ("groups", "lib_groups"), ("tags", "tags"), ("book_tags", "book_tags")))
+
+
+@query("k4_k5_snapshot", _SAVED)
+def k4(lib: DriverLibrary) -> DataFrame:
+    """A snapshot that passes its checks, put in a library's place, counted there."""
+    path, live = files.scratch(lib.spark, "snapshot"), files.scratch(lib.spark, "live")
+    sinks.restored(lib.spark, sinks.snapshot(lib, path), live)
+    parts = [Library(lib.spark, live).table(t).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).select(F.lit(t).alias("name"), "n", "ids") for t in ("books", "notes", "reading_time", "groups", "tags", "book_tags")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("g5_replaced", "SELECT id, title FROM books WHERE id % 3 = 1")
+def g5(lib: DriverLibrary) -> DataFrame:
+    """A table replaced twice: readers have the last whole version."""
+    path = files.scratch(lib.spark, "table")
+    for k in (0, 1):
+        access.replace_atomically(lib.spark, lib.books.where(F.col("id") % 3 == k).select("id", "title"), path)
+    return lib.spark.read.schema("id long, title string").parquet(path)
+
+
 @query("k6_integrity", f"""SELECT 'has books' AS "check", count(*) > 0 AS ok, count(*)::VARCHAR AS detail FROM books UNION ALL SELECT 'book ids unique', count(*) = count(DISTINCT id), (count(*) - count(DISTINCT id))::VARCHAR FROM books
     UNION ALL SELECT 'readings have books', count(*) = 0, count(*)::VARCHAR FROM reading_time WHERE book_id NOT IN (SELECT id FROM books)
     UNION ALL SELECT 'places unique', count(*) = 0, count(*)::VARCHAR FROM (SELECT cfi, book_id FROM notes WHERE type IN {NOTES} GROUP BY cfi, book_id HAVING count(*) > 1)""")
@@ -311,6 +399,15 @@ def r2(lib: DriverLibrary) -> DataFrame:
     return lib.spark.createDataFrame([(text,)], "t string").select(F.size(F.from_json("t", "status string, data array<struct<note_id long>>")["data"]).cast("long").alias("n"))
 
 
+@query("r2_content_tools", """SELECT 'toc' AS tool, section_idx, md5(title || href) AS hash FROM sections WHERE book_id = 12 UNION ALL SELECT 'chapter', section_idx, md5(left(content, 700)) FROM sections WHERE book_id = 12 AND href = 's2.xhtml'
+    UNION ALL SELECT 'current', s.section_idx, md5(s.content) FROM sections s JOIN books b ON b.id = s.book_id AND b.id = 12 AND s.section_idx = CAST(regexp_extract(b.last_read_position, '/6/(\\d+)', 1) AS INT) // 2 - 1""")
+def r2c(lib: DriverLibrary) -> DataFrame:
+    """The tools that read a book's own sections."""
+    toc, chapter, current = (tools.TOOLS[n].run(lib, 12, *a) for n, a in (("current_book_toc", ()), ("chapter_content_by_href", ("s2.xhtml#p3", 700)), ("current_chapter_content", ())))
+    first = toc.select(F.lit("toc").alias("tool"), "section_idx", F.md5(F.concat("title", "href")).alias("hash"))
+    return first.unionByName(chapter.select(F.lit("chapter").alias("tool"), "section_idx", F.md5("content").alias("hash"))).unionByName(current.select(F.lit("current").alias("tool"), "section_idx", F.md5("content").alias("hash")))
+
+
 def _moves(lib: DriverLibrary) -> DataFrame:
     return lib.raw("events").selectExpr("event_id AS id", "user_id AS book_id", "ts", "event_type AS place", "value AS progress")
 
@@ -330,6 +427,13 @@ def e5(lib: DriverLibrary) -> DataFrame:
     return reading.daily_seconds(lib.raw("events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "user_id AS book_id", "CAST(floor(value) AS BIGINT) AS seconds"))
 
 
+@query("e2_timeline", """SELECT conv_id, CAST(run AS INT) AS run, kind, md5(string_agg(text, '' ORDER BY turn)) AS hash FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (
+    SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY conv_id ORDER BY turn) = kind THEN 0 ELSE 1 END AS new FROM (SELECT conv_id, turn, text, CASE WHEN turn % 5 < 2 THEN 'think' ELSE 'reply' END AS kind FROM conversations))) GROUP BY conv_id, run, kind""")
+def e2(lib: DriverLibrary) -> DataFrame:
+    chunks = lib.raw("conversations").selectExpr("conv_id", "turn AS seq", "CASE WHEN turn % 5 < 2 THEN 'think' ELSE 'reply' END AS kind", "text")
+    return reading.timeline(chunks).select("conv_id", "run", "kind", F.md5("text").alias("hash"))
+
+
 @query("e1_cumulative_answers", "SELECT conv_id, md5(arg_max(text, turn)) AS hash FROM conversations GROUP BY conv_id")
 def e1(lib: DriverLibrary) -> DataFrame:
     return reading.cumulative_answers(lib.raw("conversations").selectExpr("conv_id", "turn AS seq", "text")).select("conv_id", F.md5("text").alias("hash"))

@@ -82,7 +82,7 @@ def _history(lib, bookId: int | None = None, **rest) -> DataFrame:  # noqa: ANN0
 
 
 def _content(lib, keyword: str, bookId: int, maxResults: int | None = None, maxSnippets: int | None = None, maxCharacters: int | None = None) -> DataFrame:  # noqa: ANN001, N803
-    texts = lib.notes.where(F.col("book_id") == bookId).select(F.col("book_id").alias("doc_id"), F.col("id").alias("section_idx"), "content")
+    texts = lib.sections.where(F.col("book_id") == bookId).select(F.col("book_id").alias("doc_id"), "section_idx", "content")
     found = search.hits(texts.withColumn("key", F.struct("doc_id", "section_idx")), keyword, "key", "content").select("key.doc_id", "key.section_idx", "hit_idx", "pre", "match", "post")
     return search.capped(found, maxResults, maxSnippets, maxCharacters).select("section_idx", "hit_idx", "snippet")
 
@@ -115,19 +115,24 @@ def _metadata(lib, bookId: int) -> DataFrame:  # noqa: ANN001, N803
 
 
 def _toc(lib, bookId: int) -> DataFrame:  # noqa: ANN001, N803
-    return lib.notes.where(F.col("book_id") == bookId).groupBy("chapter").agg(F.min("id").alias("ord")).orderBy("ord")
+    return lib.sections.where(F.col("book_id") == bookId).select("section_idx", "title", "href").orderBy("section_idx")
+
+
+def _cut(sections: DataFrame, most: int | None) -> DataFrame:
+    cut = sorts.clamp("chapter", most) if most and most > 0 else None
+    return sections.select("section_idx", "title", (F.substring("content", 1, cut) if cut else F.col("content")).alias("content"))
 
 
 def _chapter(lib, bookId: int, href: str, maxCharacters: int | None = None) -> DataFrame:  # noqa: ANN001, N803
-    cut = sorts.clamp("chapter", maxCharacters) if maxCharacters and maxCharacters > 0 else None
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "content"))), lambda x: x["content"]), "\n")
-    return lib.notes.where((F.col("book_id") == bookId) & (F.col("chapter") == href)).agg((F.substring(text, 1, cut) if cut else text).alias("content"))
+    """The section that a link names, with or without a place in it."""
+    return _cut(lib.sections.where((F.col("book_id") == bookId) & (F.col("href") == href.partition("#")[0])), maxCharacters)
 
 
 def _current_chapter(lib, bookId: int, maxCharacters: int | None = None) -> DataFrame:  # noqa: ANN001, N803
-    """The chapter of the book's latest note."""
-    last = lib.notes.where(F.col("book_id") == bookId).orderBy(F.desc("update_time"), F.desc("id")).select("chapter").first()
-    return _chapter(lib, bookId, last["chapter"] if last else "", maxCharacters)
+    """The section in which the book was left: the spine's second, fourth, sixth … step names its first, second, third."""
+    step = F.regexp_extract("last_read_position", r"^epubcfi\(/6/(\d+)", 1).try_cast("int")
+    at = filters.by_id(lib.books, bookId).select(F.col("id").alias("book_id"), (step / 2 - 1).cast("int").alias("section_idx"))
+    return _cut(lib.sections.join(at, ["book_id", "section_idx"]), maxCharacters)
 
 
 TOOLS = {

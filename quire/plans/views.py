@@ -25,6 +25,7 @@ VIEWS = {
     "tags": "SELECT * FROM (VALUES (1::BIGINT, 'quality', 6737151::BIGINT), (2, 'Toxic', 16711680), (3, 'unused', NULL)) AS t(id, name, rgb)",
     "book_tags": """SELECT CAST(doc_id * 2 + 1 AS BIGINT) AS id, doc_id AS book_id, 1::BIGINT AS tag_id FROM labels WHERE quality = 1
         UNION ALL SELECT CAST(doc_id * 2 + 2 AS BIGINT), doc_id, 2::BIGINT FROM labels WHERE toxic = 1""",
+    "sections": "SELECT doc_id % 150 AS book_id, CAST(doc_id // 150 AS INT) AS section_idx, source || ' ' || lang AS title, 's' || (doc_id // 150) || '.xhtml' AS href, text AS content FROM documents",
     "history": "SELECT conv_id AS id, count(*) AS n_messages, (conv_id * 7919) % 100003 AS updated_at FROM conversations GROUP BY conv_id",
     "files": """SELECT split_part(file_path, '/', 2) AS name, 'local' AS side FROM books WHERE rating <> 3
         UNION ALL SELECT split_part(file_path, '/', 2), 'remote' FROM books WHERE group_id <> 2 UNION ALL SELECT * FROM (VALUES ('stray-a.epub', 'local'), ('stray-b.epub', 'remote')) AS t(name, side)""",

@@ -10,6 +10,7 @@ SCHEMAS = {
     "notes": "id long, book_id long, content string, cfi string, chapter string, type string, color string, reader_note string, create_time timestamp_ntz, update_time timestamp_ntz",
     "reading_time": "id long, book_id long, date string, reading_time long",
     "groups": "id long, name string, parent_id long, is_deleted boolean, create_time timestamp_ntz, update_time timestamp_ntz",
+    "sections": "book_id long, section_idx int, title string, href string, content string",
     "themes": "id long, background_color string, text_color string, background_image_path string",
     "tags": "id long, name string, rgb long",
     "book_tags": "id long, book_id long, tag_id long",

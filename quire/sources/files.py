@@ -23,6 +23,18 @@ def dealt(table: DataFrame) -> DataFrame:
     return table.repartition(n) if n else table
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's URI in the folder that all executors share, as the session names it; in a local session without one, of this machine."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{(where or 'file://' + tempfile.gettempdir()).rstrip('/')}/quire-{tag}-{uuid.uuid4().hex}"
+
+
 def binary(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """path, modificationTime, length, content of files."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)

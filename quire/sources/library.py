@@ -44,6 +44,11 @@ class Library:
     def book_tags(self) -> DataFrame:
         return self.table("book_tags")
 
+    @cached_property
+    def sections(self) -> DataFrame:
+        """The books' own text, section by section."""
+        return self.table("sections")
+
     def save(self, path: str) -> None:
         """Writes every table as a new snapshot folder. Reading rows get their day and lie in its order, so that a period's files and row groups are all that is read."""
         for name in ("books", "notes", "groups", "tags", "book_tags"):
@@ -105,6 +110,10 @@ class DriverLibrary(Library):
         one, two = (labels.where(F.col(c) == 1).selectExpr(f"CAST(doc_id * 2 + {k} AS BIGINT) AS id", "doc_id AS book_id", f"{k}L AS tag_id") for k, c in ((1, "quality"), (2, "toxic")))
         return one.unionByName(two)
 
+    @cached_property
+    def sections(self) -> DataFrame:
+        return self.raw("documents").selectExpr("doc_id % 150 AS book_id", "CAST(doc_id DIV 150 AS INT) AS section_idx", "concat(source, ' ', lang) AS title", "concat('s', doc_id DIV 150, '.xhtml') AS href", "text AS content")
+
     @cached_property
     def history(self) -> DataFrame:
         """One row for each conversation, its messages in order."""

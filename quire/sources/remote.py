@@ -53,6 +53,15 @@ class Remote:
         rows = [(s.getPath().toString(), s.getPath().getName(), s.isDirectory(), s.getLen(), s.getModificationTime()) for s in self._files(p).listStatus(p)]
         return self.spark.createDataFrame(rows, _LISTING)
 
+    def write(self, path: str, content: bytes) -> None:
+        """Puts a small file there, in place of one of that name."""
+        p = self._path(path)
+        out = self._files(p).create(p, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+
     def upload(self, local: str, path: str, replace: bool = True) -> None:
         p = self._path(path)
         self._files(p).copyFromLocalFile(False, replace, self._fs.Path(local), p)
@@ -67,12 +76,16 @@ class Remote:
 
 
 def apply(remote: Remote, plan: DataFrame, local: str, folder: str) -> dict[str, int]:
-    """Carries out a sync plan (name, action) between a local folder and a remote one; how often each action was done. Rows come one at a time."""
+    """Carries out a sync plan (name, action) between a local folder and a remote one; how often each action was done.
+
+    Rows come one at a time; a few files are moved at once. Names come from both sides, so one that is more than a file's name is refused before anything is done with it.
+    """
     import os
+    from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
-    done: dict[str, int] = {}
-    for r in plan.toLocalIterator():
-        name, action = r["name"], r["action"]
+    def do(name: str, action: str) -> str:
+        if name in ("", ".", "..") or "/" in name or "\\" in name or "\0" in name:
+            raise ValueError(f"{name!r} is no file name")
         if action == "upload":
             remote.upload(os.path.join(local, name), f"{folder}/{name}")
         elif action == "download":
@@ -81,5 +94,21 @@ def apply(remote: Remote, plan: DataFrame, local: str, folder: str) -> dict[str,
             remote.remove(f"{folder}/{name}")
         if action in ("deleteLocal", "deleteBoth"):
             os.remove(os.path.join(local, name))
-        done[action] = done.get(action, 0) + 1
+        return action
+
+    done: dict[str, int] = {}
+    going: set[Future[str]] = set()
+
+    def settle(some: set[Future[str]]) -> None:
+        for f in some:
+            action = f.result()
+            done[action] = done.get(action, 0) + 1
+
+    with ThreadPoolExecutor(8) as pool:
+        for r in plan.toLocalIterator():
+            if len(going) >= 32:
+                some, going = wait(going, return_when=FIRST_COMPLETED)
+                settle(some)
+            going.add(pool.submit(do, r["name"], r["action"]))
+        settle(going)
     return done

@@ -51,3 +51,12 @@ def keep_last_places(stream: DataFrame, path: str, checkpoint: str):  # noqa: AN
 def cumulative_answers(chunks: DataFrame) -> DataFrame:
     """Of cumulative emissions (conv_id, seq, text), the last: what the answer came to."""
     return chunks.groupBy("conv_id").agg(F.max_by("text", "seq").alias("text"))
+
+
+def timeline(chunks: DataFrame) -> DataFrame:
+    """conv_id, run, kind, text: neighbouring chunks (conv_id, seq, kind, text) of one kind as one entry, in order. A conversation's chunks are one task's."""
+    w = Window.partitionBy("conv_id").orderBy("seq")
+    new = F.coalesce((F.lag("kind").over(w) != F.col("kind")).cast("int"), F.lit(1))
+    marked = chunks.withColumn("_new", new).withColumn("run", F.sum("_new").over(w).cast("int"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+    return marked.groupBy("conv_id", "run").agg(F.first("kind").alias("kind"), F.array_join(parts, "").alias("text"))
