@@ -5,10 +5,13 @@
 2. A task that receives words encodes each distinct one once, whatever the number of blocks it comes
    from, and answers each block in the order in which the block asked.
 3. Answers and positions meet again by block, and each document is put together by position.
-4. Decoding joins ids with the token-byte table, which has one row for each id of the vocabulary.
+4. Decoding joins ids with the token-byte table, which has one row for each id of the vocabulary: as large as the vocabulary, whatever
+   the corpus, so every worker has it whole (a broadcast join) and ids keep their places.
 
 Rows of the shuffle are packed: one row holds the words that one block sends to one bucket, or the answer, or
-some documents' positions, as compressed bytes. A word that every document repeats is therefore one entry a block.
+some documents' positions, as compressed bytes. A word that every document repeats is therefore one entry a block. Buckets are as many
+as the session's shuffle partitions, each in a partition of its own; so is each block when its answers come back. A bucket's task remembers up to 256 MB of words; only
+beyond that may a word be encoded again.
 
 Defined cases: a null text is an empty one with no id; repeated rows are each encoded; an empty table gives
 an empty result; special strings are ordinary text; a text is never cut, and one longer than a block is a block.
@@ -36,8 +39,6 @@ from quire.llm import common, tokenizers_
 BLOCK_CHARS = 24_000_000
 #: Documents whose positions are one row.
 DOCS_A_ROW = 512
-#: Words that a worker keeps encoded; beyond, the table starts anew.
-TABLE_ENTRIES = 1_000_000
 _ROW = "block long, bucket int, kind int, seq int, data binary"
 _WORDS, _ANSWER, _DOCS = 0, 0, 1
 
@@ -141,13 +142,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "bucket", "kind", "seq", "data"])
 
 
-def answer(words: DataFrame, v: Vocabulary) -> DataFrame:
-    """For each row of words, a row of the same block with their ids; all rows of a bucket are in one task, which encodes each distinct word once."""
+def answer(words: DataFrame, v: Vocabulary, buckets: int) -> DataFrame:
+    """For each row of words, a row of the same block with their ids. A bucket is a task, which encodes each distinct word once, as long as its table of them fits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(v)._core_bpe.encode_single_piece
         whole = tokenizers_.ranks(v.ranks)
-        table: dict[bytes, list[int]] = {}
+        table = common.Table(256 << 20)
         for batch in batches:
             out = []
             for block, bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
@@ -159,16 +160,15 @@ def answer(words: DataFrame, v: Vocabulary) -> DataFrame:
                     got = table.get(w)
                     if got is None:
                         one = whole.get(w)
-                        got = table[w] = [one] if one is not None else encode(w)
+                        got = [one] if one is not None else encode(w)
+                        table.put(w, got)
                     ids.append(got)
-                if len(table) > TABLE_ENTRIES:
-                    table.clear()
                 counts = np.fromiter(map(len, ids), "<u4", len(ids))
                 flat = np.fromiter((i for x in ids for i in x), "<u4", int(counts.sum()))
                 out.append((block, bucket, _ANSWER, bucket, _squeeze(_planes(counts), _planes(flat))))
             yield _batch(out)
 
-    return words.repartition("bucket").mapInArrow(run, _ROW)
+    return words.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _ROW)
 
 
 def decoded(ids: np.ndarray, table: list[bytes]) -> bytes:
@@ -218,14 +218,16 @@ def _assembled(spark, docs, v, key, text, schema, digest, types, names) -> DataF
     split(docs, v, buckets, key, text).write.partitionBy("kind").parquet(path)
     rows = spark.read.schema(_ROW).parquet(path)
     asked = rows.where(F.col("kind") == _WORDS).select(*_names())
-    answers = common.keep(spark, answer(asked, v), "answers")
+    answers = common.keep(spark, answer(asked, v, buckets), "answers")
     common.drop_dir(spark, f"{path}/kind={_WORDS}")
     whole = answers.unionByName(spark.read.schema("block long, bucket int, seq int, data binary").parquet(f"{path}/kind={_DOCS}").withColumn("kind", F.lit(_DOCS)).select(*_names())) if _there(spark, f"{path}/kind={_DOCS}") else answers
-    table = v.ranks
+    shared = spark.sparkContext.broadcast(tokenizers_.byte_tokens(v.ranks))
+    # blocks by their place in the scan's partition, first all first ones: consecutive numbers, so a partition gets one, or two where some are missing
+    n, width = whole.where((F.col("kind") == _DOCS) & (F.col("seq") < 0)).agg(F.count("*"), F.max(F.shiftright("block", 24)) + 1).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at = _Block(), None
-        tokens = tokenizers_.byte_tokens(table)
+        tokens = shared.value
         for batch in batches:
             for b, bucket, kind, seq, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if b != at:
@@ -242,7 +244,8 @@ def _assembled(spark, docs, v, key, text, schema, digest, types, names) -> DataF
                 keys = [k if good else None for k, good in zip(np.frombuffer(keys, "<i8").tolist(), np.frombuffer(known, bool).tolist(), strict=True)]
                 yield pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(x, t) for x, t in zip(digest(ids, tokens), types, strict=True))], [key, *names])
 
-    return whole.repartition("block").sortWithinPartitions("block", "kind", "seq").mapInArrow(run, f"{key} long, {schema}")
+    number = F.shiftright("block", 24) + F.col("block").bitwiseAND((1 << 24) - 1) * F.lit(width or 1)
+    return whole.repartitionById(max(1, n), F.pmod(number, F.lit(max(1, n))).cast("int")).sortWithinPartitions("block", "kind", "seq").mapInArrow(run, f"{key} long, {schema}")
 
 
 def _names() -> list[str]:
