@@ -71,6 +71,13 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def forget(spark: SparkSession, kept: DataFrame) -> None:
+    """Removes a table of `keep` that nothing will read again."""
+    for path in {f.rpartition("/")[0] for f in kept.inputFiles()}:
+        if "/quire-" in path:
+            drop_dir(spark, path)
+
+
 def but(spark: SparkSession, rows: DataFrame, column: str, barred: DataFrame) -> DataFrame:
     """rows whose column is not among barred's single one; null is a value like others.
 

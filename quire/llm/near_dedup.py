@@ -9,7 +9,7 @@ share a band are candidates, and candidates are compared exactly.
 1. Equal word sequences become one content, so copies cost one signature and no pair.
 2. Each member of a bucket is compared with the bucket's least content, never with all others.
 3. Where a bucket's members are not in one class by then, members of different classes meet block by block
-   within a task: pairs estimated within four standard errors of the threshold are compared exactly, each in
+   within a task: pairs estimated within four standard errors of the threshold (or all, if `Setup.errors` is None) are compared exactly, each in
    the first band that it shares, until their classes are joined. Only the links that join classes leave the
    task, so no link between texts is lost and what is shuffled grows with the members, not with their pairs.
 4. Classes are the connected components of the links.
@@ -45,14 +45,16 @@ class Setup:
     #: Most members and most characters of a bucket's block, of which a task holds two.
     block: int = 2048
     block_chars: int = 4_000_000
+    #: Pairs of a bucket whose signatures estimate less than the threshold by so many standard errors aren't compared; None compares all, whatever the estimate.
+    errors: float | None = 4
 
     @property
     def size(self) -> int:
         return self.bands * self.rows
 
     @property
-    def slack(self) -> float:
-        return 4 * math.sqrt(self.threshold * (1 - self.threshold) / self.size)
+    def least_estimate(self) -> float:
+        return -1.0 if self.errors is None else self.threshold - self.errors * math.sqrt(self.threshold * (1 - self.threshold) / self.size)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -239,9 +241,11 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         step = labels.join(near, "content").select("content", F.least("label", "m").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("content").alias("label"), F.col("label").alias("next"))
         new = common.keep(spark, step.join(jump, "label").select("content", F.least("label", "next").alias("label"), "was"), "labels")
-        if new.where("label != was").isEmpty():
-            return new.drop("was")
+        common.forget(spark, labels)
         labels = new.drop("was")
+        if new.where("label != was").isEmpty():
+            common.forget(spark, both)
+            return labels
 
 
 def _joining(content: list[bytes], label: np.ndarray, sig: np.ndarray, sets: list, left: np.ndarray, right: np.ndarray, same: bool, band: int, setup: Setup) -> list[tuple[bytes, bytes]]:
@@ -253,7 +257,7 @@ def _joining(content: list[bytes], label: np.ndarray, sig: np.ndarray, sets: lis
     total = np.array([int(n.sum()) for n in counts])
     weight = np.zeros(int(local.max()) + 1, np.int64)
     group = np.arange(int(label.max()) + 1)  # the joined class of each class
-    low, out = setup.threshold - setup.slack, []
+    low, out = setup.least_estimate, []
     for p in left.tolist():
         q = right[right > p] if same else right
         q = q[group[label[q]] != group[label[p]]]
@@ -302,8 +306,8 @@ def across(members: DataFrame, sigs: DataFrame, texts: DataFrame, setup: Setup)
     return rows.groupBy("bucket", "band", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def grouped(spark: SparkSession, docs: DataFrame, key: str, text: str, setup: Setup) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """key, addr and content of every row; label of every content; and one row (key, addr) of every label: one with its least key."""
+def grouped(spark: SparkSession, docs: DataFrame, key: str, text: str, setup: Setup) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """key, addr and content of every row; label of every content; one row (key, addr) of every label: one with its least key; and the links (a, b) between contents that make the classes."""
     rows = common.keep(spark, signed(docs, key, text, setup), "signed")
     contents = common.keep(spark, rows.groupBy("content").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "addr")).alias("at"), F.first("sig").alias("sig")), "contents")
     dealt = buckets(contents, setup)
@@ -323,23 +327,31 @@ def grouped(spark: SparkSession, docs: DataFrame, key: str, text: str, setup: Se
         label = components(spark, links.union(more))
     whole = contents.select("content", "at").join(label, "content", "left").select("content", F.coalesce("label", "content").alias("label"), "at")
     one = whole.groupBy("label").agg(F.min(F.struct("at.none", "at.key", "content", "at.addr")).alias("one")).select("label", "one.key", "one.addr")
-    return rows, whole.select("content", "label"), one
+    for done in (members, pairs, texts):
+        common.forget(spark, done)
+    return rows, whole.select("content", "label"), one, links.union(more)
 
 
 def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", setup: Setup = Setup()) -> DataFrame:
     """key, content, label and class_id of every row. The label (the least content) tells classes apart; class_id, the least key, may be null or shared."""
-    rows, labels, one = grouped(spark, docs, key, text, setup)
+    rows, labels, one, _ = grouped(spark, docs, key, text, setup)
     named = labels.join(one.select("label", F.col("key").alias("class_id")), "label")
     return rows.select(F.col("key").alias(key), "content").join(named, "content").select(key, "content", "label", "class_id")
 
 
+def links(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", setup: Setup = Setup()) -> DataFrame:
+    """a, b (contents) and label: the pairs that were compared exactly, are near copies, and make the classes; each joins two or confirms one."""
+    _, labels, _, found = grouped(spark, docs, key, text, setup)
+    return found.distinct().join(labels.withColumnRenamed("content", "a"), "a")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark, common.read(spark, sf_dir, "documents")).select("doc_id", "class_id", F.lower(F.hex("label")).alias("class_label"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class: one with the class's least key, and of rows that repeat that key the one of least content."""
-    _, _, one = grouped(spark, docs, key, text, Setup())
+    _, _, one, _ = grouped(spark, docs, key, text, Setup())
     rows = common.boxed(docs, k=F.col(key), h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     kept = rows.join(one, (rows["h"] == one["addr"]) & rows["k"].eqNullSafe(one["key"]))
     return kept.groupBy("label").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
