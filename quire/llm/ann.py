@@ -8,7 +8,8 @@ worked out once from their expected values. What the tables find is merged and r
 double precision, over the original vectors.
 
 The number of projections follows the number of vectors. The number of probes is set by the target recall on `calibration`
-queries, a fixed bound, whose true neighbours are found in all rows; every row is indexed.
+queries, a fixed bound, whose true neighbours are found in all rows; every row is indexed. As many other queries, whose neighbours are found in the same pass,
+then say what recall these probes reach (`Index.recall`), which goes to the log.
 
 Buckets are dealt into parts by hash. A part with many rows, such as a hot bucket's, is cut into blocks, and so are its
 queries; each block of rows meets each block of queries in one task, which keeps the nearest of every query.
@@ -22,6 +23,7 @@ too few is answered from all rows; an empty table, or one without queries, gives
 from __future__ import annotations
 
 import heapq
+import logging
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -62,6 +64,7 @@ class Index:
     odd: np.ndarray  # tables x projections, uint64
     width: float
     steps: np.ndarray  # probes x 2 projections: the walls crossed, by rank of their distance
+    recall: float = float("nan")  # of queries that the probes weren't fitted on
 
     def project(self, x: np.ndarray, own: bool) -> np.ndarray:
         """tables x rows x projections, in cells. own: queries are scaled to the sphere themselves."""
@@ -182,7 +185,7 @@ def exact(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int, d: in
 def fit(rows: DataFrame, asked: Column, d: int, setup: Setup) -> Index | None:
     """Norm and number of all rows, then as many probes as the calibration queries need. None without rows or queries."""
     norm, n = rows.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))), F.count("*")).first()
-    some = rows.where(asked).orderBy(F.xxhash64("id", "x"), "id", "x").limit(setup.calibration).collect()
+    some = rows.where(asked).orderBy(F.xxhash64("id", "x"), "id", "x").limit(2 * setup.calibration).collect()
     if not n or not some:
         return None
     k = max(4, round(math.log(n, 4)))
@@ -190,7 +193,8 @@ def fit(rows: DataFrame, asked: Column, d: int, setup: Setup) -> Index | None:
     true: dict[int, list[list[float]]] = {}
     for r in exact(rows, queries, setup.k, d).collect():  # calibration x k rows
         true.setdefault(r["place"], []).append(r["x"])
-    asked_of = [(np.array(x), np.array(true[i])) for i, (_, x) in enumerate(queries) if i in true]
+    known = [(np.array(x), np.array(true[i])) for i, (_, x) in enumerate(queries) if i in true]
+    asked_of, others = known[: setup.calibration], known[setup.calibration :]
     width = setup.width
     while True:
         rng = np.random.default_rng(setup.seed)
@@ -201,7 +205,11 @@ def fit(rows: DataFrame, asked: Column, d: int, setup: Setup) -> Index | None:
         places = sorted(p for x, near in asked_of for p in _first_probes(full, x, near))
         need = places[min(len(places) - 1, math.ceil(setup.recall * len(places)) - 1)] + 1 if places else 1
         if need <= len(full.steps):
-            return replace(full, steps=full.steps[:need])
+            index = replace(full, steps=full.steps[:need])
+            reached = [p < need for x, near in others for p in _first_probes(index, x, near)]
+            index = replace(index, recall=sum(reached) / len(reached) if reached else float("nan"))
+            logging.getLogger(__name__).info("%d probes in each of %d tables of %d projections; recall %.3f on %d other queries", need, setup.tables, k, index.recall, len(others))
+            return index
         width *= 1.25  # the recall isn't reached by any number of probes: wider cells hold more
 
 
@@ -219,9 +227,6 @@ def _first_probes(index: Index, x: np.ndarray, near: np.ndarray) -> list[int]:
 
 def nearest(spark: SparkSession, vectors: DataFrame, asked: Column, key: str = "vec_id", vector: str = "embedding", setup: Setup = Setup()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which `asked` (over the column id) holds."""
-    previous = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    if not 0 < int(previous) <= 8192:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
     found, d = usable(vectors, key, vector)
     rows = common.keep(spark, found, "vectors")
     index = fit(rows, asked, d, setup)
@@ -241,7 +246,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, asked: Column, key: str = "
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for b in batches:
+        for b in common.sliced(batches):  # a query's row is repeated for each part
             at, own, buckets = [], [], []
             for n, x in enumerate(_rows(b.column(1), d)):
                 keys = np.unique(index.probes(x).ravel())
@@ -256,8 +261,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, asked: Column, key: str = "
             yield pa.record_batch([pa.array(own, pa.int32()), pa.array(buckets, pa.binary()), b.column(0).take(at), b.column(1).take(at)], ["part", "buckets", "id", "x"])
 
     data = rows.mapInArrow(place, "part int, bucket long, id long, x array<double>")
-    queries = common.keep(spark, rows.where(asked).mapInArrow(visit, "part int, buckets binary, id long, x array<double>"), "probes")
-    data = common.keep(spark, data.withColumn("x", F.col("x").cast("array<float>")) if _single(vectors, vector) else data, "buckets")
+    stored = (lambda df: df.withColumn("x", F.col("x").cast("array<float>"))) if _single(vectors, vector) else (lambda df: df)  # what was single stays so
+    queries = common.keep(spark, stored(rows.where(asked).mapInArrow(visit, "part int, buckets binary, id long, x array<double>")), "probes")
+    data = common.keep(spark, stored(data), "buckets")
     cut = data.groupBy("part").agg(F.ceil(F.count("*") / setup.block_rows).cast("int").alias("s")).join(queries.groupBy("part").agg(F.ceil(F.count("*") / setup.block_queries).cast("int").alias("c")), "part")
     left = data.join(cut, "part").withColumn("i", F.pmod(F.xxhash64("id", "x"), "s").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     right = queries.join(cut, "part").withColumn("j", F.pmod(F.xxhash64("id", "x"), "c").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
