@@ -122,3 +122,9 @@ def test_cells_widen_until_the_recall_is_reached(spark, sf):
         order = [i for i in np.lexsort((ids, -s)) if ids[i] != r["query_id"]][:20]
         hits, n = hits + len(set(ids[order].tolist()) & set(r["v"])), n + len(order)
     assert hits / n >= 0.9
+
+
+def test_recall_is_reported_on_other_queries(spark, sf):
+    rows, d = ann.usable(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding")
+    index = ann.fit(rows, F.col("id") % 2 == 0, d, ann.Setup(calibration=16))
+    assert 0.85 <= index.recall <= 1

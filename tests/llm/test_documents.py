@@ -141,6 +141,30 @@ def test_near_groups(spark, prose, block):
     assert sorted(str((r["doc_id"], r["class_id"])) for r in got) == brute_classes(rows)
 
 
+def test_comparing_whatever_the_estimate_finds_no_more(spark, prose):
+    """The exact way against the filter by estimate, on pairs around the threshold; and links are near copies that make the classes."""
+    rows = [document(i, edited(prose(150, 1), i % 12, i)) for i in range(80)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    a, b = (sorted(str((r["doc_id"], r["class_id"])) for r in near_dedup.classes(spark, docs, setup=near_dedup.Setup(errors=e)).collect()) for e in (4, None))
+    assert a == b == brute_classes(rows)
+    shingles, by = near_dedup.Shingler(5), {}
+    for _, t, *_ in rows:
+        c, *own = shingles(t)
+        by[c] = own
+    found = [(bytes(r["a"]), bytes(r["b"]), r["label"]) for r in near_dedup.links(spark, docs).collect()]
+    assert all(near_dedup.similarity(by[x], by[y]) >= 0.8 for x, y, _ in found)
+    up = {c: c for c in by}
+
+    def root(c):
+        while up[c] != c:
+            c = up[c]
+        return c
+
+    for x, y, _ in found:
+        up[root(x)] = root(y)
+    assert len({root(c) for c in by}) == len({x.split(", ")[1] for x in a})
+
+
 def test_one_document_of_each_class_stays(spark, docs, rows):
     out = near_dedup.deduplicated(spark, docs)
     assert out.columns == docs.columns
