@@ -130,3 +130,12 @@ def test_position_order_is_total(cfis):
 def test_order_key_of_nonsense(spark):
     df = spark.createDataFrame([("epubcfi(/2/4:1)",), ("junk(",), (None,)], "c string")
     assert [r[0] is None for r in df.select(positions.order_key("c")).collect()] == [False, True, True]
+
+
+def test_order_key_is_the_same_in_the_jvm(spark):
+    """Plain identifiers, which Python doesn't see, against the key that it would make; and others beside them."""
+    from quire.functions import positions
+
+    ids = ["epubcfi(/6/4!/4/10/2:3)", "epubcfi(/6/14)", "epubcfi(/6/4:1!/4)", "epubcfi(/6/4[a]!/4/10[b]/2:3)", "epubcfi(/6/4!/4/10,/2/1:1,/3:4)", "no place", "", None, "epubcfi(/6/12!/2/4!/8:0)"]
+    got = [r["k"] for r in spark.createDataFrame([(c,) for c in ids], "c string").select(positions.order_key("c").alias("k")).collect()]
+    assert got == positions._key.func(__import__("pandas").Series(ids, dtype=object)).where(lambda s: s.notna(), None).tolist()
