@@ -8,7 +8,8 @@ the remainder and whole sequences follow. The other pieces are packed in rounds:
    is certified; it is final. So is every bin that is exactly full.
 3. The pieces of the other bins are exchanged: they are dealt anew, into fewer groups, and packed again.
 
-Rounds end when one group holds all that is left, or when they stop making whole bins; then every bin is final.
+Rounds end when one group holds all that is left, or when they stop making whole bins; then every bin is final. Each certified group
+may have left room in its last bins, and the last round isn't certified: `certificate` gives the gap between all sequences and the bound over all pieces.
 
 Defined cases: a null text is an empty one, whose only id is the end id; repeated rows are packed each;
 an empty table gives an empty result; other columns are not touched. The special string in a text is
@@ -176,5 +177,17 @@ def pack(spark: SparkSession, docs: DataFrame, setup: Setup = Setup(), key: str
     return rows.select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def certificate(packed: DataFrame, setup: Setup = Setup()) -> DataFrame:
+    """sequences, bound, gap of a whole packing, in one row: how many sequences there are, the fewest that any packing of these pieces needs by the same bound, and how many may be saved.
+
+    Only the counts of the lengths, at most `capacity` rows, reach the driver.
+    """
+    counts = np.zeros(setup.capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    n, bound = packed.select("sequence_id").distinct().count(), lower_bound(counts, setup.capacity) if counts.any() else 0
+    return packed.sparkSession.createDataFrame([(n, int(bound), int(n - bound))], "sequences long, bound long, gap long")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, common.read(spark, sf_dir, "documents"))
