@@ -200,6 +200,16 @@ def test_packing_in_rounds(spark, sf, byte):
     assert n <= len(packing.best_fit(np.array(lengths), 1024)[2]) * 1.1 + 1
 
 
+def test_certificate(spark, nothing):
+    """Over a whole table: near the bound of all pieces, and never below it."""
+    packed = common.keep(spark, packing.pack(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), packing.Setup(group=256)), "packed")
+    got = packing.certificate(packed).first()
+    lengths = [r["length"] for r in packed.select("length").collect()]
+    assert got["sequences"] == len({r["sequence_id"] for r in packed.select("sequence_id").collect()}) and got["bound"] >= -(-sum(lengths) // 1024)
+    assert 0 <= got["gap"] <= 0.02 * got["sequences"] + 1
+    assert tuple(packing.certificate(packing.pack(spark, nothing)).first()) == (0, 0, 0)
+
+
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 @settings(max_examples=200, deadline=None)
 def test_bounds_hold(sizes):
