@@ -8,7 +8,7 @@ share a band are candidates, and candidates are compared exactly.
 
 1. Equal word sequences become one content, so copies cost one signature and no pair.
 2. Each member of a bucket is compared with the bucket's least content, never with all others.
-3. Where a bucket's members are not in one class by then, members of different classes meet block by block
+3. Where a bucket's members are not in one class by then, those outside its largest class meet all others block by block
    within a task: pairs estimated within four standard errors of the threshold (or all, if `Setup.errors` is None) are compared exactly, each in
    the first band that it shares, until their classes are joined. Only the links that join classes leave the
    task, so no link between texts is lost and what is shuffled grows with the members, not with their pairs.
@@ -248,8 +248,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
-def _joining(content: list[bytes], label: np.ndarray, sig: np.ndarray, sets: list, left: np.ndarray, right: np.ndarray, same: bool, band: int, setup: Setup) -> list[tuple[bytes, bytes]]:
-    """Links between members of left and right that join classes not joined yet. sets: (shingles, counts) of each member."""
+def _joining(content: list[bytes], label: np.ndarray, sig: np.ndarray, sets: list, left: np.ndarray, right: np.ndarray, other: np.ndarray, band: int, setup: Setup) -> list[tuple[bytes, bytes]]:
+    """Links between members of left and right that join classes not joined yet; two others meet once, where the lesser content is on the left. sets: (shingles, counts) of each member."""
+    rank = np.empty(len(content), np.int64)
+    rank[np.array(sorted(range(len(content)), key=content.__getitem__), np.int64)] = np.arange(len(content))
     _, local = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)
     ends = np.cumsum([len(e) for e, _ in sets])
     ids = np.split(local.ravel(), ends[:-1])
@@ -259,7 +261,7 @@ def _joining(content: list[bytes], label: np.ndarray, sig: np.ndarray, sets: lis
     group = np.arange(int(label.max()) + 1)  # the joined class of each class
     low, out = setup.least_estimate, []
     for p in left.tolist():
-        q = right[right > p] if same else right
+        q = right[~other[right] | (rank[right] > rank[p])]
         q = q[group[label[q]] != group[label[p]]]
         if not len(q):
             continue
@@ -284,23 +286,30 @@ def _joining(content: list[bytes], label: np.ndarray, sig: np.ndarray, sets: lis
 def across(members: DataFrame, sigs: DataFrame, texts: DataFrame, setup: Setup) -> DataFrame:
     """Links (a, b) that join different classes of one bucket. members: bucket, band, content, label; texts: content, text."""
     sized = members.join(texts.select("content", F.length("text").alias("chars")), "content")
-    mixed = sized.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum("chars").alias("chars")).where("lo != hi")
-    blocks = F.ceil(F.greatest(F.lit(1), F.col("n") / setup.block, F.col("chars") / setup.block_chars)).cast("int")
-    rows = members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").join(sigs.join(texts, "content"), "content")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("content"), "blocks").cast("int"))
-    # a block meets every block once: the task (bucket, i, j), i <= j, holds blocks i and j
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "content", "label", "sig", "text")
+    shares = sized.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    size = F.struct("n", "chars", "label")
+    mixed = shares.groupBy("bucket").agg(F.max(size).alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("chars")).where("n > top.n")
+    blocks = lambda n, chars: F.ceil(F.greatest(F.lit(1), n / setup.block, chars / setup.block_chars)).cast("int")
+    cut = mixed.select("bucket", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top.chars")).alias("left"), blocks(F.col("n"), F.col("chars")).alias("right"))
+    rows = members.join(cut, "bucket").join(sigs.join(texts, "content"), "content")
+    rows = rows.select("*", (F.col("label") != F.col("top")).alias("other"), *(F.pmod(F.xxhash64("content"), side).cast("int").alias(f"in_{side}") for side in ("left", "right")))
+    # the task (i, j) holds the i-th block of the members outside the bucket's largest class, and the j-th of all: the largest class's members travel
+    # once for each block of the others, so a bucket of one class and some strangers costs a few times its size
+    here = F.transform(F.sequence(F.lit(0), F.col("left") - 1), lambda i: F.struct(i.alias("i"), F.col("in_right").alias("j")))
+    there = F.transform(F.sequence(F.lit(0), F.col("right") - 1), lambda j: F.struct(F.col("in_left").alias("i"), j.alias("j")))
+    rows = rows.withColumn("task", F.explode(F.when(F.col("other"), F.array_union(here, there)).otherwise(here)))
+    rows = rows.select("bucket", "band", "task.i", "task.j", "in_left", "in_right", "other", "content", "label", "sig", "text")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[2].as_py(), key[3].as_py()
         _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
         out = []
         if label.max():
-            shingles, mine = Shingler(setup.words), table["mine"].to_numpy()
-            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(mine), setup.size)
+            shingles, other = Shingler(setup.words), table["other"].to_numpy()
+            left, right = np.flatnonzero(other & (table["in_left"].to_numpy() == i)), np.flatnonzero(table["in_right"].to_numpy() == j)
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(other), setup.size)
             sets = [shingles(x)[1:] for x in table["text"].to_pylist()]
-            out = _joining(table["content"].to_pylist(), label, sig, sets, np.flatnonzero(mine == i), np.flatnonzero(mine == j), i == j, key[1].as_py(), setup)
+            out = _joining(table["content"].to_pylist(), label, sig, sets, left, right, other, key[1].as_py(), setup)
         return pa.table([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return rows.groupBy("bucket", "band", "i", "j").applyInArrow(run, "a binary, b binary")
