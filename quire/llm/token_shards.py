@@ -104,7 +104,7 @@ class ChunkEncoder:
     def __call__(self, text: str) -> bytes:
         table = self.chunks
         parts = _SPLIT.split(text) if _ODD.search(text) else text.split()
-        new = set(parts).difference(table)
+        new = [c for c in set(parts) if c not in table]
         if new:
             found = {c: self.chunk(c) for c in new}
             crowded = sum(table.weight(c, x) for c, x in found.items()) > table.room
