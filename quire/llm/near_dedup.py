@@ -21,6 +21,7 @@ and never names a class while another key is there; classes are told apart by co
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -138,7 +139,7 @@ class Shingler:
     def __call__(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The content's address, the distinct shingles' hashes in ascending order and their counts."""
         words = text.split()
-        address = xxhash.xxh3_128_digest("\x1f".join(words).encode())
+        address = hashlib.md5("\x1f".join(words).encode(), usedforsecurity=False).digest()
         table = self.table
         if table.room < 0:
             table.clear()
@@ -364,3 +365,26 @@ def deduplicated(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     rows = common.boxed(docs, k=F.col(key), h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     kept = rows.join(one, (rows["h"] == one["addr"]) & rows["k"].eqNullSafe(one["key"]))
     return kept.groupBy("label").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+
+
+#: The classes in DuckDB's SQL: all pairs that share a shingle, compared exactly, and what can be reached over links.
+SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+') AS words FROM documents
+),
+rows_ AS (SELECT doc_id, words, md5(array_to_string(words, chr(31))) AS content FROM docs),
+contents AS (SELECT content, any_value(words) AS words FROM rows_ GROUP BY content),
+shingles AS (
+  SELECT content, shingle, count(*) AS n
+  FROM (SELECT content, unnest([array_to_string(words[i:i + least(5, len(words)) - 1], chr(31)) FOR i IN range(1, len(words) - least(5, len(words)) + 2)]) AS shingle FROM contents WHERE len(words) > 0)
+  GROUP BY content, shingle
+),
+totals AS (SELECT content, sum(n) AS total FROM shingles GROUP BY content),
+shared AS (SELECT x.content AS a, y.content AS b, sum(least(x.n, y.n)) AS both_ FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.content < y.content GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN totals s ON s.content = a JOIN totals t ON t.content = b WHERE both_ >= 0.8 * (s.total + t.total - both_)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+walk(content, reached) AS (SELECT content, content FROM contents UNION SELECT w.content, l.b FROM walk w JOIN ways l ON l.a = w.reached),
+labels AS (SELECT content, min(reached) AS label FROM walk GROUP BY content),
+ids AS (SELECT label, min(doc_id) AS class_id FROM rows_ JOIN labels USING (content) GROUP BY label)
+SELECT doc_id, class_id, label AS class_label FROM rows_ JOIN labels USING (content) JOIN ids USING (label)
+"""

@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The others can't be written in DuckDB's SQL with the same method's results; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op9_host_quality": quality.SQL, "secret_base_spans": secrets.SQL_BASE}
+ORACLE_SQL: dict[str, str] = {"op2_dart_near_dedup": near_dedup.SQL, "op9_host_quality": quality.SQL, "secret_base_spans": secrets.SQL_BASE}
