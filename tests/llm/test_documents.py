@@ -8,13 +8,14 @@ import time
 import xml.etree.ElementTree as ET
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import common, html_text, licences, near_dedup, packing, quality, secrets
+from quire.llm import common, html_text, licences, near_dedup, packing, quality, queries, secrets
 
 from .conftest import SCHEMA, document
 
@@ -603,3 +604,14 @@ def test_shared_folder_is_the_clusters(spark):
     assert common.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
     made = common.keep(spark, spark.range(3), "mine")
     assert made.inputFiles()[0].startswith(common.shared_dir(spark)) and made.count() == 3
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, sf, name):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    names = sorted(got.columns)
+    rel = c.sql(queries.ORACLE_SQL[name])
+    assert sorted(rel.columns) == names
+    assert sorted(str(tuple(r)) for r in got.select(*names).collect()) == sorted(map(str, rel.select(*names).fetchall()))
