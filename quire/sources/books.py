@@ -248,8 +248,17 @@ class Mobi:
             raise ValueError("not a book")
         n = struct.unpack_from(">H", data, 76)[0]
         at = [struct.unpack_from(">I", data, 78 + 8 * k)[0] for k in range(n)] + [len(data)]
-        self.records = [data[s:e] for s, e in zip(at, at[1:], strict=False)]
-        self.head = self.records[0]
+        self._take([data[s:e] for s, e in zip(at, at[1:], strict=False)])
+
+    @classmethod
+    def of(cls, records: list[bytes]) -> Mobi:
+        """The book of some records of a file, the first its header."""
+        book = cls.__new__(cls)
+        book._take(records)
+        return book
+
+    def _take(self, records: list[bytes]) -> None:
+        self.records, self.head = records, records[0]
         self.kind, _, self.length, self.count, _, locked = struct.unpack_from(">HHIHHH", self.head)
         if locked:
             raise ValueError("encrypted")
@@ -267,6 +276,12 @@ class Mobi:
     def metadata(self) -> Iterator[tuple[str, str]]:
         """(name, value) of the extended header, the title first."""
         yield "title", self.title
+        for kind, value in self.extended():
+            if kind in self.NAMES and kind != 503:
+                yield self.NAMES[kind], value.decode(self.encoding, "replace")
+
+    def extended(self) -> Iterator[tuple[int, bytes]]:
+        """(kind, value) of the extended header's records."""
         at = 16 + self.size
         if self.number(128) & 0x40 and self.head[at : at + 4] == b"EXTH":
             n = self.number(at + 8)
@@ -275,8 +290,7 @@ class Mobi:
                 kind, size = self.number(at), self.number(at + 4)
                 if size < 8:
                     return
-                if kind in self.NAMES and kind != 503:
-                    yield self.NAMES[kind], self.head[at + 8 : at + size].decode(self.encoding, "replace")
+                yield kind, self.head[at + 8 : at + size]
                 at += size
 
     def _body(self, k: int, extra: int) -> bytes:
@@ -292,6 +306,9 @@ class Mobi:
         return r[: len(r) - (r[-1] & 3) - 1] if extra & 1 and r else r
 
     def text(self) -> str:
+        return self.raw().decode(self.encoding, "replace")
+
+    def raw(self) -> bytes:
         if self.kind == 1:
             unpack = bytes
         elif self.kind == 2:
@@ -303,7 +320,7 @@ class Mobi:
             raise ValueError("unknown compression")
         extra = struct.unpack_from(">H", self.head, 242)[0] if len(self.head) >= 244 and self.size >= 228 else 0
         whole = b"".join(unpack(self._body(k, extra)) for k in range(1, min(self.count, len(self.records) - 1) + 1))
-        return whole[: self.length].decode(self.encoding, "replace")
+        return whole[: self.length]
 
 
 def _book(raw: bytes | None) -> Mobi | None:

@@ -223,6 +223,13 @@ def test_remote_folder(spark, tmp_path):
     assert [(x["name"], x["size"], x["is_dir"]) for x in r.listed("books").collect()] == [("a.epub", 1, False)] and r.properties("books/none") is None
     r.download("books/a.epub", str(tmp_path / "back"))
     assert (tmp_path / "back").read_text() == "a" and r.remove("books/a.epub") and r.listed("books").count() == 0
+    for name in ("../a", "/etc/x", "", "..", "a/b"):
+        with pytest.raises(ValueError):
+            remote.apply(r, spark.createDataFrame([(name, "deleteLocal")], "name string, action string"), str(tmp_path / "local"), "books")
+    many = spark.createDataFrame([(f"{k}.txt", "upload") for k in range(60)], "name string, action string")
+    for k in range(60):
+        (tmp_path / "local" / f"{k}.txt").write_text(str(k))
+    assert remote.apply(r, many, str(tmp_path / "local"), "books") == {"upload": 60} and r.listed("books").count() == 60
     for bad in (lambda: r.listed("../x"), lambda: r.listed("nowhere")):
         with pytest.raises((ValueError, FileNotFoundError)):
             bad()
@@ -253,6 +260,60 @@ def test_csv(spark, sf, tmp_path):
     assert back.count() == 20 and back.columns[4] == "Reader Note"
 
 
+def test_titles_by_sound(spark):
+    titles = ["上海", "Zed", "北京", "abc", "阿", "中国", "第一", "Éa"]
+    got = [r["title"] for r in sorts.shelf(spark.createDataFrame([(i, t, False) for i, t in enumerate(titles)], "id long, title string, is_deleted boolean"), key=sorts.pinyin).collect()]
+    assert got == ["阿", "北京", "第一", "上海", "中国", "abc", "Éa", "Zed"]
+
+
+def test_places_over_partitions(spark):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id", "(id * 7919) % 1009 AS v")
+    got = sorts.placed(rows.orderBy("v", "id")).collect()
+    assert [(r["v"], r["id"]) for r in sorted(got, key=lambda r: r["place"])] == sorted((r["v"], r["id"]) for r in got) and sorted(r["place"] for r in got) == list(range(5000))
+
+
+def plain_excerpt(text, start, end):
+    """From the whole text, as the rule says it."""
+    before = " ".join(text[:start].split()) + (" " if start and text[start - 1].isspace() and text[:start].strip() else "")
+    after = (" " if end < len(text) and text[end].isspace() else "") + " ".join(text[end:].split())
+    after = after if after.strip() else ""
+    return ("…" if len(before) >= search.CONTEXT else "") + before[-search.CONTEXT :], text[start:end], after[: search.CONTEXT] + ("…" if len(after) >= search.CONTEXT else "")
+
+
+def test_excerpts_look_no_farther_than_needed():
+    import random
+    import time
+
+    r = random.Random(2)
+    for _ in range(3000):
+        text = "".join(r.choice(["a", "bc", " ", "\n", "   ", " " * 300, "word"]) for _ in range(r.randrange(0, 200)))
+        start = r.randrange(0, len(text) + 1)
+        end = r.randrange(start, len(text) + 1)
+        assert search.excerpt(text, start, end) == plain_excerpt(text, start, end)
+
+    def took(n):
+        text = "a hit " * n
+        began = time.process_time()
+        for i in range(n):
+            search.excerpt(text, 6 * i + 2, 6 * i + 5)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 3 * min(took(20_000) for _ in range(2)) + 0.3
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    """Where a library that only the training-data operators need is missing, the other queries are there."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [m for m in sys.modules if m.startswith("quire.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    assert not [n for n in entry.queries() if n.startswith("op") or n == "pipeline"] and len(entry.queries()) > 150 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_replace_is_whole(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (3, 5):
@@ -271,7 +332,7 @@ def test_tools(spark, sf):
     assert call("books_tags_list")["data"] == [] and len(call("tags_list")["data"]) == 3
     assert call("apply_book_tags", books=[{"bookId": 1, "tags": ["x"]}])["data"][0]["to_add"] == ["x"]
     for name, args in {"current_time": {}, "mindmap_draw": {"outline": "- a"}, "notes_search": {"from": "2024-01-01"}, "reading_history": {}, "current_reading_metadata": {"bookId": 1}, "current_book_toc": {"bookId": 1},
-                       "current_chapter_content": {"bookId": 1}, "chapter_content_by_href": {"bookId": 1, "href": "src1"}, "book_content_search": {"bookId": 1, "keyword": "the"}}.items():
+                       "current_chapter_content": {"bookId": 1}, "chapter_content_by_href": {"bookId": 1, "href": "s0.xhtml#x"}, "book_content_search": {"bookId": 1, "keyword": "the"}}.items():
         assert call(name, **args)["status"] == "ok", name
     assert [t.name for t in tools.enabled([" tags_list", "nope", "tags_list"])] == ["tags_list"]
 
