@@ -3,6 +3,10 @@
 Each stage reads what the one before kept, as Parquet, and its decisions take effect: rejected documents go, one document of
 each class of near-duplicates stays, secrets are cut out of texts, and what is left is packed into sequences. All
 but the last return the columns of documents.
+
+Defined cases: a null or empty text fails the quality rules; of rows that are copies, or repeat a key with equal text, one stays, and rows that repeat a key
+with different texts all stay; null keys and hosts are values like others; ties go to the least key, then the least content; extra columns are carried, whatever
+their names; texts of any length are read whole; an empty table passes through every stage and gives an empty packing.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", packed),
 ]
 
-#: Signatures, token ids and packing have no SQL form; tests hold the stages against brute force.
+#: Token ids and their packing have no SQL form, so the last stage has none; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
