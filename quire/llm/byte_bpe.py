@@ -14,7 +14,7 @@ as the session's shuffle partitions, each in a partition of its own; so is each
 beyond that may a word be encoded again.
 
 Defined cases: a null text is an empty one with no id; repeated rows are each encoded; an empty table gives
-an empty result; special strings are ordinary text; a text is never cut, and one longer than a block is a block.
+an empty result; keys are integers, or null, and others are refused; other columns are not touched; special strings are ordinary text; a text is never cut, and one longer than a block is a block.
 """
 
 from __future__ import annotations
@@ -213,6 +213,7 @@ def encoded(spark: SparkSession, docs: DataFrame, v: Vocabulary, key: str = "doc
 
 
 def _assembled(spark, docs, v, key, text, schema, digest, types, names) -> DataFrame:  # noqa: ANN001
+    common.integral(docs, key)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = common.fresh_dir(spark, "blocks")
     split(docs, v, buckets, key, text).write.partitionBy("kind").parquet(path)

@@ -87,6 +87,13 @@ def but(spark: SparkSession, rows: DataFrame, column: str, barred: DataFrame) ->
     return rows if barred.isEmpty() else rows.join(barred, rows[column].eqNullSafe(F.col("_barred")), "left_anti")
 
 
+def integral(docs: DataFrame, key: str) -> None:
+    """Refuses a key that isn't an integer: cast to one, text keys would get lost."""
+    kind = docs.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} must be an integer, not {kind}")
+
+
 def boxed(docs: DataFrame, **named: Column) -> DataFrame:
     """The named columns, and `row`: a struct of all of docs, which no other column's name can clash with."""
     return docs.select(*(c.alias(n) for n, c in named.items()), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))

@@ -15,7 +15,7 @@ so a task that is run again or twice changes nothing; what dead attempts leave i
 Hadoop gives to stores (s3a, dbfs) become those that the readers of workers know.
 
 Defined cases: a null text is an empty one and has the end id only; null keys come first and are read in
-order, not by key; repeated keys are written each, in the order of their text's hash; keys are integers or text of integers, and others are refused; an
+order, not by key; repeated keys are written each, in the order of their text's hash; keys are integers, and others are refused; an
 empty table gives no shard and no row; other columns are not touched.
 """
 
@@ -237,6 +237,7 @@ class Shard:
 
 def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text") -> list[tuple]:
     """Writes the shards and returns their list, in order, a row for each shard: number, documents, ids, ids before it, documents without key, least and greatest key."""
+    common.integral(docs, key)
     files, place = _place(folder)
     files.create_dir(place, recursive=True)
     by_rank = rebuilt(path)
