@@ -233,3 +233,10 @@ def test_bounds_hold(sizes):
     assert packing.lower_bound(np.bincount(sizes, minlength=21), 20) <= best[0]
     bins, where, held = packing.best_fit(np.array(sizes), 20)
     assert held.max() <= 20 and held.sum() == sum(sizes) and len(held) >= best[0]
+
+
+def test_keys_that_are_no_integers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for refused in (lambda: byte_bpe.encoded(spark, docs, V), lambda: token_shards.write(spark, docs, WORD, 2, common.fresh_dir(spark, "no"))):
+        with pytest.raises(ValueError):
+            refused()
