@@ -37,11 +37,23 @@ class Table(dict):
     def weight(self, key: str | bytes, value: object) -> int:
         return 150 + 2 * len(key) + (len(value) if isinstance(value, bytes) else 8 * len(value) if isinstance(value, list) else 0)
 
+    def take(self, found: dict[str, bytes]) -> bool:
+        """Takes many entries, if they fit without starting anew."""
+        need = 150 * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
+        if need > self.room:
+            return False
+        self.update(found)
+        self.room -= need
+        return True
+
+    def restart(self) -> None:
+        self.clear()
+        self.room = self.most
+
     def put(self, key: str | bytes, value: object) -> None:
         need = self.weight(key, value)
         if need > self.room:
-            self.clear()
-            self.room = self.most
+            self.restart()
         if need <= self.room:
             self[key] = value
             self.room -= need

@@ -142,8 +142,7 @@ class Shingler:
         address = hashlib.md5("\x1f".join(words).encode(), usedforsecurity=False).digest()
         table = self.table
         if table.room < 0:
-            table.clear()
-            table.room = table.most
+            table.restart()
         w = np.fromiter(map(table.__getitem__, words), U, len(words))
         n = min(self.n, len(words))
         if not n:

@@ -107,13 +107,11 @@ class ChunkEncoder:
         new = [c for c in set(parts) if c not in table]
         if new:
             found = {c: self.chunk(c) for c in new}
-            crowded = sum(table.weight(c, x) for c, x in found.items()) > table.room
-            if crowded:  # the table starts anew under way
-                found |= {c: table[c] for c in set(parts).difference(new)}
-            for c in new:
-                table.put(c, found[c])
-            if crowded:
-                return b"".join(map(found.__getitem__, parts))
+            if not table.take(found):
+                found |= {c: table[c] for c in set(parts) if c not in found}
+                table.restart()
+                if not table.take(found):  # a text alone may hold more than a table
+                    return b"".join(map(found.__getitem__, parts))
         return b"".join(map(table.__getitem__, parts))
 
 
