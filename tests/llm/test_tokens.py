@@ -240,3 +240,13 @@ def test_keys_that_are_no_integers_are_refused(spark):
     for refused in (lambda: byte_bpe.encoded(spark, docs, V), lambda: token_shards.write(spark, docs, WORD, 2, common.fresh_dir(spark, "no"))):
         with pytest.raises(ValueError):
             refused()
+
+
+def test_tables_start_anew(word):
+    """Texts of more chunks than a table holds, and tables that fill up under way, give the library's ids."""
+    e = token_shards.ChunkEncoder(WORD, True)
+    for most in (400, 3000, 20_000):
+        e.chunks, e.words = common.Table(most), common.Table(most)
+        for text in (" ".join(f"w{i}x{k}" for k in range(40)) for i in range(30)):
+            assert np.frombuffer(e(text), e.kind).tolist() == word.encode(text, add_special_tokens=False).ids
+            assert 0 <= e.chunks.room <= most
