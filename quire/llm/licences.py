@@ -187,26 +187,51 @@ class Model:
         units = {f: [{*w, *zip(w, w[1:], strict=False)} for w in map(words_of, TEMPLATES[f])] for f in families}
         held = Counter(u for f in families for u in set().union(*units[f]))
         self.phrases = {f: [({x for x in t if isinstance(x, tuple)}, {x: float(np.log((1 + len(families)) / held[x])) for x in t}) for t in units[f]] for f in families}
-        # the most that a word can add to any family's lead over unknown, by itself or as the last of a pair or triple
-        best: dict[tuple[str, int], float] = {}
-        for gram, w in weights.items():
-            key = gram.rsplit(" ", 1)[-1], gram.count(" ")
-            best[key] = max(best.get(key, 0.0), float((w[:-1] - w[-1]).max()))
-        self.most: dict[str, float] = {}
-        for (word, _), x in best.items():
-            self.most[word] = self.most.get(word, 0.0) + x
+        # the most that a word, pair or triple adds to any family's lead over unknown; words of none of them add nothing
+        self.leads = {tuple(g.split(" ")): max(0.0, float((w[:-1] - w[-1]).max())) for g, w in weights.items()}
+        self.known = {w: self.leads.get((w,), 0.0) for g in self.leads for w in g}
         # below this sum no family can reach the least probability
         self.need = temperature * float(np.log(least / (1 - least))) - float((bias[:-1] - bias[-1]).max())
 
     def logits(self, words: list[str]) -> np.ndarray:
         out = self.bias.copy()
-        get = self.weights.get
-        for g in grams(words):
-            w = get(g)
+        for g in self.grams(words):
+            w = self.weights.get(g)
             if w is not None:
                 out += w
         return out
 
+    def grams(self, words: list[str]) -> set[str]:
+        """The n-grams of words that may have weights: those all of whose words are in some."""
+        out, known, n = set(), self.known, len(words)
+        for i, w in enumerate(words):
+            if w in known:
+                out.add(w)
+                if i + 1 < n and words[i + 1] in known:
+                    pair = f"{w} {words[i + 1]}"
+                    out.add(pair)
+                    if i + 2 < n and words[i + 2] in known:
+                        out.add(f"{pair} {words[i + 2]}")
+        return out
+
+    def gains(self, words: list[str], before: tuple[str, ...] = ()) -> list[float]:
+        """For each word, the most that it and the pair and triple that it ends add to a lead; `before`: the two words before. Their sum bounds a window's lead."""
+        out, known, leads = [], self.known, self.leads
+        p, q = (before[-1] if before and before[-1] in known else None), (before[-2] if len(before) > 1 and before[-2] in known else None)
+        for w in words:
+            gain = known.get(w)
+            if gain is None:
+                out.append(0.0)
+                p = None
+                continue
+            if p is not None:
+                gain += leads.get((p, w), 0.0)
+                if q is not None:
+                    gain += leads.get((q, p, w), 0.0)
+            out.append(gain)
+            q, p = p, w
+        return out
+
     def probabilities(self, words: list[str]) -> np.ndarray:
         x = self.logits(words) / self.temperature
         x = np.exp(x - x.max())
@@ -282,12 +307,12 @@ class Model:
         n = doubtful = at = 0
         found: list[tuple[int, int, str]] = []
         block: list[tuple[int, int, list[str], list[float]]] = []
-        most = self.most
         for line in text.split("\n"):
             words = words_of(line)
             if words:
                 n += 1
-                block.append((at, at + len(line), words, [most.get(w, 0.0) for w in words]))
+                last = tuple((block[-2][2] if len(block) > 1 else [])[-1:] + block[-1][2][-2:]) if block else ()
+                block.append((at, at + len(line), words, self.gains(words, last)))
             elif block:
                 doubtful += self._block(block, found)
                 block = []
