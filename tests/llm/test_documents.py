@@ -367,13 +367,27 @@ def test_scan_is_every_window_by_the_full_model(model, prose):
                 assert model.families[k] in sure
 
 
+def test_gains_bound_leads(model, prose):
+    """What single words, pairs and triples may add is never less than the lead that they make, across ends of lines too."""
+    r = random.Random(3)
+    words = [w for f in licences.TEMPLATES for t in licences.TEMPLATES[f] for w in licences.words_of(t)] + licences.words_of(prose(50, 1))
+    for _ in range(300):
+        some = [r.choice(words) for _ in range(30)] if r.random() < 0.5 else licences.words_of(r.choice(licences.TEMPLATES[r.choice(list(licences.TEMPLATES))]))
+        x = model.logits(some) - model.bias
+        cut = r.randrange(len(some) + 1)
+        assert (x[:-1] - x[-1]).max() <= sum(model.gains(some)) + 1e-9
+        assert sum(model.gains(some[:cut]) + model.gains(some[cut:], tuple(some[max(0, cut - 2) : cut]))) == pytest.approx(sum(model.gains(some)))
+        full = sum((model.weights[g] for g in licences.grams(some) if g in model.weights), np.zeros(len(model.bias)))
+        assert np.allclose(full, x)
+
+
 def test_bound_skips_nothing(model, sf, spark):
     """Windows that the bound lets pass by have no family by the full model either."""
     for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect():
         for line in r["text"].split("\n"):
             words = licences.words_of(line)
             for s, e in licences.windows(len(words), model.setup):
-                if sum(model.most.get(w, 0.0) for w in words[s:e]) < model.need:
+                if sum(model.gains(words[s:e])) < model.need:
                     assert model.family(words[s:e])[0] == licences.UNKNOWN
 
 
