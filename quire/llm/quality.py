@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quire.llm import common
 
@@ -99,32 +98,26 @@ def judge(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), key: str
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_refused")).withColumnRenamed("key", key)
 
 
-def passing(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
+def passing(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs that are kept, with their columns.
 
-    Each text is measured once: rows go to the shared folder beside their failures, without the text where they fail the base rules, and
-    only sums by host are shuffled.
+    Rules are tested where the row is, once for the hosts' sums and once to filter: measuring again costs less than keeping all rows beside their verdicts.
+    Only sums by host are shuffled.
     """
-    i, n = docs.columns.index(text), len(docs.columns)
-    plain = docs.toDF(*(f"c{k}" for k in range(n)))  # any name goes
+    tested = measured(docs, key, text, host).select("host", *(c.alias(n) for n, c in failures(rules).items()))
+    rates = common.keep(spark, host_rates(common.keep(spark, tested, "tested"), rules), "hosts")
+    i = docs.columns.index(text)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # any name goes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.sliced(batches):
-            texts, base, symbols = b.column(i).to_pylist(), [], []
-            for x in texts:
-                words, _, signs, _, repeated = measure(x or "")
-                base.append(words < rules.min_words or 100 * repeated > rules.max_repeat_pct * words)
-                symbols.append(100 * signs > rules.max_symbol_pct * words)
-            cols = list(b.columns)
-            if any(base):
-                cols[i] = pa.array([None if bad else x for x, bad in zip(texts, base, strict=True)], cols[i].type)
-            yield pa.record_batch([*cols, pa.array(base, pa.bool_()), pa.array(symbols, pa.bool_())], [*b.schema.names, "base_failed", "symbols_failed"])
-
-    schema = StructType([*plain.schema.fields, StructField("base_failed", BooleanType()), StructField("symbols_failed", BooleanType())])
-    tested = common.keep(spark, plain.mapInArrow(run, schema), "tested")
-    rates = common.keep(spark, host_rates(tested.select(F.col(f"c{docs.columns.index(host)}").alias("host"), "base_failed", "symbols_failed"), rules), "hosts")
-    good = tested.where(~F.col("base_failed")).drop("base_failed", "symbols_failed").toDF(*docs.columns)
-    return common.but(spark, good, host, rates.where("refused").select("host"))
+            good = []
+            for x in b.column(i).to_pylist():
+                words, _, _, _, repeated = measure(x or "")
+                good.append(words >= rules.min_words and 100 * repeated <= rules.max_repeat_pct * words)
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return common.but(spark, plain.mapInArrow(run, plain.schema).toDF(*docs.columns), host, rates.where("refused").select("host"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
