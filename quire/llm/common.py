@@ -7,13 +7,17 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.sources.files import dealt
 
 #: Rows of an Arrow batch that become Python objects at a time; Spark itself bounds a batch's bytes.
 SLICE_ROWS = 128
+#: Bytes of texts that are worked on together where Arrow does it.
+SLICE_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +32,17 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield b.slice(at, rows)
 
 
+def weighed(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some bytes of a column, a row of more by itself, none of them empty; nothing is copied."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+            yield b.slice(at, upto - at)
+            at = upto
+
+
 class Table(dict):
     """What a worker remembers of texts: as many entries as fit some bytes; beyond, it starts anew. Longer entries than that aren't kept."""
 

@@ -30,6 +30,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
@@ -63,56 +64,84 @@ def rebuilt(path: str) -> bool:
 
 
 class ChunkEncoder:
-    """Ids of texts by a vocabulary that neither sees nor crosses white space, as bytes of one chunk after another.
+    """Ids of texts by a vocabulary that neither sees nor crosses white space.
 
-    The words of a chunk are merged over bytes, with one byte that no text has for the word's end; chunks that hold a special
-    string or a character that tables may differ on, and vocabularies that `rebuilt` refuses, go to the library. Chunks and words are kept in bounded tables.
+    Many texts are split at once, and each different chunk of them is looked up once; the ids of all are then gathered by Arrow. Chunks are kept in a
+    bounded table. New ones are merged together, over bytes: a space, which no chunk has, ends a word, and a line feed a chunk. Chunks that hold a special
+    string or a character that tables may differ on, and vocabularies that `rebuilt` refuses, go to the library.
     """
 
+    _MARKS = b" \n"
+
     def __init__(self, path: str, by_rank: bool) -> None:
         self.library, self.by_rank = tokenizers_.library(path), by_rank
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks, self.words = common.Table(), common.Table()
+        self.chunks = common.Table(96 << 20)
         rules = HeapCounter(path)
-        self.pattern, self.special, self.unsettled = rules.pattern, rules.special, rules.unsettled
+        self.special, self.unsettled = rules.special, rules.unsettled
         if by_rank:
+            self.pattern = regex.compile(f"{rules.pattern.pattern}|\n")
             d = tokenizers_.description(path)["model"]
             plain, end = {ch: b for b, ch in tokenizers_.byte_chars().items()}, d["end_of_word_suffix"]
-            ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(256)}
+            ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + b" ": 256 + b for b in range(256)}
             ids = [*rules.inner, *rules.last]
             for a, b in d["merges"]:
                 token = a + b
-                raw = bytes(plain[x] for x in token.removesuffix(end)) + (b"\xff" if token.endswith(end) else b"")
+                raw = bytes(plain[x] for x in token.removesuffix(end))
+                if any(x in self._MARKS for x in raw):  # no word has it
+                    continue
+                raw += b" " if token.endswith(end) else b""
                 if raw not in ranks:
                     ranks[raw] = len(ids)
                     ids.append(d["vocab"][token])
-            self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-            self.bytes = [np.array([i], self.kind).tobytes() for i in ids]
-
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            got = b"".join([self.bytes[i] for i in self.piece(word.encode() + b"\xff")])
-            self.words.put(word, got)
+            self.merges = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+            self.parted, self.ids = ranks[b"\n "], np.array(ids, self.kind)
+
+    def merged(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks by merging; at least one chunk."""
+        got = self.merges.encode_to_numpy(" ".join(self.pattern.findall(lowered("\n".join(chunks)))) + " ")
+        ends = np.append(np.flatnonzero(got == self.parted), len(got))
+        starts, raw, w = np.concatenate([[0], ends[:-1] + 1]), self.ids[got].tobytes(), self.kind.itemsize
+        return [raw[a:b] for a, b in zip((starts * w).tolist(), (ends * w).tolist(), strict=True)]
+
+    def odd(self, text: str) -> bool:
+        return not self.by_rank or bool(self.unsettled(text)) or "<|" in text and bool(self.special.search(text))
+
+    def new(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks; at least one chunk."""
+        if not self.odd("\n".join(chunks)):
+            return self.merged(chunks)
+        odd = list(map(self.odd, chunks))
+        plain = iter(self.merged([c for c, x in zip(chunks, odd, strict=True) if not x]) if not all(odd) else [])
+        return [np.array(self.library.encode(c, add_special_tokens=False).ids, self.kind).tobytes() if x else next(plain) for c, x in zip(chunks, odd, strict=True)]
+
+    def known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks, out of the table where they are there; it takes the others."""
+        table = self.chunks
+        got = list(map(table.get, chunks))
+        new = [c for c, x in zip(chunks, got, strict=True) if x is None]
+        if new:
+            found = self.new(new)
+            rest = iter(found)
+            got = [next(rest) if x is None else x for x in got]
+            if not table.take(dict(zip(new, found, strict=True))):
+                table.restart()
+                table.take(dict(zip(chunks, got, strict=True)))  # these alone may be more than a table holds
         return got
 
-    def chunk(self, chunk: str) -> bytes:
-        if not self.by_rank or self.unsettled(chunk) or "<|" in chunk and self.special.search(chunk):
-            return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.word, self.pattern.findall(lowered(chunk))))
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and where each text's end; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.any(pc.match_substring_regex(texts, _ODD.pattern)).as_py()
+        parts = pc.split_pattern_regex(texts, _SPLIT.pattern) if odd else pc.utf8_split_whitespace(texts)
+        chunks = parts.flatten().dictionary_encode()
+        held = pa.array(self.known(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(chunks.indices)
+        at = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1)
+        ids = np.frombuffer(held.buffers()[2] or b"", self.kind, at[-1] // self.kind.itemsize)
+        return ids, at[np.cumsum(pc.list_value_length(parts).to_numpy(), dtype=np.int64)] // self.kind.itemsize
 
     def __call__(self, text: str) -> bytes:
-        table = self.chunks
-        parts = _SPLIT.split(text) if _ODD.search(text) else text.split()
-        new = [c for c in set(parts) if c not in table]
-        if new:
-            found = {c: self.chunk(c) for c in new}
-            if not table.take(found):
-                found |= {c: table[c] for c in set(parts) if c not in found}
-                table.restart()
-                if not table.take(found):  # a text alone may hold more than a table
-                    return b"".join(map(found.__getitem__, parts))
-        return b"".join(map(table.__getitem__, parts))
+        return self.encoded(pa.array([text], pa.string()))[0].tobytes()
 
 
 @lru_cache(None)
@@ -245,7 +274,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, folder:
         number, encode = TaskContext.get().partitionId(), None
         keys: list[int | None] = []
         lengths: list[int] = []
-        batches = common.sliced(batches)
+        batches = common.weighed(batches, 1)
         first = next(batches, None)
         if first is None:
             return
@@ -253,13 +282,11 @@ def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int, folder:
         def payload() -> Iterator[bytes]:
             nonlocal encode
             encode = encoder(path, by_rank)
-            end = np.array([end_id], encode.kind).tobytes()
             for b in chain([first], batches):
                 keys.extend(b.column(0).to_pylist())
-                for x in (encode(t or "") for t in b.column(1).to_pylist()):
-                    lengths.append(len(x) // encode.kind.itemsize + 1)
-                    yield x
-                    yield end
+                ids, ends = encode.encoded(b.column(1))
+                lengths.extend((np.diff(ends, prepend=0) + 1).tolist())
+                yield np.insert(ids, ends, end_id).tobytes()
 
         _put(files, f"{place}/shard-{number:06d}.ids", payload())
         ends = np.cumsum(lengths)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -250,3 +251,49 @@ def test_tables_start_anew(word):
         for text in (" ".join(f"w{i}x{k}" for k in range(40)) for i in range(30)):
             assert np.frombuffer(e(text), e.kind).tolist() == word.encode(text, add_special_tokens=False).ids
             assert 0 <= e.chunks.room <= most
+
+
+def test_texts_together_look_each_chunk_up_once():
+    """What a batch's texts share costs one look-up and one merging, whatever the table holds."""
+
+    class Counted(common.Table):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    for most in (0, 1 << 20):
+        e = token_shards.ChunkEncoder(WORD, True)
+        e.chunks = Counted(most)
+        ids, ends = e.encoded(pa.array([f"the same {i % 10} words, again" for i in range(1000)]))
+        assert e.chunks.asked <= 14 and len(ends) == 1000 and ends[-1] == len(ids)
+
+
+odd = st.lists(st.none() | texts | st.sampled_from(["", " ", "\n", "\x1c", " a\x1cb  c\u3000d ", "<|endoftext|>x <| y", "e\u0301 \u0301e", "it's 12 ΑΣ İ"]), max_size=12)
+
+
+@given(odd, st.booleans(), st.integers(0, 3))
+@settings(max_examples=200, deadline=None)
+def test_texts_together_are_the_librarys(some, by_rank, skipped):
+    """Nulls, empty texts, all white space, slices and vocabularies that only the library encodes."""
+    e = token_shards.encoder(WORD, by_rank)
+    ids, ends = e.encoded(pa.array(some, pa.string()).slice(skipped))
+    got = [x.tolist() for x in np.split(ids, ends)]
+    assert got == [*(_word().encode(t or "", add_special_tokens=False).ids for t in some[skipped:]), []]
+
+
+def test_slices_by_bytes():
+    """Rows go on in order, as many as fit; one of more bytes goes by itself."""
+    texts = ["aa", None, "bbb", "", "c" * 50, "é", "d"]
+    batches = [pa.record_batch([pa.array(range(7)), pa.array(texts)], ["k", "t"]).slice(a, n) for a, n in ((0, 7), (2, 5), (0, 0))]
+    got = [b.column(1).to_pylist() for b in common.weighed(iter(batches), 1, 5)]
+    assert got == [["aa", None, "bbb", ""], ["c" * 50], ["é", "d"], ["bbb", ""], ["c" * 50], ["é", "d"]]
